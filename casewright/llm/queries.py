@@ -7,24 +7,131 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.llm import language, media, quality, toxicity
+from casewright.llm.html import extract_main_text
+from casewright.llm.kdtree import top_similar
+from casewright.llm.language import id_remainder
+from casewright.llm.mixing import mix_report
+from casewright.llm.packing import pack_documents
 from casewright.llm.simhash import simhash_components
 from casewright.llm.tables import read_table
 from casewright.llm.tokens import document_token_counts
 
 
+def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mix_report(read_table(spark, sf_dir, "documents"))
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a WAV medium, with checksums and a digest of its spectral-peak pairs."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = read_table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.octet_length(text).cast("long").alias("n_bytes"),
+        media.wav_features(media.text_to_wav(text)).alias("f"),
+    )
+    named = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    return found.select("doc_id", "n_bytes", *[F.col("f")[x].alias(x) for x in named], media.pair_digest(F.col("f")).alias("feature"))
+
+
 def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat token files by separator scan."""
     return document_token_counts(read_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a third of the documents is held out from learning."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False))
+    model = language.fit_language_model(docs.where(~held_out))
+    return language.predict_language(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    named = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    return pack_documents(read_table(spark, sf_dir, "documents"), with_ids=False).select(*named)
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = read_table(spark, sf_dir, "pages").select("page_id", "url", extract_main_text(F.col("html")).alias("text"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str, learn, *more: str) -> DataFrame:
+    """Labelled documents outside the held-out ids; labels are joined by id before any text moves far."""
+    docs = read_table(spark, sf_dir, "documents").where(learn).select("doc_id", "text", *more)
+    return docs.join(read_table(spark, sf_dir, "labels").where(learn), "doc_id")
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
+    return quality.fit_quality_model(_labelled(spark, sf_dir, id_remainder("doc_id", 5) != 0))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a fifth of the documents is held out from learning."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
+    scored = quality.score_quality(docs.select("doc_id", held_out.alias("held_out"), "text"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+def op9_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten greatest inner products of every hundredth vector."""
+    return top_similar(read_table(spark, sf_dir, "embeddings"))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    return toxicity.fit_toxicity_model(_labelled(spark, sf_dir, id_remainder("doc_id", 3) != 1, "lang"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; a third of the documents is held out from learning."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False))
+    scored = toxicity.score_toxicity(docs.select("doc_id", held_out.alias("held_out"), "text"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_separator_scan": op3_separator_scan,
-    "op6_simhash_components": op6_simhash_components,
+    f.__name__: f
+    for f in (
+        op1_entropy_mix,
+        op2_media_columns,
+        op3_separator_scan,
+        op4_language,
+        op5_vector_packing,
+        op6_simhash_components,
+        op7_main_text,
+        op8_quality,
+        op9_kdtree_topk,
+        op10_toxicity,
+    )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_kdtree_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 100 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+}
