@@ -2,7 +2,7 @@
 
 A page is cut into flat blocks at block-level tags. A block has its words, link density, those of the
 blocks before and after it, and what the tags round it say (a page part that is never main text, or the
-article itself). A small decision tree, grown on the labelled blocks in EXAMPLES, keeps or drops each block; nothing else is
+article itself). A small decision tree, grown on the small labelled table below, keeps or drops each block; nothing else is
 dropped and nothing is cut.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones are no
@@ -147,7 +147,7 @@ def flat_blocks(page: str) -> list[Block]:
     return blocks
 
 
-FEATURE_NAMES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "side", "main", "header", "any_main")
+FEATURE_NAMES = ("side", "main", "header", "any_main", "link_density", "words", "links_before", "words_before", "links_after", "words_after")
 
 
 def block_features(blocks: list[Block]) -> np.ndarray:
@@ -157,65 +157,69 @@ def block_features(blocks: list[Block]) -> np.ndarray:
     before = lambda x: np.concatenate(([0.0], x[:-1]))
     after = lambda x: np.concatenate((x[1:], [0.0]))
     any_main = np.full(len(blocks), flags[:, 1].max(initial=0.0))
-    return np.column_stack([words, density, before(words), before(density), after(words), after(density), flags, any_main])
-
-
-# Labelled blocks: the features above, then 1 for main text. Written by hand after common page layouts.
-EXAMPLES = (
-    # menus, footers, sidebars, forms, notices, adverts and comments that tags or names give away
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1, 0),
-    (2, 1.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1, 0),
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 0),
-    (3, 0.6, 4, 1.0, 90, 0.0, 1, 0, 0, 0, 0),
-    (14, 0.1, 120, 0.0, 0, 0.0, 1, 0, 0, 1, 0),
-    (25, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0, 0),
-    (60, 0.0, 40, 0.0, 55, 0.0, 1, 0, 0, 0, 0),
-    (80, 0.0, 30, 0.0, 45, 0.0, 1, 0, 0, 1, 0),
-    (35, 0.1, 70, 0.0, 20, 0.2, 1, 1, 0, 1, 0),
-    (12, 0.0, 90, 0.0, 80, 0.0, 1, 1, 0, 1, 0),
-    (150, 0.0, 20, 0.0, 33, 0.0, 1, 1, 0, 1, 0),
-    (5, 0.2, 6, 0.5, 2, 1.0, 1, 0, 1, 1, 0),
-    # what stands in the article, short, long, linked or headed
-    (9, 0.0, 0, 0.0, 120, 0.0, 0, 1, 0, 1, 1),
-    (2, 0.0, 80, 0.0, 60, 0.0, 0, 1, 0, 1, 1),
-    (1, 0.0, 3, 0.0, 2, 0.0, 0, 1, 0, 1, 1),
-    (4, 1.0, 60, 0.0, 70, 0.0, 0, 1, 0, 1, 1),
-    (7, 0.6, 5, 0.5, 30, 0.1, 0, 1, 0, 1, 1),
-    (140, 0.0, 9, 0.0, 90, 0.0, 0, 1, 0, 1, 1),
-    (33, 0.2, 44, 0.0, 51, 0.1, 0, 1, 0, 1, 1),
-    (260, 0.01, 2, 0.0, 4, 0.0, 0, 1, 0, 1, 1),
-    (8, 0.0, 1, 1.0, 2, 0.0, 0, 1, 1, 1, 1),
-    (10, 0.0, 12, 0.0, 75, 0.0, 0, 1, 1, 1, 1),
-    # outside the article of a page that has one
-    (6, 0.0, 1, 1.0, 9, 0.0, 0, 0, 0, 1, 0),
-    (18, 0.0, 1, 1.0, 10, 0.0, 0, 0, 0, 1, 0),
-    (40, 0.0, 80, 0.0, 12, 0.3, 0, 0, 0, 1, 0),
-    (75, 0.0, 33, 0.0, 5, 0.0, 0, 0, 0, 1, 0),
-    (3, 0.0, 0, 0.0, 4, 1.0, 0, 0, 1, 1, 0),
-    (22, 0.0, 2, 0.0, 6, 1.0, 0, 0, 1, 1, 0),
-    # pages without an article tag: running text and its headings
-    (110, 0.0, 90, 0.0, 75, 0.0, 0, 0, 0, 0, 1),
-    (45, 0.05, 8, 0.0, 60, 0.0, 0, 0, 0, 0, 1),
-    (24, 0.0, 60, 0.0, 36, 0.0, 0, 0, 0, 0, 1),
-    (18, 0.0, 9, 0.0, 70, 0.0, 0, 0, 0, 0, 1),
-    (7, 0.0, 1, 1.0, 85, 0.0, 0, 0, 0, 0, 1),
-    (6, 0.0, 70, 0.0, 64, 0.0, 0, 0, 0, 0, 1),
-    (3, 0.0, 52, 0.0, 41, 0.0, 0, 0, 0, 0, 1),
-    (95, 0.2, 55, 0.1, 3, 0.0, 0, 0, 0, 0, 1),
-    (5, 0.0, 0, 0.0, 130, 0.0, 0, 0, 0, 0, 1),
-    (11, 0.0, 88, 0.0, 3, 1.0, 0, 0, 0, 0, 1),
-    # pages without an article tag: link lists and scraps
-    (4, 1.0, 5, 1.0, 6, 1.0, 0, 0, 0, 0, 0),
-    (9, 0.8, 7, 0.7, 8, 1.0, 0, 0, 0, 0, 0),
-    (16, 0.7, 12, 1.0, 14, 0.6, 0, 0, 0, 0, 0),
-    (40, 0.6, 10, 1.0, 30, 0.8, 0, 0, 0, 0, 0),
-    (2, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
-    (5, 0.0, 2, 1.0, 4, 0.5, 0, 0, 0, 0, 0),
-    (3, 0.0, 6, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
-    (4, 0.5, 80, 0.0, 5, 0.8, 0, 0, 0, 0, 0),
-    (6, 0.0, 0, 0.0, 3, 1.0, 0, 0, 1, 0, 0),
-    (12, 0.0, 4, 0.5, 8, 0.0, 0, 0, 1, 0, 0),
+    return np.column_stack([flags, any_main, density, words, before(density), before(words), after(density), after(words)])
+
+
+# Labelled blocks by hand, after common page layouts: side, main, header, any_main, then 1 for main text.
+# Each stands for blocks of any length, links and neighbours (LENGTHS, LINKS and their combinations).
+MARKED = (
+    (1, 0, 0, 0, 0),
+    (1, 0, 0, 1, 0),
+    (1, 0, 1, 1, 0),
+    (1, 1, 0, 1, 0),
+    (1, 1, 1, 1, 0),
+    (0, 1, 0, 1, 1),
+    (0, 1, 1, 1, 1),
+    (0, 0, 0, 1, 0),
+    (0, 0, 1, 1, 0),
 )
+LENGTHS = (1, 9, 120)
+LINKS = (0.0, 1.0)
+# Labelled blocks by hand of pages that mark no article: header, link density, words, the same of the block before and of the
+# block after, then 1 for main text.
+UNMARKED = (
+    (0, 0.0, 110, 0.0, 90, 0.0, 75, 1),
+    (0, 0.05, 45, 0.0, 8, 0.0, 60, 1),
+    (0, 0.0, 24, 0.0, 60, 0.0, 36, 1),
+    (0, 0.0, 18, 0.0, 9, 0.0, 70, 1),
+    (0, 0.0, 7, 1.0, 1, 0.0, 85, 1),
+    (0, 0.0, 6, 0.0, 70, 0.0, 64, 1),
+    (0, 0.0, 3, 0.0, 52, 0.0, 41, 1),
+    (0, 0.2, 95, 0.1, 55, 0.0, 3, 1),
+    (0, 0.0, 5, 0.0, 0, 0.0, 130, 1),
+    (0, 0.0, 11, 0.0, 88, 1.0, 3, 1),
+    (0, 0.0, 30, 0.0, 0, 0.0, 0, 1),
+    (0, 0.0, 14, 0.0, 16, 0.0, 12, 1),
+    (0, 0.1, 64, 1.0, 2, 1.0, 1, 1),
+    (0, 1.0, 4, 1.0, 5, 1.0, 6, 0),
+    (0, 0.8, 9, 0.7, 7, 1.0, 8, 0),
+    (0, 0.7, 16, 1.0, 12, 0.6, 14, 0),
+    (0, 0.6, 40, 1.0, 10, 0.8, 30, 0),
+    (0, 1.0, 3, 0.0, 120, 0.0, 60, 0),
+    (0, 0.9, 12, 0.0, 90, 0.0, 2, 0),
+    (0, 0.0, 2, 1.0, 4, 1.0, 3, 0),
+    (0, 0.0, 4, 1.0, 2, 0.5, 4, 0),
+    (0, 0.0, 3, 0.0, 6, 0.0, 0, 0),
+    (0, 0.5, 4, 0.0, 80, 0.8, 5, 0),
+    (1, 0.0, 6, 0.0, 0, 1.0, 3, 0),
+    (1, 0.0, 12, 0.5, 4, 0.0, 8, 0),
+    (1, 0.0, 9, 1.0, 2, 0.0, 75, 0),
+    (1, 0.0, 35, 0.0, 3, 1.0, 1, 0),
+)
+
+
+def labelled_blocks() -> np.ndarray:
+    """The small labelled table: the features of FEATURE_NAMES, then the label."""
+    rows = [
+        (*marks, links, words, links_before, before, links_after, after, label)
+        for *marks, label in MARKED
+        for links in LINKS
+        for words in LENGTHS
+        for links_before, before in ((0.0, LENGTHS[0]), (1.0, LENGTHS[1]), (0.0, LENGTHS[2]))
+        for links_after, after in ((0.0, LENGTHS[0]), (1.0, LENGTHS[1]), (0.0, LENGTHS[2]))
+    ]
+    rows += [(0, 0, header, 0, *rest) for header, *rest in UNMARKED]
+    return np.array(rows, dtype=np.float64)
 
 
 @dataclass
@@ -227,7 +231,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10) -> Node:
     """A tree by least Gini impurity; cuts lie midway between values, ties go to the first feature and lowest cut."""
     node = Node(float(y.mean()))
     if depth == 0 or node.share in (0.0, 1.0):
@@ -251,7 +255,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
 
 @cache
 def block_tree() -> Node:
-    table = np.array(EXAMPLES, dtype=np.float64)
+    table = labelled_blocks()
     return grow(table[:, :-1], table[:, -1])
 
 

@@ -97,18 +97,18 @@ def _matrix(rows: pd.Series, exact_float: bool) -> np.ndarray:
 
 
 def search_shard(data: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """data: vec_id, v; queries: vec_id, v, floor. The best k of data for every query, with score at floor or above."""
+    """data: vec_id, v; queries: query_id, q, floor. The best k of data for every query, with score at floor or above."""
     out: list[tuple[np.ndarray, np.ndarray, int]] = []
     for size, own in data.groupby(data["v"].map(len)):
-        asked = queries[queries["v"].map(len) == size]
+        asked = queries[queries["q"].map(len) == size]
         if not len(asked):
             continue
         most = lambda rows: max(int(np.abs(np.asarray(v, dtype=np.float64)).max()) for v in rows)
-        exact_float = most(own["v"]) * most(asked["v"]) * int(size) < 1 << 52
-        vectors, q = _matrix(own["v"], exact_float), _matrix(asked["v"], exact_float)
+        exact_float = most(own["v"]) * most(asked["q"]) * int(size) < 1 << 52
+        vectors, q = _matrix(own["v"], exact_float), _matrix(asked["q"], exact_float)
         tree = Tree(own["vec_id"].to_numpy(np.int64), vectors)
         bounds = tree.bounds(q)
-        for i, (qid, floor) in enumerate(zip(asked["vec_id"], asked["floor"])):
+        for i, (qid, floor) in enumerate(zip(asked["query_id"], asked["floor"])):
             ids, scores = tree.search(int(qid), q[i], bounds[i], k, -np.inf if pd.isna(floor) else int(floor))
             out.append((ids, scores, int(qid)))
     return pd.DataFrame(
@@ -137,17 +137,15 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int, shard_rows:
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // query_block))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    queries = vectors.where(is_query).select("vec_id", "v", block.alias("block"))
+    queries = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), block.alias("block"))
     data = vectors.select("vec_id", "v", shard.alias("shard"))
     first = F.pmod(F.col("block"), F.lit(shards))  # the shard that a block of queries visits first
     at_first = data.join(F.broadcast(data.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"), F.pmod("id", F.lit(shards)).cast("int").alias("shard"))), "shard")
     seed = materialise(_answers(at_first, queries.withColumn("shard", first).withColumn("floor", F.lit(None).cast("long")), k), "kd-seed")
-    floors = seed.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("found")).select(F.col("query_id").alias("vec_id"), F.when(F.col("found") >= k, F.col("floor")).alias("floor"))
+    floors = seed.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("found")).select("query_id", F.when(F.col("found") >= k, F.col("floor")).alias("floor"))
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    rest = (
-        queries.join(floors, "vec_id", "left").withColumn("shard", every_shard).where(F.col("shard") != first)
-    )
+    rest = queries.join(floors, "query_id", "left").withColumn("shard", every_shard).where(F.col("shard") != first)
     others = data.withColumn("block", every_block).where(F.pmod(F.col("block"), F.lit(shards)) != F.col("shard"))
     found = materialise(seed.unionAll(_answers(others, rest, k)), "kd-found")
     # a shard's k best are few; what all shards found for a query is ranked together

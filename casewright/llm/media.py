@@ -25,11 +25,13 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 RATE = 8000
-FRAME = 576
-HOP = 288
+FRAME = 288
+HOP = 144
 PAD_BYTE = 255
+#: Payloads are padded to a multiple of this.
+UNIT = 576
 #: Upper edges of the bands, in bins; bin 0 is left out.
-BANDS = (1, 11, 21, 41, 81, 161, 289)
+BANDS = (1, 6, 11, 21, 41, 81, 145)
 #: Later peaks each peak is paired with, and the frames within which they lie.
 FAN_OUT = 3
 REACH = 8
@@ -51,7 +53,7 @@ FEATURES = StructType(
 )
 
 
-def padded_payload(text: str | None, unit: int = FRAME) -> bytes:
+def padded_payload(text: str | None, unit: int = UNIT) -> bytes:
     data = (text or "").encode("utf-8", "surrogatepass")
     return data + bytes([PAD_BYTE]) * (max(unit, -(-len(data) // unit) * unit) - len(data))
 
@@ -86,7 +88,8 @@ def spectral_peaks(samples: bytes) -> tuple[int, np.ndarray]:
         power = spectrum.real**2 + spectrum.imag**2
         bins = np.stack([power[:, lo:hi].argmax(axis=1) + lo for lo, hi in zip(BANDS, BANDS[1:])], axis=1)
         best = np.take_along_axis(power, bins, axis=1)
-        frame, band = np.nonzero(best > best.mean(axis=1, keepdims=True))
+        loud = np.log1p(best)
+        frame, band = np.nonzero(loud > loud.mean(axis=1, keepdims=True))
         found.append(np.stack([frame + a, bins[frame, band]], axis=1))
     return n, np.concatenate(found) if found else np.empty((0, 2), np.int64)
 

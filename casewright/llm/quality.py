@@ -1,11 +1,12 @@
 """Quality by compression with two zstandard dictionaries.
 
 One dictionary is built from good labelled texts, one from bad ones. A text is compressed in blocks with either;
-the difference of the compressed sizes over their sum tells which kind it is like, and a logistic
-curve fitted on labelled rows outside the dictionaries turns it into a score. Blocks keep the
+the difference of the compressed sizes over their sum tells which kind it is like. A logistic
+curve fitted on labelled rows outside the dictionaries turns it into a score; the curve also sees the
+compressed share of the text, as text that repeats itself is small with either dictionary. Blocks keep the
 dictionaries' pull on a long text as strong as on a short one.
 
-Nulls: a null text scores as an empty one, by the curve at difference 0. Rows without a label teach nothing; with
+Nulls: a null text scores as an empty one, by the curve at difference 0 and the labelled texts' mean share. Rows without a label teach nothing; with
 labels of one kind only, that kind's share is everybody's score. Repeated rows each give a row.
 """
 
@@ -40,30 +41,33 @@ CALIBRATION_SHARE = 0.4
 class QualityModel:
     good: bytes
     bad: bytes
-    slope: float
-    offset: float
+    curve: np.ndarray  # weights of (1, difference, share, share squared), each measured from mean in units of spread
+    mean: np.ndarray
+    spread: np.ndarray
     _tools: tuple | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_tools": None}
 
-    def difference(self, text: str | None) -> float:
-        """(size with the bad dictionary - size with the good one) / their sum; 0 without text."""
+    def measures(self, text: str | None) -> tuple[float, float]:
+        """(size with the bad dictionary - size with the good one) / their sum, and their mean over the text's size."""
         if not self.good or not self.bad or not text:
-            return 0.0
+            return 0.0, np.nan
         if self._tools is None:
             options = {"level": LEVEL, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
-            self._tools = tuple(
-                zstandard.ZstdCompressor(dict_data=_loaded(d), **options)
-                for d in (self.good, self.bad)
-            )
+            self._tools = tuple(zstandard.ZstdCompressor(dict_data=_loaded(d), **options) for d in (self.good, self.bad))
         data = text.encode("utf-8", "surrogatepass")
         a, b = (sum(len(tool.compress(data[i : i + BLOCK_BYTES])) for i in range(0, len(data), BLOCK_BYTES)) for tool in self._tools)
-        return (b - a) / (b + a)
+        return (b - a) / (b + a), (a + b) / (2 * len(data))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        d = np.array([self.difference(t) for t in texts])
-        return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * d, -40, 40)))
+        x = (expanded(np.array([self.measures(t) for t in texts]).reshape(-1, 2)) - self.mean) / self.spread
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] + np.nan_to_num(x) @ self.curve[1:], -40, 40)))
+
+
+def expanded(measures: np.ndarray) -> np.ndarray:
+    share = np.minimum(measures[:, 1], 1.0)
+    return np.column_stack([measures[:, 0], share, share * share])
 
 
 def _loaded(data: bytes) -> zstandard.ZstdCompressionDict:
@@ -81,35 +85,36 @@ def dictionary(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
     return joined[-size:]
 
 
-def fit_curve(d: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of the logistic curve, by Newton steps with a slight pull to 0."""
-    scale = max(float(d.std()), 1e-9)
-    x = np.stack([d / scale, np.ones(len(d))], axis=1)
-    w = np.zeros(2)
+def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 100) -> np.ndarray:
+    """Weights of the logistic curve, the constant first, by Newton steps with a slight pull to 0."""
+    x = np.column_stack([np.ones(len(x)), x])
+    w, pull = np.zeros(x.shape[1]), np.eye(x.shape[1]) * 0.05
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        g = x.T @ (p - y) + 1e-2 * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        move = np.linalg.solve(h, g)
-        w -= np.clip(move, -5, 5)
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull, x.T @ (p - y) + pull @ w)
+        w -= np.clip(move, -3, 3)
         if np.abs(move).max() < 1e-10:
             break
-    return float(w[0] / scale), float(w[1])
+    return w
 
 
 def fit(texts: list[str], labels: np.ndarray) -> QualityModel:
     y = np.asarray(labels, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
-        return QualityModel(b"", b"", 0.0, float(np.log(share / (1 - share))))
+        return QualityModel(b"", b"", np.array([np.log(share / (1 - share)), 0, 0, 0]), np.zeros(3), np.ones(3))
     for_curve = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) / 2**32 < CALIBRATION_SHARE for t in texts])
     if not len(set(y[for_curve])) == len(set(y[~for_curve])) == 2:
         for_curve = np.arange(len(y)) % 2 == 0
     if not len(set(y[~for_curve])) == 2:
         for_curve[:] = False
-    model = QualityModel(*(dictionary([t for t, k, c in zip(texts, y, for_curve) if k == kind and not c]) for kind in (1, 0)), 0.0, 0.0)
+    model = QualityModel(*(dictionary([t for t, k, c in zip(texts, y, for_curve) if k == kind and not c]) for kind in (1, 0)), np.zeros(4), np.zeros(3), np.ones(3))
     judge = np.flatnonzero(for_curve) if len(set(y[for_curve])) == 2 else np.arange(len(y))
-    model.slope, model.offset = fit_curve(np.array([model.difference(texts[i]) for i in judge]), y[judge])
+    x = expanded(np.array([model.measures(texts[i]) for i in judge]))
+    told = ~np.isnan(x).any(axis=1)
+    if told.any():
+        model.mean, model.spread = x[told].mean(axis=0), np.maximum(x[told].std(axis=0), 1e-9)
+        model.curve = fit_curve((x[told] - model.mean) / model.spread, y[judge][told])
     return model
 
 
@@ -127,7 +132,7 @@ def fit_quality_model(labelled: DataFrame, text_col: str = "text", label_col: st
         rates.append(min(1.0, train_rows / n) if n else 1.0)
     sample = kinds[0].unionAll(kinds[1]).toPandas().sort_values(["text", "y"])
     model = fit(sample["text"].tolist(), sample["y"].to_numpy())
-    model.offset += float(np.log(rates[0] / rates[1]))
+    model.curve[0] += float(np.log(rates[0] / rates[1]))
     return model
 
 
