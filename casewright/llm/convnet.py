@@ -22,9 +22,10 @@ class ConvNet:
     pad: int
 
     @classmethod
-    def fresh(cls, ids: int, dim: int, widths: tuple[int, ...], filters: int, classes: list[int], pad: int, seed: int) -> ConvNet:
+    def fresh(cls, ids: int, dim: int, widths: tuple[int, ...], filters: int, classes: list[int], pad: int, seed: int, spread: float = 0.3) -> ConvNet:
+        """spread: of the first embeddings; small where most ids will never be learned, so that these stay silent."""
         rng = np.random.default_rng(seed)
-        embedding = rng.normal(0, 0.3, (ids, dim)).astype(np.float32)
+        embedding = rng.normal(0, spread, (ids, dim)).astype(np.float32)
         embedding[pad] = 0
         kernels = [rng.normal(0, (w * dim) ** -0.5, (w, dim, filters)).astype(np.float32) for w in widths]
         n = filters * len(widths)
@@ -53,13 +54,15 @@ class _Adam:
         self.m = [np.zeros_like(v) for v in values]
         self.v = [np.zeros_like(v) for v in values]
 
-    def step(self, grads: list[np.ndarray]) -> None:
+    def step(self, grads: list[np.ndarray], rows: np.ndarray) -> None:
+        """grads[0] belongs to these rows of the first value only; its other rows stay as they are."""
         self.t += 1
         scale = self.rate * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t)
-        for x, g, m, v in zip(self.values, grads, self.m, self.v, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            x -= scale * m / (np.sqrt(v) + 1e-7)
+        for i, (x, g, m, v) in enumerate(zip(self.values, grads, self.m, self.v, strict=True)):
+            at = rows if i == 0 else slice(None)
+            m[at] += 0.1 * (g - m[at])
+            v[at] += 0.001 * (g * g - v[at])
+            x[at] -= scale * m[at] / (np.sqrt(v[at]) + 1e-7)
 
 
 def train(
@@ -71,7 +74,6 @@ def train(
     batch: int,
     rate: float,
     seed: int,
-    decay: float = 0.0,
 ) -> None:
     """Fit net in place. sequences: (items, ids an item) arrays; targets and weights: one array for each head.
 
@@ -84,7 +86,9 @@ def train(
         order = rng.permutation(len(sequences))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            grads = [np.zeros_like(p) for p in adam.values]
+            grads = [np.zeros_like(p) for p in adam.values[1:]]
+            grads.insert(0, None)
+            touched, parts = [], []
             pooled = np.empty((len(rows), len(net.bias)), np.float32)
             wins = np.empty((len(rows), len(net.bias)), np.int64)
             embedded = []
@@ -124,12 +128,13 @@ def train(
                             there = place + j < len(seq)
                             ids = seq[place[there] + j]
                             if ids.size:
-                                np.add.at(grads[0], ids, (kernel[j][:, there] * g[there]).T[:, None, :])
-            grads[0][net.pad] = 0
-            if decay:
-                for g, p in zip(grads, adam.values, strict=True):
-                    g += decay * p
-            adam.step(grads)
+                                touched.append(ids.ravel())
+                                parts.append(np.repeat((kernel[j][:, there] * g[there]).T, ids.shape[1], axis=0))
+            ids, place = np.unique(np.concatenate(touched), return_inverse=True) if touched else (np.empty(0, np.int64), None)
+            grads[0] = np.zeros((len(ids), net.embedding.shape[1]), np.float32)
+            if touched:
+                np.add.at(grads[0], place, np.concatenate(parts))
+            adam.step(grads, ids)
             net.embedding[net.pad] = 0
 
 
