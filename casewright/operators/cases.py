@@ -77,7 +77,7 @@ def _count(array: Column, keep: Callable[[Column], Column] | None = None) -> Col
 
 
 def flatten_reports(reports: DataFrame) -> DataFrame:
-    """Case rows of (quarter, source_file, report) rows, report being of REPORT_TYPE.
+    """Case rows of (quarter, source_file, report) rows, report being a struct of REPORT_FIELDS.
 
     Work stays inside the row: arrays are prepared once, then counted."""
     r = F.col("report")

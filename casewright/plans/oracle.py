@@ -256,6 +256,8 @@ SELECT model, split, safetyreportid, label, score, 'sex' AS stratum, CASE WHEN p
 UNION ALL SELECT model, split, safetyreportid, label, score, 'age_bin', {age_bin("age_years")} FROM scores
 UNION ALL SELECT model, split, safetyreportid, label, score, 'quarter', quarter FROM scores
 """
+#: This engine's upper() leaves ß as it is.
+_SHARP = "replace(text, 'ß', 'SS')"
 _R9 = "round({0}, 9) AS {0}"
 
 
@@ -279,13 +281,13 @@ ORACLE: dict[str, str] = {
     "prj_weak_votes": with_parts(f"SELECT k, {', '.join(_RULES)} FROM votes", "cases", votes=VOTES),
     "fn_strip": with_parts(f"SELECT k, {strip('safetyreportid')} AS stripped FROM headers", "headers"),
     "fn_parse_float": with_parts(f"SELECT k, drugstructuredosagenumb AS text, {num('drugstructuredosagenumb')} AS value FROM drugs", "drugs"),
-    "fn_round6": f"SELECT o_orderkey AS k, {six('o_totalprice')} AS rounded, {six('o_totalprice / 1e7')} AS small FROM orders",
+    "fn_round6": f"SELECT o_orderkey AS k, {six('sqrt(o_totalprice)')} AS rounded, {six('sqrt(o_totalprice) / 1e7')} AS small FROM orders",
     "fn_parse_date": with_parts(f"SELECT k, receivedate, {day('receivedate')} AS day FROM headers", "headers"),
     "fn_age_years": with_parts(f"SELECT k, {age('patientonsetage', 'patientonsetageunit')} AS age_years FROM headers", "headers"),
     "fn_age_bin": with_parts(f"SELECT k, {age_bin('age_years')} AS age_bin FROM cases", "cases"),
     "fn_count_bin": with_parts(f"SELECT k, {count_bin('drug_count')} AS bin, {count_bin('dose_value_mean')} AS mean_bin FROM cases", "cases"),
-    "fn_normalize_text": f"SELECT item_id, {norm('text')} AS normalized FROM benchmark",
-    "fn_make_token": f"SELECT item_id, coalesce({token('item', 'text')}, '') AS token FROM benchmark",
+    "fn_normalize_text": f"SELECT item_id, {norm(_SHARP)} AS normalized FROM benchmark",
+    "fn_make_token": f"SELECT item_id, coalesce({token('item', _SHARP)}, '') AS token FROM benchmark",
     "fn_canonical_drug": with_parts("SELECT k, name, from_active, count(*) AS n FROM drug_facts GROUP BY ALL", "drug_facts"),
     "fn_quarter_split": with_parts(f"SELECT k, quarter, {SPLIT} AS split FROM headers", "headers"),
     "fn_report_id_sort_key": with_parts(f"SELECT k, {ID_KEY_LIST[0]} AS kind, {ID_KEY_LIST[1]} AS length, {ID_KEY_LIST[2]} AS text FROM (SELECT k, {strip('safetyreportid')} AS safetyreportid FROM headers) AS h", "headers"),

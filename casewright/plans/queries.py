@@ -168,7 +168,7 @@ def fn_parse_float(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fn_round6(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("o_totalprice")
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), S.round6(price).alias("rounded"), S.round6(price / 1e7).alias("small"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), S.round6(F.sqrt(price)).alias("rounded"), S.round6(F.sqrt(price) / 1e7).alias("small"))
 
 
 @query

@@ -101,7 +101,7 @@ SELECT o_orderkey AS k, model, CAST(o_orderkey AS STRING) AS safetyreportid,
        CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE CAST(o_orderkey % 2 + 1 AS STRING) END AS patientsex,
        CASE WHEN o_orderkey % 8 = 7 THEN NULL ELSE CAST(o_custkey % 97 AS DOUBLE) END AS age_years,
        CASE WHEN o_orderstatus = 'F' OR (o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 0) THEN 1 ELSE 0 END AS label,
-       CASE WHEN model = 'price' THEN CAST(CAST(o_totalprice / 5000 AS BIGINT) AS DOUBLE) / 128
+       CASE WHEN model = 'price' THEN CAST(floor(o_totalprice / 5000) AS DOUBLE) / 128
             ELSE CAST((o_orderkey * 7919 + o_custkey * 31 + CASE WHEN o_orderstatus = 'F' THEN 40000 ELSE 0 END) % 65536 AS DOUBLE) / 65536 END AS score
 FROM {{orders}} CROSS JOIN (SELECT 'price' AS model UNION ALL SELECT 'hash' AS model) AS models
 """

@@ -9,14 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import scalars as S
-from casewright.functions.schema import REPORT_TYPE
+from casewright.functions.schema import REPORT_FIELDS
 
 XML_FILES = "*/XML/*.xml"
 DELETE_FILES = "*/Deleted/DELETE*.txt"
 END_TAG = "</safetyreport>"
 _QUARTER = r"(?i)((?:19|20)\d{2})q([1-4])(?=[^/]*/)"
-#: The schema as fields, as the XML reader wants it.
-REPORT_FIELDS = REPORT_TYPE.removeprefix("struct<")[:-1]
 
 
 def quarter_of(path: Column) -> Column:
