@@ -47,9 +47,14 @@ def parse_float(text: Column) -> Column:
 
 
 def round6(x: Column) -> Column:
-    """Rounded to six significant digits; NaN and infinities give null."""
-    finite = ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
-    return F.when(finite, F.format_string("%.5e", x).cast("double"))
+    """Rounded to six significant digits; NaN and infinities give null.
+
+    A number whose shortest decimal text ends in a lone 5 at the seventh digit goes to the even digit, as it does
+    where the tie is exact (means of eighths and so on)."""
+    text = F.format_string("%.16e", x)
+    to_even = text.rlike(r"^-?[0-9]\.[0-9]{4}[02468]50*e")
+    rounded = F.when(to_even, F.regexp_replace(text, "50*e", "e")).otherwise(F.format_string("%.5e", x))
+    return F.when(text.rlike("^-?[0-9]"), rounded.try_cast("double"))
 
 
 def parse_date(text: Column) -> Column:
