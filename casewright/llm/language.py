@@ -22,6 +22,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from casewright.llm.convnet import ConvNet, softmax, train
+from casewright.llm.tables import whole_rows
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -164,7 +165,7 @@ def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: st
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred and score; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 25 MB of tables at most, whatever the input
 
     def apply(texts: pd.Series) -> pd.DataFrame:
@@ -172,7 +173,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     kind = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.withColumn("_language", pandas_udf(apply, kind)(F.col(text_col))).select(*docs.columns, "_language.lang_pred", "_language.score")
+    found = whole_rows(docs.drop("lang_pred", "score"), pandas_udf(apply, kind)(F.col(text_col)).alias("found"))
+    return found.select("row.*", "found.*")
 
 
 def id_remainder(id_col: str, modulus: int) -> Column:

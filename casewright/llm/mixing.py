@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.tables import materialise
+from casewright.llm.tables import materialise, whole_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -155,7 +155,9 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """docs with every row repeated as often as the mix takes it; rows it does not take are gone."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    plan = materialise(plan_mix(document_sizes(docs)).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "copies"), "mix-plan")
-    alike = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
-    return sized.join(plan, alike).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = whole_rows(docs, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    taken = plan_mix(document_sizes(docs)).where("copies > 0")
+    plan = materialise(taken.select(F.col("doc_id").alias("plan_id"), F.col("source").alias("plan_source"), F.col("size").alias("plan_size"), "copies"), "mix-plan")
+    alike = F.col("row.doc_id").eqNullSafe(F.col("plan_id")) & F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("size") == F.col("plan_size"))
+    repeated = rows.join(plan, alike).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select("row.*")

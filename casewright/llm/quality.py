@@ -137,7 +137,7 @@ def fit_quality_model(labelled: DataFrame, text_col: str = "text", label_col: st
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a score; below CUT a text counts as bad."""
+    """docs with a score, in place of a column of that name; below CUT a text counts as bad."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries, about 200 kB
 
     def apply(texts: pd.Series) -> pd.Series:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from casewright.llm.tables import materialise
+from casewright.llm.tables import materialise, whole_rows
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -258,7 +258,7 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     found = materialise(simhash_components(docs), "simhash-found")
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("keep_id")).count()
     keep = materialise(keep, "simhash-keep")
-    kept = docs.join(keep.select("keep_id"), F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    kept = whole_rows(docs).join(keep.select("keep_id"), F.col("row.doc_id").eqNullSafe(F.col("keep_id")), "left_semi").select("row.*")
     if keep.where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept

@@ -1,34 +1,19 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Tables of this folder's operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where that is unset (local runs)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return _OWN[app]
+from casewright.sources.shared import materialise, shared_dir
 
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a
-    lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "read_table", "shared_dir", "whole_rows"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def whole_rows(docs: DataFrame, *columns) -> DataFrame:
+    """docs as one column `row`, next to columns: names inside a row clash with nothing. select("row.*") gives docs back."""
+    return docs.select(F.struct("*").alias("row"), *columns)
