@@ -138,11 +138,11 @@ def train(
             net.embedding[net.pad] = 0
 
 
-def pool_segments(tables: np.ndarray, widths: list[int], n_filters: int, ids: list[np.ndarray], starts: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+def pool_segments(tables: np.ndarray, widths: list[int], n_filters: int, ids: list[np.ndarray], starts: np.ndarray, pad: int, most: int = 1 << 16) -> np.ndarray:
     """Pooled filter values of segments of one long sequence, without bias and ReLU.
 
     tables: (ids, sum of widths * filters), an id's part for each width and place. ids: for each id of an
-    item, the sequence's ids; every segment ends with max(widths) - 1 pads at least. starts: where segments begin.
+    item, the sequence's ids; every segment ends with max(widths) - 1 pads at least, at which no filter begins. starts: where segments begin.
     The sequence is worked off in stretches of about `most` items, so a very long segment needs no more memory."""
     total, tail = len(ids[0]), max(widths) - 1
     out = np.full((len(starts), n_filters * len(widths)), -np.inf, np.float32)
@@ -157,12 +157,13 @@ def pool_segments(tables: np.ndarray, widths: list[int], n_filters: int, ids: li
         first = np.searchsorted(starts, a, side="right") - 1
         inside = starts[(starts > a) & (starts < b)] - a
         cuts = np.concatenate(([0], inside))
-        at = 0
+        at, blank = 0, np.flatnonzero(ids[0][a:b] == pad)
         for k, w in enumerate(widths):
             conv = rows[: b - a, at : at + n_filters].copy()
             for j in range(1, w):
                 conv += rows[j : j + b - a, at + j * n_filters : at + (j + 1) * n_filters]
             at += w * n_filters
+            conv[blank] = -np.inf
             best = np.maximum.reduceat(conv, cuts, axis=0)
             own = out[first : first + len(cuts), k * n_filters : (k + 1) * n_filters]
             np.maximum(own, best, out=own)

@@ -8,7 +8,7 @@ the shards, k at most for each query and shard, are ranked at the end.
 
 Components x become floor(1024 * x); scores are integers and exact (floats are used only where all sums stay below
 2**53). Vectors that are null, or hold null or non-finite components, or differ in length from the query take no part. A query's
-own row (same id) is no candidate. Ties go to the smaller id. Ids are taken as unique; a null id takes no part.
+own row (same id) is no candidate. Components and scores beyond a long are taken as the nearest long. Ties go to the smaller id. Ids are taken as unique; a null id takes no part.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ def search_shard(data: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFr
         {
             "query_id": np.repeat([q for _, _, q in out], [len(i) for i, _, _ in out]).astype(np.int64) if out else np.empty(0, np.int64),
             "vec_id": np.concatenate([i for i, _, _ in out]) if out else np.empty(0, np.int64),
-            "score": np.array([int(s) for _, scores, _ in out for s in scores], dtype=np.int64),
+            "score": np.array([min(max(int(s), -(1 << 63)), (1 << 63) - 1) for _, scores, _ in out for s in scores], dtype=np.int64),
         }
     )
 

@@ -28,7 +28,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 DIM = 12
-#: At most about this many labelled rows are learned from, drawn by a hash of the text.
+#: At most about this many labelled rows are learned from, drawn by a hash of the id.
 TRAIN_ROWS = 6000
 #: Windows taken from each of them, evenly spread, while learning.
 TRAIN_WINDOWS = 3
@@ -43,11 +43,11 @@ _STRETCH = 1 << 17
 
 
 def bounded_sample(rows: DataFrame, key: Column, most: int, seed: int) -> DataFrame:
-    """About `most` of rows (all, if fewer), drawn by a hash of key: the same rows every time."""
+    """About `most` of rows (all, if fewer), drawn by a hash of key; never more than twice as many, should many rows share a key."""
     n = rows.count()
     if n <= most:
         return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int((1 << 30) * most / n)).limit(2 * most)
 
 
 @dataclass
@@ -67,6 +67,7 @@ class LanguageModel:
         pairs = wide[:, :-1] * 257 + wide[:, 1:]
         conv = self.first[pairs[:, :size]]
         conv += self.later[pairs[:, 2:]]
+        conv[codes == _PAD] = -np.inf  # no filter begins after the text's end
         features = np.maximum(conv.max(axis=1) + self.bias, 0)
         p = softmax(features @ self.weights + self.offset)
         return np.log(np.maximum(p, 1e-9))
@@ -153,11 +154,11 @@ def fit_windows(texts: list[str], labels: list[str], seed: int = 7, epochs: int
     return net, languages
 
 
-def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, seed: int = 7) -> LanguageModel:
+def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, seed: int = 7) -> LanguageModel:
     """A model from a bounded sample of rows with a text and a language."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null").where(F.length("text") <= TRAIN_CHARS)
-    sample = bounded_sample(rows, F.col("text"), train_rows, seed).toPandas().sort_values(["lang", "text"])
-    sample = sample[[bool(_LETTER.search(t)) for t in sample["text"]]]
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null").where(F.length("text") <= TRAIN_CHARS)
+    sample = bounded_sample(rows, F.col("id"), train_rows, seed).toPandas().sort_values(["lang", "text"])
+    sample = sample[np.array([bool(_LETTER.search(t)) for t in sample["text"]], dtype=bool)]
     net, languages = fit_windows(sample["text"].tolist(), sample["lang"].tolist(), seed)
     if net is None:
         return LanguageModel([], *[np.zeros((0, 0), np.float32)] * 5)

@@ -29,7 +29,7 @@ CUT = 0.3
 LEVEL = 3
 BLOCK_BYTES = 2048
 DICTIONARY_BYTES = 96 * 1024
-#: At most about this many labelled rows of each kind are learned from, drawn by a hash of the text.
+#: At most about this many labelled rows of each kind are learned from, drawn by a hash of the id.
 TRAIN_ROWS = 6000
 #: Texts longer than this are not drawn for learning (all are scored).
 TRAIN_CHARS = 20_000
@@ -118,17 +118,17 @@ def fit(texts: list[str], labels: np.ndarray) -> QualityModel:
     return model
 
 
-def fit_quality_model(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, seed: int = 5) -> QualityModel:
+def fit_quality_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, seed: int = 5) -> QualityModel:
     """A model from a bounded sample, of each kind, of rows with a text and a 0/1 label.
 
     The curve is fitted on the rows as they were drawn: kinds drawn at different rates are set right
     by the logarithm of the rates."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("text is not null and y in (0, 1)").where(F.length("text") <= TRAIN_CHARS)
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("text is not null and y in (0, 1)").where(F.length("text") <= TRAIN_CHARS)
     kinds, rates = [], []
     for kind in (0, 1):
         own = rows.where(F.col("y") == kind)
         n = own.count()
-        kinds.append(bounded_sample(own, F.col("text"), train_rows, seed))
+        kinds.append(bounded_sample(own, F.col("id"), train_rows, seed))
         rates.append(min(1.0, train_rows / n) if n else 1.0)
     sample = kinds[0].unionAll(kinds[1]).toPandas().sort_values(["text", "y"])
     model = fit(sample["text"].tolist(), sample["y"].to_numpy())
