@@ -32,6 +32,8 @@ SEQUENCE_TOKENS = 1024
 MAX_SEGMENTS = 64
 #: Pieces that one round of packing holds; what a round leaves over goes into the next.
 ROUND_PIECES = 20_000
+#: Sequences handed on at once, so that what is on its way out stays small.
+OUTPUT_SEQUENCES = 512
 SEPARATOR = 0
 PIECE_COLUMNS = ("doc_id", "start", "length", "loss_tokens", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
 
@@ -188,7 +190,11 @@ def pack_examples(
             s = sums[row]
             return b - a if s is None else int(s[b] - s[a])
 
-        def rows_of(sequences: list[list[Piece]]) -> pd.DataFrame:
+        def rows_of(sequences: list[list[Piece]]) -> Iterator[pd.DataFrame]:
+            for at in range(0, len(sequences), OUTPUT_SEQUENCES):
+                yield some_rows(sequences[at : at + OUTPUT_SEQUENCES])
+
+        def some_rows(sequences: list[list[Piece]]) -> pd.DataFrame:
             nonlocal serial
             out = []
             for sequence in sequences:
@@ -226,10 +232,10 @@ def pack_examples(
                 full += settled(packed[:-1])
                 waiting = packed[-1]
             if full:
-                yield rows_of(full)
+                yield from rows_of(full)
             forget({p.row for p in waiting})
         if waiting:
-            yield rows_of(settled(place(waiting, limits, loss_between)))
+            yield from rows_of(settled(place(waiting, limits, loss_between)))
 
     narrow = rows.select(F.col(id_col).cast("long").alias("id"), input_col.alias("input"))
     return narrow.mapInPandas(pack, ", ".join(f"{c} {'array<int>' if c == 'ids' else 'long'}" for c in columns))
