@@ -159,5 +159,6 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     taken = plan_mix(document_sizes(docs)).where("copies > 0")
     plan = materialise(taken.select(F.col("doc_id").alias("plan_id"), F.col("source").alias("plan_source"), F.col("size").alias("plan_size"), "copies"), "mix-plan")
     alike = F.col("row.doc_id").eqNullSafe(F.col("plan_id")) & F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("size") == F.col("plan_size"))
-    repeated = rows.join(plan, alike).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    joined = rows.join(plan.hint("merge"), alike)  # at every size: the plan grows with docs
+    repeated = joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return repeated.select("row.*")

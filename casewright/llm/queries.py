@@ -65,10 +65,15 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+#: Labels drawn, by a hash of the id, before they are joined with texts: a broadcast of about 1 MB at most.
+LABEL_ROWS = 40_000
+
+
 def _labelled(spark: SparkSession, sf_dir: str, learn, *more: str) -> DataFrame:
-    """Labelled documents outside the held-out ids; labels are joined by id before any text moves far."""
+    """Labelled documents outside the held-out ids. The bounded draw of labels goes to the texts; no text is shuffled."""
     docs = read_table(spark, sf_dir, "documents").where(learn).select("doc_id", "text", *more)
-    return docs.join(read_table(spark, sf_dir, "labels").where(learn), "doc_id")
+    drawn = language.bounded_sample(read_table(spark, sf_dir, "labels").where(learn), F.col("doc_id"), LABEL_ROWS, 3)
+    return docs.join(F.broadcast(drawn), "doc_id")
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:

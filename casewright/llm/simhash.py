@@ -258,7 +258,8 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     found = materialise(simhash_components(docs), "simhash-found")
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("keep_id")).count()
     keep = materialise(keep, "simhash-keep")
-    kept = whole_rows(docs).join(keep.select("keep_id"), F.col("row.doc_id").eqNullSafe(F.col("keep_id")), "left_semi").select("row.*")
+    # a merge join at every size: the list of ids grows with docs
+    kept = whole_rows(docs).join(keep.select("keep_id").hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("keep_id")), "left_semi").select("row.*")
     if keep.where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept
