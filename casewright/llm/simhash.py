@@ -18,6 +18,7 @@ Repeated rows each give a row. Extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,14 +253,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of every component, all its columns.
-
-    Of rows that share that doc_id, one stays (null ids count as one id)."""
-    found = materialise(simhash_components(docs), "simhash-found")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("keep_id")).count()
-    keep = materialise(keep, "simhash-keep")
-    # a merge join at every size: the list of ids grows with docs
-    kept = whole_rows(docs).join(keep.select("keep_id").hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("keep_id")), "left_semi").select("row.*")
-    if keep.where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    """One document of every component, all its columns: the one with the smallest doc_id.
+
+    The choice is made by class, never by doc_id alone: nulls come last, rows that share the smallest id are ordered
+    by a hash of the text, then of the row. Of rows alike in all columns, one stays."""
+    # maps and variants have no hash; rows that differ in them only count as alike
+    hashed = [F.col("row")[f.name] for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    rows = whole_rows(docs, F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"), F.col("text").alias("_text"))
+    rows = rows.select("row", "text_hash", F.xxhash64(*hashed).alias("row_hash"), "_text")
+    prints = materialise(rows.select(F.col("row.doc_id").alias("doc_id"), "text_hash", "row_hash", simhash_udf("_text").alias("print")), "simhash-prints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_hash")
+    classes = materialise(prints.groupBy("print").agg(F.min(order).alias("first")), "simhash-classes")
+    links = star_components(near_links(classes)).withColumnRenamed("node", "print")
+    rooted = classes.join(links, "print", "left").groupBy(F.coalesce("root", "print").alias("root"))
+    keep = materialise(rooted.agg(F.min("first").alias("first")).select(*[F.col(f"first.{c}").alias(f"keep_{c}") for c in ("doc_id", "text_hash", "row_hash")]), "simhash-keep")
+    # a merge join at every size: the list of rows kept grows with docs
+    same = F.col("row.doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("text_hash") == F.col("keep_text_hash")) & (F.col("row_hash") == F.col("keep_row_hash"))
+    kept = rows.drop("_text").join(keep.hint("merge"), same, "left_semi")
+    if prints.groupBy("doc_id", "text_hash", "row_hash").count().where("count > 1").limit(1).count():
+        kept = kept.withColumn("doc_id", F.col("row.doc_id")).dropDuplicates(["doc_id", "text_hash", "row_hash"])
+    return kept.select("row.*")

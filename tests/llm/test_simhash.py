@@ -93,3 +93,20 @@ def test_one_stays_of_every_group(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 2, 4, 6, 8]
     assert kept.where(F.col("doc_id").isNull()).count() == 1  # its component has no id but null
     assert S.keep_one_per_group(nothing(spark)).count() == 0
+
+
+def test_the_kept_row_is_chosen_by_class_not_by_id(spark):
+    a, b, c = ("".join(f"{w}{i} " for i in range(40)) for w in "abc")
+    rows = [
+        (None, a, "x"), (None, b, "x"), (None, b, "x"),  # two unrelated texts without an id, one of them twice
+        (1, c, "x"), (5, c, "x"), (5, "p q r s t", "x"),  # the copy with id 5 must not come back
+        (7, "k l m n o", "x"), (7, "u v w y z", "x"),  # unrelated texts that share an id
+        (9, "one of two sources", "x"), (9, "one of two sources", "y"),
+    ]
+    want = [(1, c), (5, "p q r s t"), (7, "k l m n o"), (7, "u v w y z"), (9, "one of two sources"), (None, a), (None, b)]
+    runs = []
+    for given in (rows, rows[::-1]):
+        docs = spark.createDataFrame(given, "doc_id long, text string, source string").repartition(3)
+        runs.append(sorted(map(tuple, S.keep_one_per_group(docs).collect()), key=str))
+    assert sorted((r[:2] for r in runs[0]), key=str) == sorted(want, key=str)
+    assert runs[0] == runs[1]
