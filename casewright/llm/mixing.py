@@ -7,8 +7,10 @@ aggregation over the histogram of sizes. Rates are then rounded into copies with
 each part of a source, from large to small documents, a copy more or less is chosen so that the words taken stay
 close to the words due.
 
-Only totals by source reach the driver (MAX_SOURCES at most). Parts are dealt by document, so a source that holds
-a third of all rows is spread like any other. Nulls: a null text has size 0 and takes nothing; null is a source
+Only totals by source reach the driver (MAX_SOURCES at most). A source is one part unless it holds several times
+PART_ROWS documents with words itself; then its longest PART_ROWS documents stay one part and the others are dealt by
+document. So the rounding of a source depends on its own rows only, few long documents are always rounded together, and
+a source that holds a third of all rows is spread. Nulls: a null text has size 0 and takes nothing; null is a source
 of its own, the last. Rows alike in doc_id, source and size are rounded together and get equal copies. An
 empty table gives no rows.
 """
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from casewright.llm.tables import materialise, whole_rows
 
@@ -32,7 +35,7 @@ CAP = 2.0
 MAX_SOURCES = 200_000
 TOLERANCE = 1e-9
 MAX_STEPS = 60
-#: Documents, more or less, that one task rounds.
+#: Documents, more or less, that one part of a large source rounds.
 PART_ROWS = 200_000
 
 
@@ -94,13 +97,13 @@ def tilts(histogram: DataFrame, totals: dict[int, float], means: dict[int, float
 
 
 def round_copies(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """copies of units (sid, words, rate), sorted by source and falling size, with error feedback."""
-    source, due = None, 0.0
+    """copies of units (sid, part, words, rate), sorted by source, part and falling size, with error feedback."""
+    at, due = None, 0.0
     for part in parts:
         copies = []
-        for sid, words, rate in zip(part["sid"].tolist(), part["words"].tolist(), part["rate"].tolist()):
-            if sid != source:
-                source, due = sid, 0.0
+        for sid, of, words, rate in zip(part["sid"].tolist(), part["part"].tolist(), part["words"].tolist(), part["rate"].tolist()):
+            if (sid, of) != at:
+                at, due = (sid, of), 0.0
             whole = math.floor(rate)
             due += (rate - whole) * words
             up = rate > whole and words > 0 and due >= words / 2
@@ -109,6 +112,15 @@ def round_copies(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield part[["doc_id", "source", "size", "sid", "n"]].assign(copies=copies)
 
 
+def longest_rows(histogram: DataFrame, sids: list[int]) -> dict[int, int]:
+    """For each source of sids, the least size such that at most PART_ROWS of its documents are as large or larger.
+
+    A source with more documents of its largest size has none. One window row for each distinct size."""
+    large = histogram.join(F.broadcast(histogram.sparkSession.createDataFrame([(s,) for s in sids], "sid int")), "sid")
+    so_far = F.sum("n").over(Window.partitionBy("sid").orderBy(F.desc("size")))
+    return dict(map(tuple, large.withColumn("so_far", so_far).where(F.col("so_far") <= PART_ROWS).groupBy("sid").agg(F.min("size")).collect()))
+
+
 def plan_mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
     """doc_id, source, size, n (rows alike), copies, source_size, target for (doc_id, source, size) rows."""
     spark = sizes.sparkSession
@@ -131,12 +143,22 @@ def plan_mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
             "sid int, source_size long, target double, tilt double",
         )
     )
-    parts = max(1, sum(r["rows"] for r in found) // PART_ROWS)
-    keys = ["doc_id", "source", "size", "sid"]
-    units = numbered.repartition(parts, *keys).groupBy(*keys).agg(F.count("*").alias("n"))
+    dealt = {i: r["filled"] // PART_ROWS for i, r in enumerate(found) if r["filled"] >= 2 * PART_ROWS}
+    # size 0 takes nothing whatever its part: a source may hold any number of such rows
+    part = F.when(F.col("size") == 0, F.pmod(F.xxhash64("doc_id"), F.lit(max(1, sum(r["rows"] - r["filled"] for r in found) // PART_ROWS)))).otherwise(0)
+    if dealt:
+        longest = longest_rows(histogram, sorted(dealt))
+        large = F.broadcast(spark.createDataFrame([(i, n, longest.get(i)) for i, n in dealt.items()], "sid int, dealt long, longest long"))
+        spread = F.col("dealt").isNotNull() & (F.col("size") > 0) & ~F.coalesce(F.col("size") >= F.col("longest"), F.lit(False))
+        numbered = numbered.join(large, "sid", "left")
+        part = F.when(spread, 1 + F.pmod(F.xxhash64("doc_id", "size"), "dealt")).otherwise(part)
+    keys = ["doc_id", "source", "size", "sid", "part"]
+    numbered = numbered.select(*keys[:-1], part.cast("long").alias("part"))
+    tasks = max(1, sum(r["rows"] for r in found) // PART_ROWS)
+    units = numbered.repartition(tasks, "sid", "part").groupBy(*keys).agg(F.count("*").alias("n"))
     rate = F.when(F.col("tilt").isNull(), F.lit(float(cap))).otherwise(F.exp(F.least(F.col("tilt") * F.col("size"), F.lit(math.log(cap)))))
     rated = units.join(facts.select("sid", "tilt"), "sid").select(*keys, "n", (F.col("size") * F.col("n")).alias("words"), F.least(rate, F.lit(float(cap))).alias("rate"))
-    sorted_ = rated.sortWithinPartitions("sid", F.desc("words"), F.xxhash64("doc_id"), "doc_id", "size")
+    sorted_ = rated.sortWithinPartitions("sid", "part", F.desc("words"), F.xxhash64("doc_id"), "doc_id", "size")
     id_type = sizes.schema["doc_id"].dataType.simpleString()
     copies = sorted_.mapInPandas(round_copies, f"doc_id {id_type}, source string, size long, sid int, n long, copies int")
     return copies.join(facts.drop("tilt"), "sid").drop("sid")

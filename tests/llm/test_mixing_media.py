@@ -73,6 +73,25 @@ def test_mix_edges(spark):
     assert X.mix_report(nothing(spark)).count() == 0 and X.mix_documents(nothing(spark)).count() == 0
 
 
+def test_few_long_documents_are_rounded_together(spark, monkeypatch):
+    monkeypatch.setattr(X, "PART_ROWS", 100)
+    i = F.col("id")
+    crowd = spark.range(4000).select(i.alias("doc_id"), F.when(i % 2 == 0, "a").otherwise("b").alias("source"), F.lit(5).cast("long").alias("size"))
+    books = spark.range(4000, 4060).select(i.alias("doc_id"), F.lit("c").alias("source"), F.lit(1000).cast("long").alias("size"))
+    blank = spark.range(5000, 6000).select(i.alias("doc_id"), F.lit("c").alias("source"), F.lit(0).cast("long").alias("size"))
+    # a large source whose few long documents lie in a crowd of short ones, at rates below 1
+    mixed = spark.range(6000, 6030).select(i.alias("doc_id"), F.lit("d").alias("source"), F.lit(5000).cast("long").alias("size"))
+    short = spark.range(7000, 9000).select(i.alias("doc_id"), F.lit("d").alias("source"), F.lit(1).cast("long").alias("size"))
+    rows = crowd.unionAll(books).unionAll(blank).unionAll(mixed).unionAll(short)
+    plan = X.plan_mix(rows, budget=0.6).collect()
+    assert len(plan) == 7090
+    for source, longest in (("a", 5), ("b", 5), ("c", 1000), ("d", 5000)):
+        own = [r for r in plan if r.source == source]
+        # the long ones end within half a document of their words due, so does each part of the short ones
+        assert abs(sum(r["size"] * r.copies for r in own) - own[0].target) <= longest / 2 + 25 * 5 / 2
+    assert sorted(map(tuple, plan), key=str) == sorted(map(tuple, X.plan_mix(rows.repartition(7), budget=0.6).collect()), key=str)
+
+
 def test_wav_holds_the_payload(spark):
     text = F.col("text")
     rows = edge(spark).select("text", M.text_to_wav(text).alias("m"), M.wav_features(M.text_to_wav(text)).alias("f"), M.pair_digest(M.wav_features(M.text_to_wav(text))).alias("d")).collect()
