@@ -7,12 +7,16 @@ aggregation over the histogram of sizes. Rates are then rounded into copies with
 each part of a source, from large to small documents, a copy more or less is chosen so that the words taken stay
 close to the words due.
 
-Only totals by source reach the driver (MAX_SOURCES at most). A source is one part unless it holds several times
+All that is known of a source (words, target, lambda) stays in a table with one row a source; only sums over that
+table reach the driver, so any number of sources can be mixed. A source is one part unless it holds several times
 PART_ROWS documents with words itself; then its longest PART_ROWS documents stay one part and the others are dealt by
 document. So the rounding of a source depends on its own rows only, few long documents are always rounded together, and
-a source that holds a third of all rows is spread. Nulls: a null text has size 0 and takes nothing; null is a source
-of its own, the last. Rows alike in doc_id, source and size are rounded together and get equal copies. An
-empty table gives no rows.
+a source that holds a third of all rows is spread.
+
+Nulls: a null text has size 0 and takes nothing; null is a source of its own, the last; a null doc_id is an id like any
+other. Rows alike in doc_id, source and size are rounded together and get equal copies. Ids are handed on as they are,
+of whatever type. Texts of any length only count their words. Ties in size go by a hash of the id, then by the id.
+Other columns, whatever their names, are carried along by mix_documents. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,147 +35,177 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 CAP = 2.0
-#: Totals of this many sources fit the driver and a broadcast with ease; more are refused.
-MAX_SOURCES = 200_000
 TOLERANCE = 1e-9
 MAX_STEPS = 60
 #: Documents, more or less, that one part of a large source rounds.
 PART_ROWS = 200_000
+#: Rows alike that are written out at once.
+REPEAT_ROWS = 10_000
+#: Columns that rounding hands on.
+UNIT = ("doc_id", "source", "size", "n", "source_size", "target")
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def share_targets(sizes: list[float], weights: list[float], budget: float, cap: float) -> list[float]:
-    """budget shared by weight, none above cap times its size, what is over reshared among the others."""
-    targets, open_ = [0.0] * len(sizes), set(range(len(sizes)))
-    left = budget
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        over = {i for i in open_ if unit * weights[i] > cap * sizes[i]}
-        for i in over or open_:
-            targets[i] = float(cap * sizes[i]) if over else unit * weights[i]
-        if not over:
+def source_key(source: Column) -> Column:
+    """A name for each source that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def weighted_sources(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """totals with the weight of each source: the weights repeat in order of code point, null last.
+
+    Sources are numbered in two levels: by slice of the sorted table, and inside the slice."""
+    order = [F.col("source").isNull(), F.col("source")]
+    sliced = materialise(totals.repartitionByRange(*order).withColumn("slice", F.spark_partition_id()), "mix-sources")
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sliced.groupBy("slice").count().select("slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    place = F.col("first") + F.row_number().over(Window.partitionBy("slice").orderBy(*order)) - 1
+    numbered = sliced.join(offsets, "slice").withColumn("place", place)
+    weight = F.get(F.array(*[F.lit(w) for w in weights]), F.pmod("place", F.lit(len(weights))).cast("int"))
+    return numbered.withColumn("weight", weight.cast("long")).drop("slice", "first", "place")
+
+
+def with_targets(sources: DataFrame, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
+    """sources (words, weight, ..) with target: budget times all words, shared by weight, none above cap times its words.
+
+    What is over is reshared until none is above: each round sums up the sources above their share, and no more than a
+    few rounds are needed, whatever the number of sources. Sums are of whole numbers, so their order does not show."""
+    (total,) = sources.agg(F.coalesce(F.sum("words"), F.lit(0))).first()
+    unit, last = 0.0, None
+    while True:
+        over = F.lit(unit) * F.col("weight") > F.lit(cap) * F.col("words") if last is not None else F.lit(False)
+        capped, weight = sources.agg(F.coalesce(F.sum(F.when(over, F.col("words"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0))).first()
+        if (capped, weight) == last:
             break
-        left -= sum(targets[i] for i in over)
-        open_ -= over
-    return targets
+        last = capped, weight
+        if not weight:  # all are at the cap
+            unit = math.inf
+            break
+        unit = max(0.0, budget * total - cap * capped) / weight
+    most = F.lit(float(cap)) * F.col("words")
+    return sources.withColumn("target", most if math.isinf(unit) else F.least(most, F.lit(float(unit)) * F.col("weight")))
 
 
-def tilts(histogram: DataFrame, totals: dict[int, float], means: dict[int, float], targets: dict[int, float], cap: float = CAP) -> dict[int, float]:
-    """lambda for each source of histogram (sid, size, n); inf where the target is the cap itself.
+def tilts(histogram: DataFrame, sources: DataFrame, cap: float = CAP) -> DataFrame:
+    """sources (key, words, filled, target, ..) with mean and tilt, the lambda of each; null where the target is the cap itself.
 
-    Newton steps on the dual, kept within a bracket; every step is one pass over the histogram."""
-    spark = histogram.sparkSession
-    out = {s: math.inf if targets[s] >= cap * totals[s] * (1 - 1e-12) else 0.0 for s in totals}
-    open_ = {s for s in totals if totals[s] > 0 and out[s] == 0.0 and abs(targets[s] - totals[s]) > TOLERANCE * targets[s]}
-    bracket = {s: (-math.inf, math.inf) for s in open_}
+    histogram: (key, size, n) of all sizes above 0. Newton steps on the dual, kept within a bracket; every step is one pass
+    over the histogram and writes the sources' state anew."""
     log_cap = math.log(cap)
+    none = F.lit(None).cast("double")
+    words, due = F.col("words").cast("double"), F.col("target")
+    at_cap = due >= F.lit(cap) * words * (1 - 1e-12)
+    state = sources.withColumn("mean", words / F.greatest(F.col("filled"), F.lit(1))).select(
+        "*",
+        F.when(~at_cap, F.lit(0.0)).alias("tilt"),
+        none.alias("low"),
+        none.alias("high"),
+        (F.col("words") > 0) & ~at_cap & (F.abs(due - words) > TOLERANCE * due),
+    )
+    state = materialise(state.toDF(*state.columns[:-1], "open"), "mix-state")
+    kept = [c for c in state.columns if c not in ("tilt", "low", "high", "open")]
     for _ in range(MAX_STEPS):
-        if not open_:
+        if not state.where("open").limit(1).count():
             break
-        now = F.broadcast(spark.createDataFrame([(s, out[s], means[s]) for s in sorted(open_)], "sid int, tilt double, mean double"))
+        at, low, high = F.col("tilt"), F.col("low"), F.col("high")
         part = F.col("size") / F.col("mean")
-        power = F.col("tilt") * part
-        words = F.col("n") * F.col("size") * F.exp(F.least(power, F.lit(log_cap)))
-        sums = histogram.join(now, "sid").groupBy("sid").agg(F.sum(words).alias("g"), F.sum(F.when(power < log_cap, words * part).otherwise(0.0)).alias("h"))
-        for sid, g, h in sums.collect():
-            at, due = out[sid], targets[sid]
-            if abs(g - due) <= TOLERANCE * due:
-                open_.discard(sid)
-                continue
-            low, high = bracket[sid]
-            low, high = (at, high) if g < due else (low, at)
-            bracket[sid] = low, high
-            # Newton on the logarithm, which a sum of exponentials makes nearly straight
-            step = at - g * math.log(g / due) / h if h > 0 and g > 0 else math.nan
-            if not low < step < high:
-                step = (low + high) / 2 if math.isfinite(low) and math.isfinite(high) else at * 2 + 1 if math.isinf(high) else at * 2 - 1
-            if high - low <= 1e-15 * max(1.0, abs(at)):
-                open_.discard(sid)
-                continue
-            out[sid] = step
+        power = at * part
+        taken = F.col("n") * F.col("size") * F.exp(F.least(power, F.lit(log_cap)))
+        now = state.where("open").select("key", "mean", "tilt")
+        sums = histogram.join(now, "key").groupBy("key").agg(F.sum(taken).alias("g"), F.sum(F.when(power < log_cap, taken * part).otherwise(0.0)).alias("h"))
+        joined = state.join(sums, "key", "left")
+        met = F.abs(F.col("g") - due) <= TOLERANCE * due
+        low, high = F.when(F.col("g") < due, at).otherwise(low), F.when(F.col("g") < due, high).otherwise(at)
+        joined = joined.select(*kept, "tilt", "open", "g", "h", met.alias("met"), low.alias("low"), high.alias("high"))
+        low, high = F.col("low"), F.col("high")
+        # Newton on the logarithm, which a sum of exponentials makes nearly straight
+        newton = F.when((F.col("h") > 0) & (F.col("g") > 0), at - F.col("g") * F.ln(F.col("g") / due) / F.col("h"))
+        inside = (low.isNull() | (newton > low)) & (high.isNull() | (newton < high))
+        halved = F.when(low.isNotNull() & high.isNotNull(), (low + high) / 2).when(high.isNull(), at * 2 + 1).otherwise(at * 2 - 1)
+        stuck = F.coalesce(high - low <= 1e-15 * F.greatest(F.lit(1.0), F.abs(at)), F.lit(False))
+        moves = F.col("open") & ~F.col("met") & ~stuck
+        step = F.when(F.coalesce(inside, F.lit(False)), newton).otherwise(halved)
+        state = materialise(joined.select(*kept, F.when(moves, step).otherwise(at).alias("tilt"), "low", "high", moves.alias("open")), "mix-state")
     # the order of summation must not show
-    return {s: x if math.isinf(x) else float(f"{x:.10g}") for s, x in out.items()}
+    return state.select(*kept, F.format_string("%.9e", F.col("tilt")).try_cast("double").alias("tilt"))
 
 
-def round_copies(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """copies of units (sid, part, words, rate), sorted by source, part and falling size, with error feedback."""
+def round_copies(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """copies of units (.., key, part, words, rate), sorted by key, part and falling size, with error feedback."""
     at, due = None, 0.0
     for part in parts:
         copies = []
-        for sid, of, words, rate in zip(part["sid"].tolist(), part["part"].tolist(), part["words"].tolist(), part["rate"].tolist()):
-            if (sid, of) != at:
-                at, due = (sid, of), 0.0
+        for key, of, words, rate in zip(*(part.column(c).to_pylist() for c in ("key", "part", "words", "rate"))):
+            if (key, of) != at:
+                at, due = (key, of), 0.0
             whole = math.floor(rate)
             due += (rate - whole) * words
             up = rate > whole and words > 0 and due >= words / 2
             due -= up * words
             copies.append(whole + up)
-        yield part[["doc_id", "source", "size", "sid", "n"]].assign(copies=copies)
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in UNIT), pa.array(copies, pa.int32())], names=[*UNIT, "copies"])
 
 
-def longest_rows(histogram: DataFrame, sids: list[int]) -> dict[int, int]:
-    """For each source of sids, the least size such that at most PART_ROWS of its documents are as large or larger.
+def dealt_sources(histogram: DataFrame, sources: DataFrame) -> DataFrame:
+    """For each source of many documents: key, dealt, and longest.
 
-    A source with more documents of its largest size has none. One window row for each distinct size."""
-    large = histogram.join(F.broadcast(histogram.sparkSession.createDataFrame([(s,) for s in sids], "sid int")), "sid")
-    so_far = F.sum("n").over(Window.partitionBy("sid").orderBy(F.desc("size")))
-    return dict(map(tuple, large.withColumn("so_far", so_far).where(F.col("so_far") <= PART_ROWS).groupBy("sid").agg(F.min("size")).collect()))
+    dealt is the number of parts of its shorter documents; longest the least size such that at most PART_ROWS of its documents are
+    as large or larger, null if more are of its largest size. One window row for each distinct size."""
+    large = sources.where(F.col("filled") >= 2 * PART_ROWS).select("key", F.floor(F.col("filled") / PART_ROWS).alias("dealt"))
+    so_far = F.sum("n").over(Window.partitionBy("key").orderBy(F.desc("size")))
+    sizes = histogram.join(large, "key").withColumn("so_far", so_far)
+    return sizes.groupBy("key", "dealt").agg(F.min(F.when(F.col("so_far") <= PART_ROWS, F.col("size"))).alias("longest"))
 
 
 def plan_mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
     """doc_id, source, size, n (rows alike), copies, source_size, target for (doc_id, source, size) rows."""
-    spark = sizes.sparkSession
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.count_if(F.col("size") > 0).alias("filled"))
-    found = totals.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    words = [float(r["words"]) for r in found]
-    due = share_targets(words, [weights[i % len(weights)] for i in range(len(found))], budget * sum(words), cap)
-    by_sid = dict(enumerate(words))
-    means = {i: r["words"] / max(r["filled"], 1) for i, r in enumerate(found)}
-    names = F.broadcast(spark.createDataFrame([(r["source"], i) for i, r in enumerate(found)], "name string, sid int"))
-    numbered = sizes.join(names, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    histogram = materialise(numbered.where("size > 0").groupBy("sid", "size").agg(F.count("*").alias("n")), "mix-histogram")
-    lam = tilts(histogram, by_sid, means, dict(enumerate(due)), cap)
-    facts = F.broadcast(
-        spark.createDataFrame(
-            [(i, int(words[i]), due[i], None if math.isinf(lam[i]) else lam[i] / max(means[i], 1e-300)) for i in range(len(found))],
-            "sid int, source_size long, target double, tilt double",
-        )
-    )
-    dealt = {i: r["filled"] // PART_ROWS for i, r in enumerate(found) if r["filled"] >= 2 * PART_ROWS}
+    sizes = sizes.withColumn("key", source_key(F.col("source")))
+    totals = sizes.groupBy("source", "key").agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.count_if(F.col("size") > 0).alias("filled"))
+    sources = materialise(with_targets(materialise(weighted_sources(totals, weights), "mix-weights"), budget, cap), "mix-targets")
+    histogram = materialise(sizes.where("size > 0").groupBy("key", "size").agg(F.count("*").alias("n")), "mix-histogram")
+    state = tilts(histogram, sources, cap).select("key", F.col("words").alias("source_size"), "target", (F.col("tilt") / F.col("mean")).alias("tilt"))
+    facts = materialise(state.join(dealt_sources(histogram, sources), "key", "left"), "mix-facts")
+    rows, blank = sources.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.col("rows") - F.col("filled")), F.lit(0))).first()
     # size 0 takes nothing whatever its part: a source may hold any number of such rows
-    part = F.when(F.col("size") == 0, F.pmod(F.xxhash64("doc_id"), F.lit(max(1, sum(r["rows"] - r["filled"] for r in found) // PART_ROWS)))).otherwise(0)
-    if dealt:
-        longest = longest_rows(histogram, sorted(dealt))
-        large = F.broadcast(spark.createDataFrame([(i, n, longest.get(i)) for i, n in dealt.items()], "sid int, dealt long, longest long"))
-        spread = F.col("dealt").isNotNull() & (F.col("size") > 0) & ~F.coalesce(F.col("size") >= F.col("longest"), F.lit(False))
-        numbered = numbered.join(large, "sid", "left")
-        part = F.when(spread, 1 + F.pmod(F.xxhash64("doc_id", "size"), "dealt")).otherwise(part)
-    keys = ["doc_id", "source", "size", "sid", "part"]
-    numbered = numbered.select(*keys[:-1], part.cast("long").alias("part"))
-    tasks = max(1, sum(r["rows"] for r in found) // PART_ROWS)
-    units = numbered.repartition(tasks, "sid", "part").groupBy(*keys).agg(F.count("*").alias("n"))
+    spread = F.col("dealt").isNotNull() & ~F.coalesce(F.col("size") >= F.col("longest"), F.lit(False))
+    part = (
+        F.when(F.col("size") == 0, F.pmod(F.xxhash64("doc_id"), F.lit(max(1, blank // PART_ROWS))))
+        .when(spread, 1 + F.pmod(F.xxhash64("doc_id", "size"), "dealt"))
+        .otherwise(0)
+    )
+    keys = ["doc_id", "source", "key", "size", "source_size", "target", "tilt", "part"]
+    dealt = sizes.join(facts, "key").select(*keys[:-1], part.cast("long").alias("part"))
+    units = dealt.repartition(max(1, rows // PART_ROWS), "key", "part").groupBy(*keys).agg(F.count("*").alias("n"))
     rate = F.when(F.col("tilt").isNull(), F.lit(float(cap))).otherwise(F.exp(F.least(F.col("tilt") * F.col("size"), F.lit(math.log(cap)))))
-    rated = units.join(facts.select("sid", "tilt"), "sid").select(*keys, "n", (F.col("size") * F.col("n")).alias("words"), F.least(rate, F.lit(float(cap))).alias("rate"))
-    sorted_ = rated.sortWithinPartitions("sid", "part", F.desc("words"), F.xxhash64("doc_id"), "doc_id", "size")
+    rated = units.select(*UNIT, "key", "part", (F.col("size") * F.col("n")).alias("words"), F.least(rate, F.lit(float(cap))).alias("rate"))
+    sorted_ = rated.sortWithinPartitions("key", "part", F.desc("words"), F.xxhash64("doc_id"), "doc_id", "size")
     id_type = sizes.schema["doc_id"].dataType.simpleString()
-    copies = sorted_.mapInPandas(round_copies, f"doc_id {id_type}, source string, size long, sid int, n long, copies int")
-    return copies.join(facts.drop("tilt"), "sid").drop("sid")
+    return sorted_.mapInArrow(round_copies, f"doc_id {id_type}, source string, size long, n long, source_size long, target double, copies int")
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
     return materialise(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "mix-sizes")
 
 
+def repeated(rows: DataFrame, n: Column) -> DataFrame:
+    """Every row of rows n times. What is to be written very often is first cut into batches, which are spread."""
+    counted = rows.withColumn("_n", n.cast("long"))
+    batches = F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / REPEAT_ROWS))
+    many = counted.where(F.col("_n") > REPEAT_ROWS).withColumn("_batch", F.explode(batches))
+    size = F.least(F.col("_n") - F.col("_batch") * REPEAT_ROWS, F.lit(REPEAT_ROWS))
+    many = many.repartition("_batch").withColumn("_n", size).drop("_batch")
+    few = counted.where(F.col("_n").between(1, REPEAT_ROWS))
+    both = few.unionAll(many)
+    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     """For every document: its words, its source's words and target, copies, and words taken."""
-    plan = plan_mix(document_sizes(docs))
-    each = plan.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    plan = materialise(plan_mix(document_sizes(docs)), "mix-plan")
+    each = repeated(plan, F.col("n"))
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
@@ -182,5 +216,5 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     plan = materialise(taken.select(F.col("doc_id").alias("plan_id"), F.col("source").alias("plan_source"), F.col("size").alias("plan_size"), "copies"), "mix-plan")
     alike = F.col("row.doc_id").eqNullSafe(F.col("plan_id")) & F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("size") == F.col("plan_size"))
     joined = rows.join(plan.hint("merge"), alike)  # at every size: the plan grows with docs
-    repeated = joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select("row.*")
+    # a document is taken CAP times at most
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

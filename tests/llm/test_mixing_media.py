@@ -14,10 +14,35 @@ from casewright.llm import mixing as X
 from tests.llm.edge import edge, nothing
 
 
-def test_targets_fill_up_to_the_cap():
-    assert X.share_targets([100, 100, 100], [5, 2, 1], 450, 2) == pytest.approx([200, 500 / 3, 250 / 3])
-    assert X.share_targets([10, 10, 0], [5, 2, 1], 40, 2) == [20.0, 20.0, 0.0]
-    assert X.share_targets([], [], 0, 2) == []
+def share_targets(sizes, weights, budget, cap):
+    """The plain rule: shared by weight, none above cap times its size, what is over reshared."""
+    targets, open_, left = [0.0] * len(sizes), set(range(len(sizes))), budget
+    while open_:
+        unit = left / sum(weights[i] for i in open_)
+        over = {i for i in open_ if unit * weights[i] > cap * sizes[i]}
+        for i in over or open_:
+            targets[i] = float(cap * sizes[i]) if over else unit * weights[i]
+        if not over:
+            break
+        left -= sum(targets[i] for i in over)
+        open_ -= over
+    return targets
+
+
+def test_targets_fill_up_to_the_cap(spark):
+    rng = np.random.default_rng(8)
+    for words in ([100, 100, 100], [10, 10, 0], [], [0, 0], [7], rng.integers(0, 10**6, 700).tolist()):
+        names = [f"s{i:04}" for i in range(len(words) - 1)] + [None] * bool(words)
+        sources = spark.createDataFrame([(n, X_key(n), int(w), 1, 1) for n, w in zip(names, words)], "source string, key string, words long, rows long, filled long")
+        found = {r.source: r for r in X.with_targets(X.weighted_sources(sources.repartition(3))).collect()}
+        weights = [(5, 2, 1)[i % 3] for i in range(len(words))]
+        assert [found[n].weight for n in names] == weights
+        due = share_targets(words, weights, 1.5 * sum(words), 2)
+        assert [found[n].target for n in names] == pytest.approx(due)
+
+
+def X_key(name):
+    return "" if name is None else "=" + name
 
 
 def slow_tilt(sizes, due, cap=2.0):
@@ -33,16 +58,56 @@ def slow_tilt(sizes, due, cap=2.0):
 def test_newton_meets_bisection(spark):
     rng = np.random.default_rng(1)
     sizes = [rng.integers(1, 900, 60).tolist(), rng.integers(1, 90, 200).tolist(), [7] * 30, [0, 1, 5000]]
-    rows = [(s, int(v), 1) for s, vs in enumerate(sizes) for v in vs if v]
-    totals = {s: float(sum(v)) for s, v in enumerate(sizes)}
-    means = {s: sum(v) / sum(x > 0 for x in v) for s, v in enumerate(sizes)}
-    due = {0: totals[0] * 0.2, 1: totals[1] * 1.9, 2: totals[2] * 2, 3: totals[3] * 0.7}
-    found = X.tilts(spark.createDataFrame(rows, "sid int, size long, n long"), totals, means, due)
-    assert math.isinf(found[2])
+    rows = [(str(s), int(v), 1) for s, vs in enumerate(sizes) for v in vs if v]
+    due = {0: sum(sizes[0]) * 0.2, 1: sum(sizes[1]) * 1.9, 2: sum(sizes[2]) * 2.0, 3: sum(sizes[3]) * 0.7}
+    sources = spark.createDataFrame([(str(s), sum(v), sum(x > 0 for x in v), float(due[s])) for s, v in enumerate(sizes)], "key string, words long, filled long, target double")
+    found = {int(r.key): r for r in X.tilts(spark.createDataFrame(rows, "key string, size long, n long"), sources).collect()}
+    assert found[2].tilt is None
     for s in (0, 1, 3):
-        rates = np.minimum(2, np.exp(found[s] * np.array(sizes[s]) / means[s]))
+        rates = np.minimum(2, np.exp(found[s].tilt * np.array(sizes[s]) / found[s].mean))
         assert (rates * sizes[s]).sum() == pytest.approx(due[s], rel=1e-7)
-        assert found[s] == pytest.approx(slow_tilt(sizes[s], due[s]), rel=1e-5)
+        assert found[s].tilt == pytest.approx(slow_tilt(sizes[s], due[s]), rel=1e-5)
+
+
+def slow_copies(units):
+    """Error feedback over (size, id) units, all at one rate function, in the order of rounding."""
+    due, out = 0.0, []
+    for words, rate in units:
+        due += (rate - math.floor(rate)) * words
+        up = rate > math.floor(rate) and words > 0 and due >= words / 2
+        due -= up * words
+        out.append(math.floor(rate) + up)
+    return out
+
+
+def test_rounding_equals_a_plain_loop():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    words = sorted(rng.integers(0, 90, 200).tolist(), reverse=True)
+    rates = rng.random(200).round(3) * 2
+    n = len(words)
+    batch = pa.RecordBatch.from_pydict({c: [0] * n for c in X.UNIT} | {"key": ["a"] * n, "part": [0] * n, "words": words, "rate": rates})
+    found = [b.column("copies").to_pylist() for b in X.round_copies(iter([batch.slice(0, 70), batch.slice(70)]))]
+    assert found[0] + found[1] == slow_copies(zip(words, rates))
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    big = 2**53
+    docs = spark.createDataFrame([(big + 1, "a b c", "s"), (None, "d e", "s"), (big + 3, "f g h i", "t"), (None, "d e", "s")], "doc_id long, text string, source string").coalesce(1)
+    rows = X.mix_report(docs).collect()
+    assert sorted((r.doc_id or 0, r["size"]) for r in rows) == [(0, 2), (0, 2), (big + 1, 3), (big + 3, 4)]
+    copies = {(r.doc_id, r["size"]): r.copies for r in rows}
+    kept = X.mix_documents(docs).groupBy("doc_id", "text").count().collect()
+    assert {(r.doc_id, r.text): r["count"] for r in kept} == {
+        (i, t): copies[i, len(t.split())] * m for i, t, m in ((big + 1, "a b c", 1), (None, "d e", 2), (big + 3, "f g h i", 1)) if copies[i, len(t.split())]
+    }
+
+
+def test_rows_alike_are_written_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(X, "REPEAT_ROWS", 7)
+    rows = spark.createDataFrame([("a", 0), ("b", 1), ("c", 7), ("d", 8), ("e", 50)], "x string, n long")
+    assert {r.x: r["count"] for r in X.repeated(rows, F.col("n")).groupBy("x").count().collect()} == {"b": 1, "c": 7, "d": 8, "e": 50}
 
 
 def test_mix_meets_targets(spark):
@@ -52,7 +117,8 @@ def test_mix_meets_targets(spark):
         F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("source"),
     )
     rows = X.mix_report(docs).collect()
-    assert len(rows) == 3000 and rows == X.mix_report(docs).collect() or sorted(rows) == sorted(X.mix_report(docs).collect())
+    assert len(rows) == 3000
+    assert sorted(rows) == sorted(X.mix_report(docs.repartition(5)).collect())
     by_target = {}
     for r in rows:
         assert 0 <= r.taken <= 2 * r["size"] and r.taken == r.copies * r["size"]
