@@ -100,7 +100,7 @@ def tilts(histogram: DataFrame, sources: DataFrame, cap: float = CAP) -> DataFra
     at_cap = due >= F.lit(cap) * words * (1 - 1e-12)
     state = sources.withColumn("mean", words / F.greatest(F.col("filled"), F.lit(1))).select(
         "*",
-        F.when(~at_cap, F.lit(0.0)).alias("tilt"),
+        F.when(~at_cap & (words > 0), F.ln(due / words)).when(~at_cap, F.lit(0.0)).alias("tilt"),
         none.alias("low"),
         none.alias("high"),
         (F.col("words") > 0) & ~at_cap & (F.abs(due - words) > TOLERANCE * due),

@@ -10,8 +10,9 @@ into powers of two, which need no padding.
 Every partition packs its own rows as they come, so nothing is shuffled and a lost partition is packed
 again the same way. Sequence ids are the partition number and a running number.
 
-Nulls: a null text is an empty example (its separator alone). A null or repeated id is carried along; every
-row is packed on its own. An empty table gives no rows.
+Nulls: a null text is an empty example (its separator alone). An id, null or repeated or not, is carried along as it is,
+of whatever type; every row is packed on its own. A text of any length is cut into as many pieces as it needs. Ties go to the
+shorter, then the less loss-bearing piece. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -177,8 +178,11 @@ def pack_examples(
 
     tokenise turns a list of inputs into (ids, loss mask or None for all) pairs."""
     columns = [c for c in PIECE_COLUMNS if with_ids or c != "ids"]
+    narrow = rows.select(F.col(id_col).alias("id"), input_col.alias("input"))
+    kinds = {"doc_id": narrow.schema["id"].dataType.simpleString(), "ids": "array<int>"}
 
-    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"ids": pa.list_(pa.int32())}
         serial = TaskContext.get().partitionId() << 33
         names: dict[int, object] = {}
         ids: dict[int, np.ndarray] = {}
@@ -190,11 +194,11 @@ def pack_examples(
             s = sums[row]
             return b - a if s is None else int(s[b] - s[a])
 
-        def rows_of(sequences: list[list[Piece]]) -> Iterator[pd.DataFrame]:
+        def rows_of(sequences: list[list[Piece]]) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(sequences), OUTPUT_SEQUENCES):
                 yield some_rows(sequences[at : at + OUTPUT_SEQUENCES])
 
-        def some_rows(sequences: list[list[Piece]]) -> pd.DataFrame:
+        def some_rows(sequences: list[list[Piece]]) -> pa.RecordBatch:
             nonlocal serial
             out = []
             for sequence in sequences:
@@ -204,8 +208,7 @@ def pack_examples(
                     out.append((names[p.row], p.start, p.length, p.loss, zlib.crc32(piece.tobytes()), len(ids[p.row]), serial, offset, *([piece.astype(np.int32)] if with_ids else [])))
                     offset += p.length
                 serial += 1
-            table = pd.DataFrame(out, columns=columns)
-            return table.astype({"doc_id": "Int64"})
+            return pa.RecordBatch.from_arrays([pa.array(v, types.get(c, pa.int64())) for c, v in zip(columns, zip(*out))], names=columns)
 
         def settled(sequences: list[list[Piece]]) -> list[list[Piece]]:
             """Short sequences, which the limits leave, are cut so that none needs padding."""
@@ -218,8 +221,9 @@ def pack_examples(
 
         for part in parts:
             full: list[list[Piece]] = []
-            for doc_id, (tokens, mask) in zip(part["id"], tokenise(part["input"].tolist())):
-                names[count] = None if pd.isna(doc_id) else int(doc_id)
+            types["doc_id"] = part.schema.field("id").type
+            for doc_id, (tokens, mask) in zip(part.column("id").to_pylist(), tokenise(part.column("input").to_pylist())):
+                names[count] = doc_id
                 ids[count] = tokens
                 sums[count] = None if mask is None else np.concatenate(([0], np.cumsum(mask)))
                 whole, rest = cut_full(count, len(tokens), limits, loss_between)
@@ -237,8 +241,7 @@ def pack_examples(
         if waiting:
             yield from rows_of(settled(place(waiting, limits, loss_between)))
 
-    narrow = rows.select(F.col(id_col).cast("long").alias("id"), input_col.alias("input"))
-    return narrow.mapInPandas(pack, ", ".join(f"{c} {'array<int>' if c == 'ids' else 'long'}" for c in columns))
+    return narrow.mapInArrow(pack, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in columns))
 
 
 def tokenise_texts(texts: list[str | None], vocabulary: str = VOCABULARY) -> list[tuple[np.ndarray, None]]:
@@ -251,19 +254,22 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), with_ids: bool =
     return pack_examples(docs, tokenise_texts, "doc_id", F.col("text"), limits, with_ids=with_ids)
 
 
-def tokenise_turns(conversations: list, vocabulary: str = VOCABULARY, learned_roles: frozenset[str] = frozenset({"assistant"})) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ids of a conversation's turns, each ended by SEPARATOR; only turns of learned_roles bear loss."""
-    enc, out = encoder(vocabulary), []
-    for turns in conversations:
-        ids, mask = [np.empty(0, np.uint16)], [np.empty(0, np.int64)]
-        for turn in turns if turns is not None else []:
-            own = np.concatenate([enc.encode(turn["text"]), np.array([SEPARATOR], np.uint16)])
-            ids.append(own)
-            mask.append(np.full(len(own), int(turn["role"] in learned_roles)))
-        out.append((np.concatenate(ids), np.concatenate(mask)))
+def tokenise_turns(turns: list, vocabulary: str = VOCABULARY, learned_roles: frozenset[str] = frozenset({"assistant"})) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids of turns (role, text), each ended by SEPARATOR; only turns of learned_roles bear loss."""
+    enc, out, end = encoder(vocabulary), [], np.array([SEPARATOR], np.uint16)
+    for turn in turns:
+        ids = np.concatenate([enc.encode(turn["text"]), end])
+        out.append((ids, np.full(len(ids), int(turn["role"] in learned_roles))))
     return out
 
 
-def pack_conversations(conversations: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Pieces of (conv_id, turns array<struct<role, text>>) rows, for instruction data: doc_id is the conversation's id."""
-    return pack_examples(conversations, tokenise_turns, "conv_id", F.col("turns"), limits)
+#: Instruction data: a sequence learns from no more than half of its tokens, and attends to no more than 8 pieces.
+TURN_LIMITS = Limits(segments=8, loss_tokens=SEQUENCE_TOKENS // 2)
+
+
+def pack_turns(conversations: DataFrame, limits: Limits = TURN_LIMITS) -> DataFrame:
+    """Pieces of (conv_id, turn, role, text) rows, for instruction data: every turn is an example, doc_id the struct (conv_id, turn).
+
+    Turns are packed as they come, so a conversation of any length is no single task's work."""
+    named = conversations.withColumn("doc_id", F.struct("conv_id", "turn"))
+    return pack_examples(named, tokenise_turns, "doc_id", F.struct("role", "text"), limits)

@@ -12,7 +12,7 @@ from casewright.llm.html import extract_main_text
 from casewright.llm.kdtree import top_similar
 from casewright.llm.language import id_remainder
 from casewright.llm.mixing import mix_report
-from casewright.llm.packing import pack_documents
+from casewright.llm.packing import pack_documents, pack_turns
 from casewright.llm.simhash import simhash_components
 from casewright.llm.tables import read_table
 from casewright.llm.tokens import document_token_counts
@@ -54,6 +54,13 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), with_ids=False).select(*named)
 
 
+def op5_instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all turns of conversations, in sequences bounded in tokens, pieces and loss-bearing tokens at once."""
+    packed = pack_turns(read_table(spark, sf_dir, "conversations"))
+    named = ["start", "length", "loss_tokens", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    return packed.select("doc_id.conv_id", "doc_id.turn", *named)
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash_components(read_table(spark, sf_dir, "documents"))
@@ -113,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_separator_scan,
         op4_language,
         op5_vector_packing,
+        op5_instruction_packing,
         op6_simhash_components,
         op7_main_text,
         op8_quality,

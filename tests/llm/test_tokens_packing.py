@@ -7,9 +7,11 @@ import pytest
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from casewright.llm import packing as P
+from casewright.llm import queries
 from casewright.llm import tokens as T
 from tests.llm.edge import edge, nothing
 
@@ -113,13 +115,44 @@ def test_dot_product_prefers_the_fuller_piece():
     assert [[p.length for p in s] for s in P.place(pieces, P.Limits(100, 4, 100), plain, may_cut=False)] == [[60, 40], [30]]
 
 
-def test_conversations_bear_loss_on_answers(spark):
-    data = [(1, [("user", "hello there"), ("assistant", "hi, how are you")]), (2, None), (3, [("assistant", None)])]
-    df = spark.createDataFrame(data, "conv_id long, turns array<struct<role: string, text: string>>")
+def test_turns_bear_loss_on_answers(spark):
+    data = [(1, 0, "user", "hello there"), (1, 1, "assistant", "hi, how are you"), (2, None, None, "x"), (3, 0, "assistant", None), (None, 1, "assistant", "z")]
+    df = spark.createDataFrame(data, "conv_id long, turn int, role string, text string")
     loss = {}
-    for r in P.pack_conversations(df).collect():
-        loss[r.doc_id] = loss.get(r.doc_id, 0) + r.loss_tokens
-    assert loss == {1: len(PLAIN.encode("hi, how are you").ids) + 1, 3: 1}
+    for r in P.pack_turns(df).collect():
+        loss[tuple(r.doc_id)] = loss.get(tuple(r.doc_id), 0) + r.loss_tokens
+    assert loss == {(1, 0): 0, (1, 1): len(PLAIN.encode("hi, how are you").ids) + 1, (2, None): 0, (3, 0): 1, (None, 1): 2}
+    assert P.pack_turns(df.limit(0)).count() == 0
+
+
+def test_conversations_meet_three_limits_that_bind(spark, sf_dir):
+    rows = queries.op5_instruction_packing(spark, sf_dir).collect()
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
+    assert sum(r.length for r in rows) == sum(len(PLAIN.encode(t.text or "", add_special_tokens=False).ids) + 1 for t in turns)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    tokens = [sum(r.length for r in s) for s in sequences.values()]
+    pieces = [len(s) for s in sequences.values()]
+    loss = [sum(r.loss_tokens for r in s) for s in sequences.values()]
+    limits = P.TURN_LIMITS
+    assert max(tokens) == limits.tokens and max(pieces) == limits.segments and max(loss) == limits.loss_tokens
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    big = 2**53
+    docs = spark.createDataFrame([(big + 1, "a b"), (None, "c"), (big + 3, "d e f"), (big + 3, None)], "doc_id long, text string").coalesce(1)
+    want = sorted(((r.doc_id or 0), len(PLAIN.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in T.document_token_counts(docs).collect()) == want
+    packed = P.pack_documents(docs, with_ids=False).where("start = 0").collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens - 1) for r in packed) == want
+    named = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert {r.doc_id for r in P.pack_documents(named).collect()} == {str(big + 1), str(big + 3), None}
+
+
+def test_null_blocks_hold_no_tokens(spark):
+    blocks = spark.createDataFrame([("f", 0, None), ("g", 0, bytearray(np.array([5, T.END_OF_DOCUMENT], "<u2").tobytes()))], "file string, block long, data binary")
+    assert [(r.file, r.n_tokens) for r in T.separator_scan(blocks, block_tokens=8).collect()] == [("g", 1)]
 
 
 def test_too_large_a_piece_is_an_error():
