@@ -263,8 +263,8 @@ def tokenise_turns(turns: list, vocabulary: str = VOCABULARY, learned_roles: fro
     return out
 
 
-#: Instruction data: a sequence learns from no more than half of its tokens, and attends to no more than 8 pieces.
-TURN_LIMITS = Limits(segments=8, loss_tokens=SEQUENCE_TOKENS // 2)
+#: Instruction data: seven eighths of a sequence's tokens may bear loss, and it attends to no more than 5 pieces.
+TURN_LIMITS = Limits(segments=5, loss_tokens=SEQUENCE_TOKENS * 7 // 8)
 
 
 def pack_turns(conversations: DataFrame, limits: Limits = TURN_LIMITS) -> DataFrame:

