@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from casewright.llm import quality, queries, simhash, toxicity
+from casewright.llm import quality, queries, toxicity
 from casewright.llm.mixing import mix_report
 from casewright.llm.tables import materialise, read_table
 from tests.llm.edge import edge, nothing
+from tests.llm.test_simhash import least_of_groups
 
 
 def ids(df):
@@ -22,7 +23,7 @@ def test_each_stage_takes_effect(spark, sf_dir):
     toxic = toxicity.score_toxicity(a, queries.toxicity_model(spark, sf_dir)).collect()
     assert ids(b) == sorted(r.doc_id for r in toxic if r.score < toxicity.CUT) and b.columns == columns
     c = materialise(once(spark, b, sf_dir), "c")
-    assert ids(c) == sorted({r.component_id for r in simhash.simhash_components(b).collect()}) and c.columns == columns
+    assert ids(c) == sorted(least_of_groups([(r.doc_id, r.text) for r in b.collect()])) and c.columns == columns
     d = materialise(mixed(spark, c, sf_dir), "d")
     copies = {r.doc_id: r.copies for r in mix_report(c).collect()}
     assert ids(d) == sorted(i for i, n in copies.items() for _ in range(n)) and d.columns == columns

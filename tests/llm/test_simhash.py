@@ -87,6 +87,109 @@ def test_edges(spark):
     assert S.simhash_components(nothing(spark)).count() == 0
 
 
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def least_of_groups(rows):
+    """The least id of every group of near copies, by all pairs: five words, similarity 0.8 or more."""
+    sets = []
+    for _, text in rows:
+        w = words_of(text)
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if common >= 0.8 * (len(a) + len(sets[j]) - common):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        g = find(i)
+        least[g] = min(least.get(g, doc_id), doc_id)
+    return set(least.values())
+
+
+def near_rows(rng, groups, size, edits):
+    """Groups of texts, each text with so many words changed against the first of its group."""
+    rows = []
+    for g in range(groups):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        for _ in range(size):
+            w = list(base)
+            for at in rng.integers(0, 150, edits):
+                w[at] = f"x{int(rng.integers(0, 10**6))}"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = np.random.default_rng(3)
+    rows = near_rows(rng, 20, 3, 1) + [(1000 + i, t) for i, t in near_rows(rng, 20, 2, 6)] + [(2000 + i, t) for i, t in near_rows(rng, 30, 1, 0)]
+    kept = S.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = least_of_groups(rows)
+    assert {r.doc_id for r in kept.collect()} == want and 1000 < max(want) and len(want) > 80
+
+
+def test_a_large_group_in_crowded_cells(spark):
+    rng = np.random.default_rng(4)
+    rows = near_rows(rng, 1, 300, 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in S.keep_one_per_group(docs).collect()] == [0]
+    sketches = docs.select(F.md5("text").alias("text_hash"), S.wide_sketch_udf("text").alias("s")).select("text_hash", "s.*")
+    links = S.similar_links(sketches, docs.select(F.md5("text").alias("text_hash"), "text"), cell_rows=20)
+    assert S.star_components(links).select("root").distinct().count() == 1
+    assert S.similar_links(sketches.limit(0), docs.select(F.md5("text").alias("text_hash"), "text")).count() == 0
+
+
+def test_tree_keeps_what_is_within_radius_together():
+    rng = np.random.default_rng(6)
+    prints = rng.integers(0, 1 << 62, (60, 2)).astype(np.uint64)
+    prints[20:] = prints[:1]
+    prints[20:, 0] ^= rng.integers(0, 16, 40).astype(np.uint64)
+    for radius in (4, 29):
+        i, j = S.near_tree(prints, radius)
+        assert (S._apart(prints[i], prints[j]) <= radius).all()
+        joined = slow_closure(60, [(a, b) for a in range(60) for b in range(a) if S._apart(prints[a], prints[b]) <= radius])
+        assert slow_closure(60, zip(i.tolist(), j.tolist())) == joined
+
+
+def slow_closure(n, links):
+    root = list(range(n))
+    for a, b in links:
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def test_sketch_equals_a_plain_loop():
+    text = "A b c d e f g a b c d e é"
+    w = words_of(text)
+    hashes = sorted({xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), 42) for i in range(len(w) - 4)})
+    mask = (1 << 64) - 1
+    bits = [0] * 256
+    for h in hashes:
+        for k in range(4):
+            x = (h + (k + 1) * 0x9E3779B97F4A7C15) & mask
+            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+            x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+            x ^= x >> 31
+            for b in range(64):
+                bits[64 * k + b] += x >> b & 1
+    bits = [2 * b > len(hashes) for b in bits]
+    hi, lo, p0, p1, cells = S.wide_sketch(text)
+    assert [p % (1 << 64) for p in (p0, p1)] == [sum(1 << b for b in range(64) if bits[64 * k + b]) for k in range(2)]
+    assert cells.tolist() == [(t << 16) + sum(1 << k for k in range(16) if bits[S._SAMPLED[t, k]]) for t in range(S.TABLES)]
+    assert S.wide_sketch(" a B\t c")[:2] == S.wide_sketch("A b C ")[:2] != S.wide_sketch("a b d")[:2]
+    assert S.wide_sketch(None)[:2] == S.wide_sketch(" \n")[:2] and S.wide_sketch(None)[4] == []
+
+
 def test_one_stays_of_every_group(spark):
     kept = S.keep_one_per_group(edge(spark))
     assert kept.columns == edge(spark).columns
