@@ -1,13 +1,16 @@
 """Main text of HTML pages: flat text blocks classified by a decision tree.
 
-A page is cut into flat blocks at block-level tags. A block has its words, link density, those of the
-blocks before and after it, and what the tags round it say (a page part that is never main text, or the
-article itself). A small decision tree, grown on the small labelled table below, keeps or drops each block; nothing else is
-dropped and nothing is cut.
+A page is cut into flat blocks at block-level tags. A block has its words, its link density, those of the
+blocks before and after it, and what the tags round it say: whether it stands in the article or in a header, and how
+strongly they mark a part that is no main text. A decision tree, grown on the small table of labelled pages below, keeps or drops
+each block; nothing else is dropped and nothing is cut. Where tags tell little (no article marked, or a name such as `related`
+that article text may bear), words and links of the block and its neighbours decide.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones are no
-blocks, and kept blocks are joined in page order by a line feed. Nulls: null or empty html gives an empty text. Text after
-an unfinished tag at the end of a cut-off page is markup. Repeated rows each give a row.
+blocks, and kept blocks are joined in page order by a line feed. Work grows with the length of the page, however its tags are
+nested. Nulls: null or empty html gives an empty text. Text after an unfinished tag at the end of a cut-off page is markup.
+Ties: a leaf that keeps and drops alike keeps. Repeated rows each give a row; other columns, whatever their names, play no part. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,15 +37,22 @@ SIDE_TAGS = frozenset("nav footer aside form menu dialog fieldset search".split(
 MAIN_TAGS = frozenset("article main".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_NEXT = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "tr": frozenset({"tr", "td", "th"}), "option": frozenset({"option"})}
-#: Words of class, id or role that mark a page part as no main text.
-SIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-links comment comments commentlist consent contentinfo cookie cookies disqus "
-    "footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion related "
-    "reply replies respond rail search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets complementary alert recommended".split()
+#: Names of classes and ids that mark no main text, alone or as a part of a longer name (site-footer, cookie_bar).
+SIDE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer "
+    "gdpr masthead menu modal nav navbar navigation newsletter pagination paywall popup sidebar sponsor sponsored subscribe subscription".split()
 )
+#: Names that mark no main text alone, but hint at it only as a part of a longer name.
+SIDE_ALONE = frozenset("alert banner login notice notices notification notifications pager promo promoted promotion rail reply replies respond signup social toolbar widget widgets".split())
+#: Names that only hint at it, alone or as a part: article text bears them, too.
+SIDE_HINTS = frozenset("bottom byline links recommended related search share sharing tags top".split())
+SIDE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
+#: Names and roles that mark the article where no tag does.
+MAIN_NAMES = frozenset("article articlebody article-body article-content entry-content main main-content post-body post-content story-body".split())
+INLINE_TAGS = frozenset("a b i em strong span u font".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.DOTALL)
-_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?<![\w-])(?:hidden(?![\w-])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.IGNORECASE)
 _PART = re.compile(r"[^a-z]+")
 
@@ -52,45 +62,67 @@ class Block:
     text: str
     words: int
     linked: int
-    side: bool
+    mark: int
     main: bool
     header: bool
 
 
-def _is_side(attributes: str) -> bool:
+def name_marks(attributes: str) -> tuple[int, bool]:
+    """What class, id and role say: 2 for a part that is no main text, 1 for a hint at it, 0; and whether they mark the article."""
+    mark, main = 0, False
     for m in _NAMES.finditer(attributes):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        if any(name in SIDE_WORDS or any(part in SIDE_WORDS for part in _PART.split(name)) for name in value.split()):
-            return True
-    return False
+        kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        for name in value.split():
+            if kind == "role":
+                mark, main = max(mark, 2 * (name in SIDE_ROLES)), main or name in MAIN_NAMES
+                continue
+            parts = [p for p in _PART.split(name) if p]
+            main = main or name in MAIN_NAMES
+            if name in SIDE_ALONE or any(p in SIDE_NAMES for p in parts):
+                mark = 2
+            elif any(p in SIDE_ALONE or p in SIDE_HINTS for p in parts):
+                mark = max(mark, 1)
+    return mark, main
 
 
 def flat_blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order, with what stands round them."""
     blocks: list[Block] = []
     held: list[tuple[str, bool]] = []
-    # open tags: name, and whether it adds to what must not be seen, side parts, main parts, headers, links
-    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []
-    depth = [0, 0, 0, 0, 0]
+    # open tags: name, and whether it adds to what must not be seen, is marked, is hinted at, main parts, headers, links
+    stack: list[tuple] = []
+    depth = [0] * 6
+    # where on the stack a name is open, and where block-level tags are
+    places: dict[str, list[int]] = {}
+    walls: list[int] = []
 
     def push(name: str, attributes: str) -> None:
-        side = name in SIDE_TAGS or (bool(attributes) and name not in ("body", "html", "article", "main") and _is_side(attributes))
+        mark, main = name_marks(attributes) if attributes and name not in ("body", "html") else (0, False)
+        if name in SIDE_TAGS:
+            mark = 2
+        elif name in MAIN_TAGS:
+            mark, main = 0, True
         unseen = name in UNSEEN_TAGS or (bool(attributes) and bool(_HIDDEN.search(attributes)))
-        flags = (unseen, side, name in MAIN_TAGS, name == "header", name == "a")
+        flags = (unseen, mark == 2, mark == 1, main, name == "header", name == "a")
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK_TAGS:
+            walls.append(len(stack))
         stack.append((name, *flags))
         for i, f in enumerate(flags):
             depth[i] += f
 
     def pop_to(name: str) -> None:
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at][0] == name:
-                break
-            if name in ("a", "b", "i", "em", "strong", "span", "u", "font") and stack[at][0] in BLOCK_TAGS:
-                return  # an inline end tag does not close blocks
-        else:
+        if not places.get(name):
             return
+        at = places[name][-1]
+        if name in INLINE_TAGS and walls and walls[-1] > at:
+            return  # an inline end tag does not close blocks
         while len(stack) > at:
-            for i, f in enumerate(stack.pop()[1:]):
+            closed, *flags = stack.pop()
+            places[closed].pop()
+            if closed in BLOCK_TAGS:
+                walls.pop()
+            for i, f in enumerate(flags):
                 depth[i] -= f
 
     def flush() -> None:
@@ -99,7 +131,8 @@ def flat_blocks(page: str) -> list[Block]:
             if text:
                 linked = sum(len(entities.unescape(t).split()) for t, a in held if a)
                 words = text.count(" ") + 1
-                blocks.append(Block(text, words, min(linked, words), depth[1] > 0, depth[2] > 0, depth[3] > 0))
+                mark = 2 if depth[1] else 1 if depth[2] else 0
+                blocks.append(Block(text, words, min(linked, words), mark, depth[3] > 0, depth[4] > 0))
             held.clear()
 
     at, size = 0, len(page)
@@ -108,13 +141,13 @@ def flat_blocks(page: str) -> list[Block]:
         if cut < 0:
             cut = size
         if cut > at and not depth[0]:
-            held.append((page[at:cut], depth[4] > 0))
+            held.append((page[at:cut], depth[5] > 0))
         if cut == size:
             break
         m = _TOKEN.match(page, cut)
         if not m:  # a bare <
             if not depth[0]:
-                held.append(("<", depth[4] > 0))
+                held.append(("<", depth[5] > 0))
             at = cut + 1
             continue
         at = m.end()
@@ -125,19 +158,14 @@ def flat_blocks(page: str) -> list[Block]:
         if name in BLOCK_TAGS:
             flush()
         elif name == "br" and not depth[0]:
-            held.append((" ", depth[4] > 0))
+            held.append((" ", depth[5] > 0))
         if closing:
             pop_to(name)
         elif name not in VOID_TAGS and not attributes.endswith("/"):
             if name in CLOSED_BY_NEXT and stack and stack[-1][0] in CLOSED_BY_NEXT[name]:
                 pop_to(stack[-1][0])
-            elif name == "p":
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        pop_to("p")
-                        break
-                    if stack[k][0] in BLOCK_TAGS:
-                        break
+            elif name == "p" and walls and stack[walls[-1]][0] == "p":
+                pop_to("p")
             if name in RAW_TAGS:
                 end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
                 at = end.end() if end else size
@@ -147,79 +175,61 @@ def flat_blocks(page: str) -> list[Block]:
     return blocks
 
 
-FEATURE_NAMES = ("side", "main", "header", "any_main", "link_density", "words", "links_before", "words_before", "links_after", "words_after")
+FEATURE_NAMES = ("mark", "main", "header", "any_main", "link_density", "words", "links_before", "words_before", "links_after", "words_after")
 
 
-def block_features(blocks: list[Block]) -> np.ndarray:
-    words = np.array([b.words for b in blocks], dtype=np.float64)
-    density = np.array([b.linked / b.words for b in blocks])
-    flags = np.array([(b.side, b.main, b.header) for b in blocks], dtype=np.float64).reshape(-1, 3)
+def feature_rows(words: np.ndarray, linked: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The features of a page's blocks; marks has the columns mark, main and header."""
+    density = linked / words
     before = lambda x: np.concatenate(([0.0], x[:-1]))
     after = lambda x: np.concatenate((x[1:], [0.0]))
-    any_main = np.full(len(blocks), flags[:, 1].max(initial=0.0))
-    return np.column_stack([flags, any_main, density, words, before(density), before(words), after(density), after(words)])
-
-
-# Labelled blocks by hand, after common page layouts: side, main, header, any_main, then 1 for main text.
-# Each stands for blocks of any length, links and neighbours (LENGTHS, LINKS and their combinations).
-MARKED = (
-    (1, 0, 0, 0, 0),
-    (1, 0, 0, 1, 0),
-    (1, 0, 1, 1, 0),
-    (1, 1, 0, 1, 0),
-    (1, 1, 1, 1, 0),
-    (0, 1, 0, 1, 1),
-    (0, 1, 1, 1, 1),
-    (0, 0, 0, 1, 0),
-    (0, 0, 1, 1, 0),
-)
-LENGTHS = (1, 9, 120)
-LINKS = (0.0, 1.0)
-# Labelled blocks by hand of pages that mark no article: header, link density, words, the same of the block before and of the
-# block after, then 1 for main text.
-UNMARKED = (
-    (0, 0.0, 110, 0.0, 90, 0.0, 75, 1),
-    (0, 0.05, 45, 0.0, 8, 0.0, 60, 1),
-    (0, 0.0, 24, 0.0, 60, 0.0, 36, 1),
-    (0, 0.0, 18, 0.0, 9, 0.0, 70, 1),
-    (0, 0.0, 7, 1.0, 1, 0.0, 85, 1),
-    (0, 0.0, 6, 0.0, 70, 0.0, 64, 1),
-    (0, 0.0, 3, 0.0, 52, 0.0, 41, 1),
-    (0, 0.2, 95, 0.1, 55, 0.0, 3, 1),
-    (0, 0.0, 5, 0.0, 0, 0.0, 130, 1),
-    (0, 0.0, 11, 0.0, 88, 1.0, 3, 1),
-    (0, 0.0, 30, 0.0, 0, 0.0, 0, 1),
-    (0, 0.0, 14, 0.0, 16, 0.0, 12, 1),
-    (0, 0.1, 64, 1.0, 2, 1.0, 1, 1),
-    (0, 1.0, 4, 1.0, 5, 1.0, 6, 0),
-    (0, 0.8, 9, 0.7, 7, 1.0, 8, 0),
-    (0, 0.7, 16, 1.0, 12, 0.6, 14, 0),
-    (0, 0.6, 40, 1.0, 10, 0.8, 30, 0),
-    (0, 1.0, 3, 0.0, 120, 0.0, 60, 0),
-    (0, 0.9, 12, 0.0, 90, 0.0, 2, 0),
-    (0, 0.0, 2, 1.0, 4, 1.0, 3, 0),
-    (0, 0.0, 4, 1.0, 2, 0.5, 4, 0),
-    (0, 0.0, 3, 0.0, 6, 0.0, 0, 0),
-    (0, 0.5, 4, 0.0, 80, 0.8, 5, 0),
-    (1, 0.0, 6, 0.0, 0, 1.0, 3, 0),
-    (1, 0.0, 12, 0.5, 4, 0.0, 8, 0),
-    (1, 0.0, 9, 1.0, 2, 0.0, 75, 0),
-    (1, 0.0, 35, 0.0, 3, 1.0, 1, 0),
+    any_main = np.full(len(words), marks[:, 1].max(initial=0.0))
+    return np.column_stack([marks, any_main, density, words, before(density), before(words), after(density), after(words)])
+
+
+def block_features(blocks: list[Block]) -> np.ndarray:
+    words, linked = (np.array(x, dtype=np.float64) for x in ([b.words for b in blocks], [b.linked for b in blocks]))
+    return feature_rows(words, linked, np.array([(b.mark, b.main, b.header) for b in blocks], dtype=np.float64).reshape(-1, 3))
+
+
+# Pages labelled by hand, after common layouts. A block is words/linked words, then + if it is main text or - if not; before that
+# s where tags or names mark no main text, w where they hint at it, m inside the article, h inside a header.
+LABELLED_PAGES = (
+    # an article, a menu of links before it, an unmarked and a marked advert, notices, a footer
+    "s1/1- s1/1- s2/2- s1/1- s8/0- 9/0- m11/0+ m74/0+ m120/2+ m3/0+ m5/0+ m48/0+ m96/9+ m2/0+ s12/3- s22/0- s9/9-",
+    "h2/2- hs1/1- hs1/1- hs2/2- mh12/0+ mh5/0+ m64/0+ m7/0+ m88/1+ m1/0+ ms14/0- ms40/0- m31/0+ ms6/6- s3/3- s2/2- s19/0-",
+    # lists of links and quotations that belong to the article
+    "s1/1- s2/2- m9/0+ m55/4+ m4/4+ m6/6+ m3/3+ m8/8+ m1/1+ m70/0+ m12/12+ m5/0+ m140/0+ s30/0- s1/1- 25/0- 60/0-",
+    # readers' comments and a form, below and inside the article
+    "s1/1- m8/0+ m210/6+ m45/0+ ms2/0- ms36/0- ms90/1- ms4/1- ms110/0- s2/0- s75/0- s4/0- s33/0- 3/0- s11/1-",
+    # names that only hint: as links they are lists of tags and related pages, as running text they are article
+    "s2/2- m10/0+ m81/0+ mw24/0+ mw66/1+ mw5/0+ mw130/4+ mw9/0+ m40/0+ mw3/3- mw1/1- mw7/7- mw2/2- mw14/12- w8/8- w20/0- s5/2-",
+    "m7/0+ mw52/0+ m33/2+ mw18/1+ m90/0+ mw6/5- mw1/1- mw12/11- m61/0+ mw4/0+ mw2/0+ w6/0- w40/0- w2/2- s8/0-",
+    # plain text round a marked article: teasers, notices and imprints that bear no name
+    "12/0- 64/0- 110/2- 9/0- m9/0+ m2/0+ m75/0+ m1/0+ m3/0+ m118/0+ m6/0+ 45/0- 120/0- 18/0- 70/5- 7/0- 33/0- 2/0-",
+    "h14/0- 40/0- 4/0- m5/0+ m33/0+ m4/0+ m1/0+ m20/3+ m12/0+ m2/0+ m90/0+ m130/0+ m3/0+ 88/0- 3/0- 52/0- s9/0- w30/0-",
+    "25/0- m3/0+ m66/0+ 16/0- 58/0- m40/0+ m2/0+ m2/0+ m80/1+ 95/0- 12/1- m14/0+ m7/0+ m55/0+ 5/0- 130/0- mh8/0+ m21/0+ w75/0- w12/0-",
+    # nothing marks the article: running text between menus and lists of links
+    "2/2- 1/1- 1/1- 2/2- 8/0+ 90/0+ 75/0+ 110/2+ 6/0+ 64/0+ 120/0+ 5/5- 7/7- 6/6- 3/0- 1/1- 2/2-",
+    "1/1- 2/2- 1/1- 11/0+ 18/0+ 70/0+ 24/0+ 45/2+ 36/0+ 60/0+ 95/19+ 41/0+ 3/3- 12/11- 10/8- 4/4- 2/0- 3/3-",
+    "h3/1- h6/6- h2/2- 7/0+ 85/0+ 52/0+ 9/0+ 88/1+ 30/0+ 16/0+ 12/0+ 14/0+ 1/1- 1/1- 5/4- 9/7- 12/12- 4/2- 6/0-",
+    "5/5- 9/7- 16/11- 14/9- 12/12- 40/24- 30/24- 10/10- 3/0- 2/2- 64/7+ 130/0+ 5/0+ 77/3+ 2/2- 1/1- 4/0-",
+    "30/0+",
+    "12/0+ 16/0+ 14/1+ 9/0+ 21/0+",
+    "s1/1- s2/2- s30/0- 10/0+ 66/0+ w40/2+ w25/0+ w4/4- w6/5- w1/1- 58/0+ s44/0- s9/0- s3/3-",
+    "hw2/0- h35/0- s12/0- 4/0+ 75/0+ 140/9+ 38/0+ sh9/2- w1/1- w2/2- w3/3- s60/0- s7/1-",
 )
 
 
 def labelled_blocks() -> np.ndarray:
     """The small labelled table: the features of FEATURE_NAMES, then the label."""
-    rows = [
-        (*marks, links, words, links_before, before, links_after, after, label)
-        for *marks, label in MARKED
-        for links in LINKS
-        for words in LENGTHS
-        for links_before, before in ((0.0, LENGTHS[0]), (1.0, LENGTHS[1]), (0.0, LENGTHS[2]))
-        for links_after, after in ((0.0, LENGTHS[0]), (1.0, LENGTHS[1]), (0.0, LENGTHS[2]))
-    ]
-    rows += [(0, 0, header, 0, *rest) for header, *rest in UNMARKED]
-    return np.array(rows, dtype=np.float64)
+    rows = []
+    for page in LABELLED_PAGES:
+        found = [re.fullmatch(r"([swmh]*)(\d+)/(\d+)([+-])", block).groups() for block in page.split()]
+        marks = np.array([(2 * ("s" in f) or "w" in f, "m" in f, "h" in f) for f, *_ in found], dtype=np.float64)
+        words, linked = (np.array([float(b[i]) for b in found]) for i in (1, 2))
+        rows.append(np.column_stack([feature_rows(words, linked, marks), [label == "+" for *_, label in found]]))
+    return np.concatenate(rows)
 
 
 @dataclass

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import html as entities
+import re
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +43,80 @@ def test_long_page_and_column(spark):
     assert len(rows) == 4 and rows[1].t == "" and rows[2].t == "\n".join(["some words"] * 20000) and rows[0].t == rows[3].t
 
 
+NAMED = f"""<article><h1>On search</h1><p class="tags">{"Running text about tags. " * 9}</p><div class="related-work">{"Others did the same. " * 9}</div>
+<div id="search-algorithms"><p>{"A search goes on. " * 9}</p></div><ul class="tags"><li><a href=a>one</a></li><li><a href=b>two</a></li></ul>
+<div class="comment-list"><p>{"A reader says so. " * 9}</p></div></article><div class="related">{"More of this. " * 9}</div>"""
+
+
+def test_article_text_may_bear_names_that_hint():
+    kept = H.main_text(NAMED).split("\n")
+    assert [t.split()[0] for t in kept] == ["On", "Running", "Others", "A"] and kept[3].startswith("A search")
+
+
+def test_links_and_words_decide_where_tags_say_little(monkeypatch):
+    words = "word " * 40
+    pages = [NAMED, f"<div><a href=a>one</a> <a href=b>two</a></div><p>{words}</p><p>{words}</p><div><a href=c>three</a></div>", f"<p>{words}</p><p>x y</p><div><a href=c>a b c</a></div>"]
+    before = [H.main_text(p) for p in pages]
+    features = H.block_features
+    for blanked in ("link_density", "words"):
+        at = [i for i, n in enumerate(H.FEATURE_NAMES) if n == blanked or n.startswith(blanked.split("_")[0][:5])]
+
+        def blank(blocks, at=at):
+            x = features(blocks)
+            x[:, at] = 0
+            return x
+
+        monkeypatch.setattr(H, "block_features", blank)
+        assert [H.main_text(p) for p in pages] != before
+    used = set()
+
+    def walk(node):
+        if node.feature >= 0:
+            used.add(H.FEATURE_NAMES[node.feature])
+            walk(node.low)
+            walk(node.high)
+
+    walk(H.block_tree())
+    assert {"link_density", "words"} <= used and any(n.endswith(("_before", "_after")) for n in used)
+
+
+def test_tree_equals_a_plain_walk():
+    table = H.labelled_blocks()
+    x = np.concatenate([table[:, :-1], np.random.default_rng(1).permuted(table[:, :-1], axis=0)])
+
+    def one(row, node):
+        while node.feature >= 0:
+            node = node.low if row[node.feature] <= node.cut else node.high
+        return node.share >= 0.5
+
+    assert H.is_main(x).tolist() == [one(r, H.block_tree()) for r in x]
+    assert (H.is_main(table[:, :-1]) == table[:, -1]).mean() > 0.97
+
+
+def test_unmatched_end_tags_take_linear_time():
+    size = 150_000
+    for page in ("<b>" * size + "</i>" * size, "<b><div>" + "<i>" * size + "</b>" * size, "<div>" * size + "</p>" * size):
+        began = time.perf_counter()
+        H.main_text(page)
+        assert time.perf_counter() - began < 10
+
+
+def test_given_pages(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    found = {r.page_id: r for r in queries.op7_main_text(spark, sf_dir).collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        article = r.html[r.html.index("<article>") : r.html.index("</article>")].replace("<br>", " ")
+        blocks = [" ".join(entities.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|article)\b[^>]*>", article)]
+        assert found[r.page_id].text == "\n".join(b for b in blocks if b) and found[r.page_id].n_chars == len(found[r.page_id].text)
+
+
+def test_no_pages_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, PAGE, "x", 3)], "page_id long, html string, text string, n_chars int")
+    assert df.select("*", H.extract_main_text(F.col("html")).alias("main")).first().main == H.main_text(PAGE)
+    assert df.limit(0).select(H.extract_main_text(F.col("html"))).count() == 0
+
+
 def slow(vectors, every, k):
     out = []
     for q, v in vectors:
