@@ -131,11 +131,39 @@ def test_against_all_pairs(spark):
     vectors = [(i, np.round(rng.normal(0, 400, 5)).astype(int)) for i in range(400)]
     vectors += [(i, vectors[0][1]) for i in range(400, 600)]  # many equal vectors, many ties
     df = spark.createDataFrame([(i, [int(x) for x in v]) for i, v in vectors], "vec_id long, v array<long>")
-    for shard_rows, block in ((4096, 4096), (64, 2)):
-        found = K.top_inner_products(df, F.col("vec_id") % 50 == 0, 7, shard_rows, block)
+    for shard_rows in (None, 64):
+        found = K.top_inner_products(df, F.col("vec_id") % 50 == 0, 7, shard_rows)
         assert sorted(tuple(r) for r in found.collect()) == slow(vectors, 50, 7)
 
 
+def test_repeated_ids(spark):
+    rng = np.random.default_rng(7)
+    vectors = [(i, [int(x) for x in rng.integers(-9, 9, 4)]) for i in range(60)]
+    vectors += [vectors[0], vectors[0], (0, [5, 5, 5, 5]), vectors[7], vectors[7]]  # id 0 on four rows, two texts; 7 on three
+    want = []
+    for at, (q, v) in enumerate(vectors):
+        if q % 50 == 0:
+            best = sorted((-int(np.dot(v, w)), i) for j, (i, w) in enumerate(vectors) if j != at)[:5]
+            want += [(q, r + 1, i, -x) for r, (x, i) in enumerate(best)]
+    df = spark.createDataFrame(vectors, "vec_id long, v array<long>")
+    for shard_rows in (None, 10):
+        assert sorted(map(tuple, K.top_inner_products(df, F.col("vec_id") % 50 == 0, 5, shard_rows).collect())) == sorted(want)
+
+
+def test_clustered_vectors_leave_boxes_shut():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 3000, (40, 6))
+    data = np.round(centres[rng.integers(0, 40, 8000)] + rng.normal(0, 30, (8000, 6)))
+    tree = K.Tree(np.arange(8000), np.arange(8000), data)
+    opened = 0
+    for q in data[:20]:
+        bound = tree.bounds(q[None])[0]
+        ids, scores = tree.search(-1, q, bound, 10, -np.inf)
+        assert scores.tolist() == sorted((data @ q).tolist(), reverse=True)[:10]
+        opened += sum(b - a for (a, b, left, _), x in zip(tree.nodes, bound) if left < 0 and x >= scores[-1])
+    assert opened < 0.2 * 20 * 8000
+
+
 def test_unusable_vectors_and_few(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0], "x"), (100, [0.5, -0.5], "x"), (1, None, "x"), (2, [nan, 1.0], "x"), (3, [inf, 1.0], "x"), (4, [1.0, None], "x"), (None, [1.0, 1.0], "x"), (5, [1.0], "x"), (6, [], "x"), (7, [-0.0001, 0.0], "x")]
