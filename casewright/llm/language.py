@@ -6,11 +6,13 @@ probabilities are the windows' means, weighted by their bytes. The network is tr
 bounded sample of labelled rows and sent to the tasks as a few hundred kB of weights.
 
 Nulls: a null text, or one without a letter, is `und` with score 0. Rows with a null language or null text
-teach nothing; if no row teaches, every text is `und`. Repeated rows each give a row.
+teach nothing; if no row teaches, every text is `und`. Ties go to the language first in order of code point. Repeated rows each
+give a row. Columns of docs are handed on, but for those named like the results, which are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -28,26 +30,30 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 DIM = 12
-#: At most about this many labelled rows are learned from, drawn by a hash of the id.
+#: At most this many labelled rows, and about this many bytes of text, are learned from, drawn by a hash of id and text. Every
+#: window of a row that is drawn teaches, whatever its length.
 TRAIN_ROWS = 6000
-#: Windows taken from each of them, evenly spread, while learning.
-TRAIN_WINDOWS = 3
-#: Texts longer than this are not drawn for learning (all are classified).
-TRAIN_CHARS = 20_000
-#: More classes than this are taken as a wrong column.
-MAX_LANGUAGES = 500
+TRAIN_BYTES = 4_000_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = 256
 _STRETCH = 1 << 17
 
 
-def bounded_sample(rows: DataFrame, key: Column, most: int, seed: int) -> DataFrame:
-    """About `most` of rows (all, if fewer), drawn by a hash of key; never more than twice as many, should many rows share a key."""
-    n = rows.count()
-    if n <= most:
+def bounded_sample(rows: DataFrame, key: list[Column], most: int, seed: int, size: Column | None = None, most_bytes: float = math.inf) -> DataFrame:
+    """At most `most` of rows, and about most_bytes of size (all, if fewer), drawn by a hash of key; the same rows every time.
+
+    All rows are alike in being drawn, so where they are large fewer are drawn. Rows alike in key are told apart by nothing, and may all be
+    drawn up to the bound."""
+    n, total = rows.agg(F.count("*"), F.sum(F.lit(0) if size is None else size)).first()
+    rate = min(1.0, most / max(n, 1), most_bytes / max(total or 0, 1))
+    if rate == 1.0:
         return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int((1 << 30) * most / n)).limit(2 * most)
+    due = math.ceil(rate * n)
+    # a little more than is due passes the first cut, so that little has to be ordered
+    margin = min(1.0, (due + 6 * due**0.5 + 20) / n)
+    drawn = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 40))
+    return rows.withColumn("_drawn", drawn).where(F.col("_drawn") <= int(margin * (1 << 40))).orderBy("_drawn").limit(due).drop("_drawn")
 
 
 @dataclass
@@ -133,15 +139,11 @@ def folded(net: ConvNet, languages: list[str]) -> LanguageModel:
 
 def fit_windows(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 4) -> tuple[ConvNet | None, list[str]]:
     languages = sorted(set(labels))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} are learned")
     codes, target = [], []
     for text, label in zip(texts, labels):
         data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
         if len(data):
-            all_windows = byte_windows(data)
-            for i in np.unique(np.linspace(0, len(all_windows) - 1, TRAIN_WINDOWS).astype(int)):
-                row = all_windows[i]
+            for row in byte_windows(data):
                 codes.append(row[row != _PAD][:, None])
                 target.append(languages.index(label))
     if not codes:
@@ -154,10 +156,10 @@ def fit_windows(texts: list[str], labels: list[str], seed: int = 7, epochs: int
     return net, languages
 
 
-def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, seed: int = 7) -> LanguageModel:
+def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, seed: int = 7) -> LanguageModel:
     """A model from a bounded sample of rows with a text and a language."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null").where(F.length("text") <= TRAIN_CHARS)
-    sample = bounded_sample(rows, F.col("id"), train_rows, seed).toPandas().sort_values(["lang", "text"])
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    sample = bounded_sample(rows, [F.col("id"), F.col("text")], train_rows, seed, F.octet_length("text"), train_bytes).toPandas().sort_values(["lang", "text"])
     sample = sample[np.array([bool(_LETTER.search(t)) for t in sample["text"]], dtype=bool)]
     net, languages = fit_windows(sample["text"].tolist(), sample["lang"].tolist(), seed)
     if net is None:

@@ -7,7 +7,8 @@ compressed share of the text, as text that repeats itself is small with either d
 dictionaries' pull on a long text as strong as on a short one.
 
 Nulls: a null text scores as an empty one, by the curve at difference 0 and the labelled texts' mean share. Rows without a label teach nothing; with
-labels of one kind only, that kind's share is everybody's score. Repeated rows each give a row.
+labels of one kind only, that kind's share is everybody's score. Texts of any length are compressed whole, block by block. Repeated
+rows each give a row. Columns of docs are handed on, but for one named like the score, which is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,10 +30,9 @@ CUT = 0.3
 LEVEL = 3
 BLOCK_BYTES = 2048
 DICTIONARY_BYTES = 96 * 1024
-#: At most about this many labelled rows of each kind are learned from, drawn by a hash of the id.
+#: At most this many labelled rows of each kind, and about this many bytes of their texts, are learned from, drawn by a hash of id and text.
 TRAIN_ROWS = 6000
-#: Texts longer than this are not drawn for learning (all are scored).
-TRAIN_CHARS = 20_000
+TRAIN_BYTES = 16_000_000
 #: Of the sample, the part kept from the dictionaries for the curve.
 CALIBRATION_SHARE = 0.4
 
@@ -118,19 +118,20 @@ def fit(texts: list[str], labels: np.ndarray) -> QualityModel:
     return model
 
 
-def fit_quality_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, seed: int = 5) -> QualityModel:
+def fit_quality_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, seed: int = 5) -> QualityModel:
     """A model from a bounded sample, of each kind, of rows with a text and a 0/1 label.
 
     The curve is fitted on the rows as they were drawn: kinds drawn at different rates are set right
     by the logarithm of the rates."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("text is not null and y in (0, 1)").where(F.length("text") <= TRAIN_CHARS)
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("text is not null and y in (0, 1)")
     kinds, rates = [], []
     for kind in (0, 1):
         own = rows.where(F.col("y") == kind)
+        drawn = bounded_sample(own, [F.col("id"), F.col("text")], train_rows, seed, F.octet_length("text"), train_bytes).toPandas()
         n = own.count()
-        kinds.append(bounded_sample(own, F.col("id"), train_rows, seed))
-        rates.append(min(1.0, train_rows / n) if n else 1.0)
-    sample = kinds[0].unionAll(kinds[1]).toPandas().sort_values(["text", "y"])
+        kinds.append(drawn)
+        rates.append(len(drawn) / n if n else 1.0)
+    sample = pd.concat(kinds).sort_values(["text", "y"])
     model = fit(sample["text"].tolist(), sample["y"].to_numpy())
     model.curve[0] += float(np.log(rates[0] / rates[1]))
     return model

@@ -14,7 +14,7 @@ from casewright.llm.language import id_remainder
 from casewright.llm.mixing import mix_report
 from casewright.llm.packing import pack_documents, pack_turns
 from casewright.llm.simhash import simhash_components
-from casewright.llm.tables import read_table
+from casewright.llm.tables import materialise, read_table
 from casewright.llm.tokens import document_token_counts
 
 
@@ -77,10 +77,12 @@ LABEL_ROWS = 40_000
 
 
 def _labelled(spark: SparkSession, sf_dir: str, learn, *more: str) -> DataFrame:
-    """Labelled documents outside the held-out ids. The bounded draw of labels goes to the texts; no text is shuffled."""
+    """Labelled documents outside the held-out ids. The bounded draw of labels goes to the texts; no text is shuffled, and one
+    scan finds them."""
     docs = read_table(spark, sf_dir, "documents").where(learn).select("doc_id", "text", *more)
-    drawn = language.bounded_sample(read_table(spark, sf_dir, "labels").where(learn), F.col("doc_id"), LABEL_ROWS, 3)
-    return docs.join(F.broadcast(drawn), "doc_id")
+    labels = read_table(spark, sf_dir, "labels").where(learn)
+    drawn = language.bounded_sample(labels, [F.col(c) for c in labels.columns], LABEL_ROWS, 3)
+    return materialise(docs.join(F.broadcast(drawn), "doc_id"), "labelled")
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
