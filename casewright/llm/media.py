@@ -2,12 +2,13 @@
 
 A payload of bytes is kept as 8-bit mono samples in a WAV file held in a binary column, written and read
 by the wave module. Features come from the stored bytes: Hann-windowed spectra of overlapping
-frames, the strongest bin of each band as peaks where it stands out in its frame, and pairs of each
-peak with the next few within reach. A pair is one 64-bit number, its first frame above
+frames, the strongest bin of each band as peaks where it stands out in its frame and from the frames before and after, and pairs of
+each peak with the next few of later frames within reach. A pair is one 64-bit number, its first frame above
 (bin, bin, frames between), so the array is in order of time.
 
-All work is by row; long payloads are transformed in stretches of frames. Nulls: a null text is an empty payload, padded like
-any other; a null medium gives nulls. Repeated rows each give a row.
+All work is by row; payloads of any length are transformed in stretches of frames. Nulls: a null text is an empty payload, padded like
+any other; a null medium gives nulls. Ties: the lower bin of a band, the later of equal neighbours in time. Repeated rows each give a
+row; other columns, whatever their names, play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,29 +83,32 @@ def spectral_peaks(samples: bytes) -> tuple[int, np.ndarray]:
     found = []
     for a in range(0, n, STRETCH_FRAMES):
         b = min(a + STRETCH_FRAMES, n)
-        part = x[a * HOP : (b - 1) * HOP + FRAME].astype(np.float32) - 128
+        first, last = max(a - 1, 0), min(b + 1, n)  # with a frame on either side
+        part = x[first * HOP : (last - 1) * HOP + FRAME].astype(np.float32) - 128
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP] * _WINDOW
         spectrum = np.fft.rfft(frames, axis=1)
         power = spectrum.real**2 + spectrum.imag**2
         bins = np.stack([power[:, lo:hi].argmax(axis=1) + lo for lo, hi in zip(BANDS, BANDS[1:])], axis=1)
         best = np.take_along_axis(power, bins, axis=1)
         loud = np.log1p(best)
-        frame, band = np.nonzero(loud > loud.mean(axis=1, keepdims=True))
-        found.append(np.stack([frame + a, bins[frame, band]], axis=1))
+        peak = loud > loud.mean(axis=1, keepdims=True)
+        peak[1:] &= best[1:] >= np.take_along_axis(power[:-1], bins[1:], axis=1)
+        peak[:-1] &= best[:-1] > np.take_along_axis(power[1:], bins[:-1], axis=1)
+        frame, band = np.nonzero(peak[a - first : b - first])
+        found.append(np.stack([frame + a, bins[frame + a - first, band]], axis=1))
     return n, np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
 
 def peak_pairs(peaks: np.ndarray) -> np.ndarray:
-    """frame << 32 | bin << 20 | later bin << 8 | frames between, for the pairs of every peak in turn."""
-    codes, order = [], []
+    """frame << 32 | bin << 20 | later bin << 8 | frames between, for the pairs of every peak in turn with peaks of later frames."""
     t, f = peaks[:, 0], peaks[:, 1]
-    for step in range(1, FAN_OUT + 1):
-        gap = t[step:] - t[:-step]
-        i = np.flatnonzero(gap <= REACH)
-        codes.append(t[i] << 32 | f[i] << 20 | f[i + step] << 8 | gap[i])
-        order.append(i * FAN_OUT + step)
-    at = np.concatenate(order) if order else np.empty(0, np.int64)
-    return np.concatenate(codes)[np.argsort(at, kind="stable")] if len(at) else np.empty(0, np.int64)
+    j = np.searchsorted(t, t, side="right")[:, None] + np.arange(FAN_OUT)
+    i = np.broadcast_to(np.arange(len(t))[:, None], j.shape)
+    i, j = i[j < len(t)], j[j < len(t)]
+    gap = t[j] - t[i]
+    near = gap <= REACH
+    i, j, gap = i[near], j[near], gap[near]
+    return t[i] << 32 | f[i] << 20 | f[j] << 8 | gap
 
 
 def media_features(media: bytes | None) -> tuple:

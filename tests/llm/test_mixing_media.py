@@ -184,6 +184,37 @@ def test_peaks_find_a_tone():
     assert len(M.peak_pairs(np.empty((0, 2), np.int64))) == 0
 
 
+def slow_peaks(samples):
+    """Frames, spectra by the sum itself, peaks and pairs in plain loops."""
+    x = [s - 128 for s in samples]
+    n = (len(x) - M.FRAME) // M.HOP + 1
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(M.FRAME // 2 + 1), np.arange(M.FRAME)) / M.FRAME)
+    power = [np.abs(turn @ (np.array(x[i * M.HOP : i * M.HOP + M.FRAME]) * np.hanning(M.FRAME))) ** 2 for i in range(n)]
+    peaks = []
+    for i in range(n):
+        best = [max(range(lo, hi), key=lambda b: power[i][b]) for lo, hi in zip(M.BANDS, M.BANDS[1:])]
+        mean = np.mean([math.log1p(power[i][b]) for b in best])
+        for b in best:
+            if math.log1p(power[i][b]) > mean and all(power[i][b] > power[k][b] for k in (i - 1, i + 1) if 0 <= k < n):
+                peaks.append((i, b))
+    pairs = []
+    for i, b in peaks:
+        later = [(j, c) for j, c in peaks if j > i][: M.FAN_OUT]
+        pairs += [i << 32 | b << 20 | c << 8 | (j - i) for j, c in later if j - i <= M.REACH]
+    return n, peaks, pairs
+
+
+def test_peaks_and_pairs_equal_plain_loops(monkeypatch):
+    rng = np.random.default_rng(2)
+    for samples in (rng.integers(0, 256, 9000).astype(np.uint8).tobytes(), ("Running text of some length, again and again. " * 150).encode()[:6336]):
+        n, peaks, pairs = slow_peaks(samples)
+        for stretch in (2048, 7):
+            monkeypatch.setattr(M, "STRETCH_FRAMES", stretch)
+            got = M.spectral_peaks(samples)
+            assert got[0] == n and [tuple(p) for p in got[1].tolist()] == peaks and M.peak_pairs(got[1]).tolist() == pairs
+        assert pairs and all(p & 0xFF for p in pairs)
+
+
 def test_a_shift_by_whole_frames_keeps_the_pairs():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 256, 40 * M.HOP).astype(np.uint8).tobytes()
