@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SERIOUSNESS_FLAGS = (
@@ -33,43 +33,79 @@ MAX_AGE_YEARS = 130
 TOKEN_CHARS = 120
 
 
+#: White space as patterns know it.
+BLANKS = " \t\n\x0b\f\r"
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end; null gives ""."""
-    return F.coalesce(F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", ""), F.lit(""))
+    return F.coalesce(F.trim(text, F.lit(BLANKS)), F.lit(""))
 
 
 def parse_float(text: Column) -> Column:
     """The whole text as a number, commas ignored; else its first plain number; else null."""
-    clean = strip(text)
-    whole = F.when(~clean.rlike("(?i)^[+-]?0x"), F.replace(clean, F.lit(","), F.lit("")).try_cast("double"))
+    return number_in(strip(text))
+
+
+def number_in(clean: Column) -> Column:
+    """parse_float of a stripped text, which is named several times: give a column that is there already."""
+    whole = F.when(~F.contains(F.lower(clean), F.lit("x")), F.replace(clean, F.lit(","), F.lit("")).try_cast("double"))
     first = F.nullif(F.regexp_extract(clean, r"-?\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double")
     return F.coalesce(whole, first)
 
 
-def round6(x: Column) -> Column:
-    """Rounded to six significant digits; NaN and infinities give null.
+def _plain(x: Column) -> Column:
+    """Whether x is a number of at most three places and six digits, which rounds to itself."""
+    return (F.abs(x) < 1000.0) & (x * 1000.0 == F.rint(x * 1000.0))
+
+
+def long_form(x: Column) -> Column:
+    """Seventeen digits of x; null for a number that needs no rounding."""
+    return F.when(~_plain(x), F.format_string("%.16e", x))
+
+
+def short_form(text: Column, x: Column) -> Column:
+    """x, whose long_form is text, rounded to six significant digits; NaN and infinities give null.
 
     A number whose shortest decimal text ends in a lone 5 at the seventh digit goes to the even digit, as it does
     where the tie is exact (means of eighths and so on)."""
-    text = F.format_string("%.16e", x)
     to_even = text.rlike(r"^-?[0-9]\.[0-9]{4}[02468]50*e")
     rounded = F.when(to_even, F.regexp_replace(text, "50*e", "e")).otherwise(F.format_string("%.5e", x))
-    return F.when(text.rlike("^-?[0-9]"), rounded.try_cast("double"))
+    return F.when(_plain(x), F.rint(x * 1000.0) / 1000.0).when(F.abs(x) < float("inf"), rounded.try_cast("double"))
+
+
+def round6(x: Column) -> Column:
+    """Rounded to six significant digits. For several numbers of a table use with_round6, which names each step once."""
+    return short_form(long_form(x), x)
+
+
+def with_round6(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns rounded to six significant digits, step by step, so that no step's expression is repeated."""
+    steps = df.withColumns({f"_x_{n}": c for n, c in columns.items()})
+    steps = steps.withColumns({f"_t_{n}": long_form(F.col(f"_x_{n}")) for n in columns})
+    done = steps.withColumns({n: short_form(F.col(f"_t_{n}"), F.col(f"_x_{n}")) for n in columns})
+    return done.drop(*[f"_{p}_{n}" for n in columns for p in "xt"])
 
 
 def parse_date(text: Column) -> Column:
     """The date in the first eight digits, yyyymmdd; null unless that is a day of the calendar."""
     head = F.left(strip(text), F.lit(8))
-    return F.when(head.rlike("^[0-9]{8}$") & (F.left(head, F.lit(4)) != "0000"), F.try_to_timestamp(head, F.lit("yyyyMMdd")).cast("date"))
+    day = F.concat_ws("-", F.left(head, F.lit(4)), F.substring(head, 5, 2), F.substring(head, 7, 2))
+    return F.when(head.rlike("^[0-9]{8}$") & (F.left(head, F.lit(4)) != "0000"), day.try_cast("date"))
+
+
+def unit_years(code: Column) -> Column:
+    """Years in one unit, by its stripped code; null for an unknown one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in YEARS_PER_UNIT.items() for x in pair]), code)
 
 
 def age_years(age: Column, unit: Column) -> Column:
     """Age in years to six digits; null for a negative age, an unknown unit or more than MAX_AGE_YEARS."""
-    value, code = parse_float(age), strip(unit)
-    branches = [(code == k, F.lit(v)) for k, v in YEARS_PER_UNIT.items()]
-    factor = reduce(lambda acc, b: acc.when(*b), branches[1:], F.when(*branches[0]))
-    years = F.when(value >= 0, value * factor)
-    return round6(F.when(years <= MAX_AGE_YEARS, years))
+    return round6(in_bounds(parse_float(age), unit_years(strip(unit))))
+
+
+def in_bounds(value: Column, factor: Column) -> Column:
+    return F.when((value >= 0) & (value * factor <= MAX_AGE_YEARS), value * factor)
 
 
 def age_bin(years: Column) -> Column:
@@ -82,18 +118,27 @@ def count_bin(x: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Upper case, every run of other characters than A-Z and 0-9 one space, trimmed."""
-    return F.trim(F.regexp_replace(F.upper(strip(text)), "[^A-Z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), "[^A-Z0-9]+", " "))
 
 
 def make_token(prefix: str, text: Column) -> Column:
     """prefix:VALUE of at most TOKEN_CHARS in VALUE; "" for what normalises to nothing."""
-    value = F.replace(normalize_text(text), F.lit(" "), F.lit("_"))
-    return F.when(value != "", F.concat(F.lit(f"{prefix}:"), F.left(value, F.lit(TOKEN_CHARS)))).otherwise("")
+    return normal_token(prefix, normalize_text(text))
+
+
+def normal_token(prefix: str, normal: Column) -> Column:
+    """make_token of a normalised text."""
+    cut = F.left(F.replace(normal, F.lit(" "), F.lit("_")), F.lit(TOKEN_CHARS))
+    return F.when(normal != "", F.concat(F.lit(f"{prefix}:"), cut)).otherwise("")
 
 
 def joined_token(prefix: str, text: Column) -> Column:
     """prefix:VALUE, uncut; the bare prefix for a text that normalises to nothing."""
-    return F.concat(F.lit(f"{prefix}:"), F.replace(normalize_text(text), F.lit(" "), F.lit("_")))
+    return normal_joined(prefix, normalize_text(text))
+
+
+def normal_joined(prefix: str, normal: Column) -> Column:
+    return F.concat(F.lit(f"{prefix}:"), F.replace(normal, F.lit(" "), F.lit("_")))
 
 
 def substance_name(substances: Column) -> Column:
@@ -111,7 +156,7 @@ def canonical_drug(substances: Column, product: Column) -> Column:
 def label_from_flags(flags: dict[str, Column] | None = None) -> Column:
     """1 if any seriousness flag is "1", else 0."""
     columns = [F.col(f) for f in SERIOUSNESS_FLAGS] if flags is None else list(flags.values())
-    return F.when(reduce(lambda a, b: a | b, [F.coalesce(strip(c), F.lit("")) == "1" for c in columns]), 1).otherwise(0)
+    return F.when(reduce(lambda a, b: a | b, [strip(c) == "1" for c in columns]), 1).otherwise(0)
 
 
 def quarter_split(quarter: Column) -> Column:

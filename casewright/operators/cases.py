@@ -14,58 +14,106 @@ Field = Callable[[str], Column]
 NO_TEXT = "array<string>"
 
 
-def drug_facts(field: Field) -> dict[str, Column]:
-    """What one drug adds to its case. field: name -> column; activesubstance is an array of names."""
-    code = S.strip(field("drugcharacterization"))
-    substance = S.substance_name(field("activesubstance"))
-    name = F.when(substance != "", substance).otherwise(S.normalize_text(field("medicinalproduct")))
-    start, end = S.parse_date(field("drugstartdate")), S.parse_date(field("drugenddate"))
-    indication = S.strip(field("drugindication"))
-    route, action = S.strip(field("drugadministrationroute")), S.strip(field("actiondrug"))
+#: A step from fields to fields. Steps run one after another, each on the names that the one before gave, so that no
+#: rule is worked out twice.
+Step = Callable[[Field], dict[str, Column]]
+
+
+def _clean_drug(field: Field) -> dict[str, Column]:
+    """activesubstance is an array of names."""
+    return {
+        "code": S.strip(field("drugcharacterization")),
+        "substance": S.substance_name(field("activesubstance")),
+        "product": S.normalize_text(field("medicinalproduct")),
+        "dose": S.strip(field("drugstructuredosagenumb")),
+        "start": S.parse_date(field("drugstartdate")),
+        "end": S.parse_date(field("drugenddate")),
+        "indicated": S.strip(field("drugindication")) != "",
+        "indication": S.normalize_text(field("drugindication")),
+        "routed": S.strip(field("drugadministrationroute")) != "",
+        "route": S.normalize_text(field("drugadministrationroute")),
+        "acted": S.strip(field("actiondrug")) != "",
+        "action": S.normalize_text(field("actiondrug")),
+    }
+
+
+def _named_drug(field: Field) -> dict[str, Column]:
+    same = ("code", "start", "end", "indicated", "indication", "routed", "route", "acted", "action")
+    named = field("substance") != ""
+    return {n: field(n) for n in same} | {"name": F.when(named, field("substance")).otherwise(field("product")), "from_active": named, "dose": S.number_in(field("dose"))}
+
+
+def _drug_facts(field: Field) -> dict[str, Column]:
+    start, end = field("start"), field("end")
     tokens = F.array(
-        F.when(code != "", F.concat(F.lit("drugchar:"), code)),
-        S.make_token("drug", name),
-        S.make_token("indi", indication),
-        F.when(route != "", S.joined_token("route", route)),
-        F.when(action != "", S.joined_token("actiondrug", action)),
+        F.when(field("code") != "", F.concat(F.lit("drugchar:"), field("code"))),
+        S.normal_token("drug", field("name")),
+        S.normal_token("indi", field("indication")),
+        F.when(field("routed"), S.normal_joined("route", field("route"))),
+        F.when(field("acted"), S.normal_joined("actiondrug", field("action"))),
     )
     return {
-        "code": code,
-        "name": name,
-        "from_active": substance != "",
-        "dose": S.parse_float(field("drugstructuredosagenumb")),
+        "code": field("code"),
+        "name": field("name"),
+        "from_active": field("from_active"),
+        "dose": field("dose"),
         "has_start": start.isNotNull(),
         "has_end": end.isNotNull(),
         "days": F.when(end >= start, F.date_diff(end, start)),
-        "indication": F.when(indication != "", S.normalize_text(indication)),
+        "indication": F.when(field("indicated"), field("indication")),
         "tokens": tokens,
     }
 
 
-def reaction_facts(field: Field) -> dict[str, Column]:
-    outcome = S.strip(field("reactionoutcome"))
+def _clean_reaction(field: Field) -> dict[str, Column]:
     return {
         "name": S.normalize_text(field("reactionmeddrapt")),
-        "tokens": F.array(S.make_token("reac", field("reactionmeddrapt")), F.when(outcome != "", S.joined_token("reactionoutcome", outcome))),
+        "ended": S.strip(field("reactionoutcome")) != "",
+        "outcome": S.normalize_text(field("reactionoutcome")),
     }
 
 
-def header_columns(field: Field) -> list[Column]:
-    """The case columns that need no drugs or reactions."""
-    plain = [
-        *HEADER_FIELDS,
-        "reportercountry",
-        "qualification",
-        "sendertype",
-        "patientsex",
-        "patientagegroup",
-    ]
-    return [
-        *[S.strip(field(n)).alias(n) for n in plain],
-        S.age_years(field("patientonsetage"), field("patientonsetageunit")).alias("age_years"),
-        S.round6(S.parse_float(field("patientweight"))).alias("patientweight"),
-        S.label_from_flags({n: field(n) for n in S.SERIOUSNESS_FLAGS}).alias(S.LABEL),
-    ]
+def _reaction_facts(field: Field) -> dict[str, Column]:
+    outcome = F.when(field("ended"), S.normal_joined("reactionoutcome", field("outcome")))
+    return {"name": field("name"), "tokens": F.array(S.normal_token("reac", field("name")), outcome)}
+
+
+#: What one drug, and one reaction, adds to its case.
+DRUG_STEPS: tuple[Step, ...] = (_clean_drug, _named_drug, _drug_facts)
+REACTION_STEPS: tuple[Step, ...] = (_clean_reaction, _reaction_facts)
+
+
+def facts_table(rows: DataFrame, steps: tuple[Step, ...], key: str) -> DataFrame:
+    """key and the facts of every row; columns that are not there count as missing."""
+    field = lambda n: F.col(n) if n in rows.columns else F.lit(None).cast("string")
+    for step in steps:
+        rows = rows.select(key, *[c.alias(n) for n, c in step(field).items()])
+        field = F.col
+    return rows
+
+
+def facts_array(array: Column, steps: tuple[Step, ...]) -> Column:
+    """The facts of every element."""
+
+    def one(step: Step) -> Callable[[Column], Column]:
+        return lambda e: F.struct(*[c.alias(n) for n, c in step(lambda n: e[n]).items()])
+
+    for step in steps:
+        array = F.transform(array, one(step))
+    return array
+
+
+PLAIN_FIELDS = (*HEADER_FIELDS, "reportercountry", "qualification", "sendertype", "patientsex", "patientagegroup")
+
+
+def with_header(rows: DataFrame, field: Field, *keep: str) -> DataFrame:
+    """keep and the case columns that need no drugs or reactions."""
+    measured = ("patientonsetage", "patientonsetageunit", "patientweight")
+    clean = rows.select(*keep, *[S.strip(field(n)).alias(n) for n in (*PLAIN_FIELDS, *measured)])
+    numbers = {"_age": S.number_in(F.col("patientonsetage")), "_factor": S.unit_years(F.col("patientonsetageunit")), "_weight": S.number_in(F.col("patientweight"))}
+    parsed = clean.withColumns(numbers | {S.LABEL: S.label_from_flags()})
+    done = S.with_round6(parsed, {"age_years": S.in_bounds(F.col("_age"), F.col("_factor")), "patientweight": F.col("_weight")})
+    return done.select(*keep, *PLAIN_FIELDS, "age_years", "patientweight", S.LABEL)
 
 
 def _joined(tokens: Column) -> Column:
@@ -91,20 +139,18 @@ def flatten_reports(reports: DataFrame) -> DataFrame:
             return source[name]
         return sender[name] if name == "sendertype" else patient[name]
 
-    def struct_of(facts: dict[str, Column]) -> Column:
-        return F.struct(*[c.alias(n) for n, c in facts.items()])
-
     def drug(d: Column) -> Column:
         names = F.transform(d["activesubstance"], lambda s: s["activesubstancename"])
-        return struct_of(drug_facts(lambda n: names if n == "activesubstance" else d[n]))
+        return F.struct(names.alias("activesubstance"), *[d[n].alias(n) for n in DRUG_FIELDS])
 
     none = F.array()
-    prepared = reports.select(
-        "quarter",
-        "source_file",
-        *header_columns(field),
-        F.coalesce(F.transform(patient["drug"], drug), none).alias("_drugs"),
-        F.coalesce(F.transform(patient["reaction"], lambda x: struct_of(reaction_facts(lambda n: x[n]))), none).alias("_reactions"),
+    kept = reports.withColumns({"_drugs": F.transform(patient["drug"], drug), "_reactions": patient["reaction"]})
+    headed = with_header(kept, field, "quarter", "source_file", "_drugs", "_reactions")
+    prepared = headed.withColumns(
+        {
+            "_drugs": F.coalesce(facts_array(F.col("_drugs"), DRUG_STEPS), none),
+            "_reactions": F.coalesce(facts_array(F.col("_reactions"), REACTION_STEPS), none),
+        }
     )
     d, x = F.col("_drugs"), F.col("_reactions")
     listed = prepared.withColumns(
@@ -115,7 +161,7 @@ def flatten_reports(reports: DataFrame) -> DataFrame:
     )
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.when(F.size(a) > 0, F.size(a))
     days = F.col("_days")
-    return listed.select(
+    counted = listed.select(
         "*",
         S.quarter_split(F.col("quarter")).alias("split"),
         _count(d).alias("drug_count"),
@@ -123,10 +169,6 @@ def flatten_reports(reports: DataFrame) -> DataFrame:
         _count(d, lambda v: v["code"] == "2").alias("concomitant_drug_count"),
         _count(d, lambda v: v["code"] == "3").alias("interacting_drug_count"),
         _count(F.col("_doses")).alias("dose_available_count"),
-        S.round6(mean(F.col("_doses"))).alias("dose_value_mean"),
-        S.round6(F.array_min(days).cast("double")).alias("duration_days_min"),
-        S.round6(mean(F.transform(days, lambda v: v.cast("double")))).alias("duration_days_mean"),
-        S.round6(F.array_max(days).cast("double")).alias("duration_days_max"),
         _count(d).alias("drug_name_count"),
         _count(d, lambda v: v["name"] != "").alias("drug_name_covered_count"),
         _count(d, lambda v: v["from_active"]).alias("active_substance_count"),
@@ -137,7 +179,14 @@ def flatten_reports(reports: DataFrame) -> DataFrame:
         F.exists(d, lambda v: v["has_start"]).cast("int").alias("has_drug_start"),
         F.exists(d, lambda v: v["has_end"]).cast("int").alias("has_drug_end"),
         _joined(F.concat(F.flatten(d["tokens"]), F.flatten(x["tokens"]))).alias("text_tokens"),
-    ).select(*CASE_COLUMNS)
+    )
+    summary = {
+        "dose_value_mean": mean(F.col("_doses")),
+        "duration_days_min": F.array_min(days).cast("double"),
+        "duration_days_mean": mean(F.transform(days, lambda v: v.cast("double"))),
+        "duration_days_max": F.array_max(days).cast("double"),
+    }
+    return S.with_round6(counted, summary).select(*CASE_COLUMNS)
 
 
 def cases_from_tables(headers: DataFrame, drugs: DataFrame, reactions: DataFrame, key: str) -> DataFrame:
@@ -146,17 +195,17 @@ def cases_from_tables(headers: DataFrame, drugs: DataFrame, reactions: DataFrame
     Both child tables are summed up by key before they are joined, so rows never multiply and a report with very
     many drugs is summed in parts."""
     named = lambda df: (lambda n: F.col(n) if n in df.columns else F.lit(None).cast("string"))
-    facts = drugs.select(key, *[c.alias(n) for n, c in drug_facts(named(drugs)).items()])
+    facts = facts_table(drugs, DRUG_STEPS, key)
     by_drug = facts.groupBy(key).agg(
         F.count("*").alias("drug_count"),
         F.count_if(F.col("code") == "1").alias("suspect_drug_count"),
         F.count_if(F.col("code") == "2").alias("concomitant_drug_count"),
         F.count_if(F.col("code") == "3").alias("interacting_drug_count"),
         F.count("dose").alias("dose_available_count"),
-        S.round6(F.avg("dose")).alias("dose_value_mean"),
-        S.round6(F.min("days").cast("double")).alias("duration_days_min"),
-        S.round6(F.avg("days")).alias("duration_days_mean"),
-        S.round6(F.max("days").cast("double")).alias("duration_days_max"),
+        F.avg("dose").alias("_dose"),
+        F.min("days").cast("double").alias("_least"),
+        F.avg("days").alias("_mean"),
+        F.max("days").cast("double").alias("_most"),
         F.count_if(F.col("name") != "").alias("drug_name_covered_count"),
         F.count_if("from_active").alias("active_substance_count"),
         F.size(F.collect_set(F.nullif("name", F.lit("")))).cast("long").alias("canonical_drug_count"),
@@ -165,13 +214,16 @@ def cases_from_tables(headers: DataFrame, drugs: DataFrame, reactions: DataFrame
         F.max("has_end").cast("int").alias("has_drug_end"),
         F.flatten(F.collect_set("tokens")).alias("_drug_tokens"),
     )
-    react = reactions.select(key, *[c.alias(n) for n, c in reaction_facts(named(reactions)).items()])
+    sums = {"dose_value_mean": "_dose", "duration_days_min": "_least", "duration_days_mean": "_mean", "duration_days_max": "_most"}
+    by_drug = S.with_round6(by_drug, {n: F.col(c) for n, c in sums.items()}).drop(*sums.values())
+    react = facts_table(reactions, REACTION_STEPS, key)
     by_reaction = react.groupBy(key).agg(
         F.count("*").alias("reaction_count"),
         F.size(F.collect_set(F.nullif("name", F.lit("")))).cast("long").alias("reaction_unique_count"),
         F.flatten(F.collect_set("tokens")).alias("_reaction_tokens"),
     )
-    rows = headers.select(key, "quarter", "source_file", *header_columns(named(headers)))
+    # the shuffle that the joins need anyway, ahead of the work on the rows
+    rows = with_header(headers.repartition(key), named(headers), key, "quarter", "source_file")
     joined = rows.join(by_drug, key, "left").join(by_reaction, key, "left")
     zero = [c for c in (*by_drug.columns, *by_reaction.columns) if c.endswith("_count") or c.startswith("has_")]
     tokens = lambda c: F.coalesce(F.col(c), F.array().cast(NO_TEXT))
@@ -206,7 +258,10 @@ def without_withdrawn(reports: DataFrame, deleted: DataFrame, report_id: Column,
 
     small: the caller knows that the list is small enough to broadcast."""
     lists = deleted.where(F.col("safetyreportid") != "").select(F.col("quarter").alias("_q"), F.col("safetyreportid").alias("_id")).distinct()
-    return reports.join(F.broadcast(lists) if small else lists, (F.col("quarter") == F.col("_q")) & (S.strip(report_id) == F.col("_id")), "left_anti")
+    # an empty id matches nothing: its rows are spread, not gathered under one key
+    own = F.when(S.strip(report_id) != "", S.strip(report_id)).otherwise(F.concat(F.lit("\n"), F.pmod(F.xxhash64(*reports.columns), F.lit(4096)).cast("string")))
+    keyed = reports.withColumn("_own", own)
+    return keyed.join(F.broadcast(lists) if small else lists, (F.col("quarter") == F.col("_q")) & (F.col("_own") == F.col("_id")), "left_anti").drop("_own")
 
 
 def withdrawn(reports: DataFrame, deleted: DataFrame, report_id: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import scalars as S
@@ -14,6 +14,7 @@ from casewright.operators.features import N_FEATURES
 from casewright.operators.splits import VALID_FRACTION, first_per_quarter, split_by_time
 from casewright.sources import reports as R
 from casewright.sources import sinks
+from casewright.sources.shared import materialise, sweep
 
 
 @dataclass(frozen=True)
@@ -36,17 +37,31 @@ def run_inventory(spark: SparkSession, root: str, out: str, options: Options = O
     return table
 
 
+def first_reports(found: DataFrame, deleted: DataFrame, report_id: Column, n: int) -> tuple[DataFrame, DataFrame]:
+    """Of reports in order: those up to the n-th that is kept, in each quarter, and the kept ones among them."""
+    place = F.struct(*R.DOCUMENT_ORDER)
+    narrow = found.select("quarter", *R.DOCUMENT_ORDER, S.strip(report_id).alias("id"))
+    kept = first_per_quarter(without_withdrawn(narrow, deleted, F.col("id")), n, [place])
+    ends = kept.groupBy(F.col("quarter").alias("_q")).agg(F.count("*").alias("_n"), F.max(place).alias("_end"))
+    ended = found.join(materialise(ends, "sample-ends"), F.col("quarter") == F.col("_q"), "left")
+    seen = ended.where((F.coalesce("_n", F.lit(0)) < n) | (place <= F.col("_end"))).drop("_q", "_n", "_end")
+    return seen, without_withdrawn(seen, deleted, report_id)
+
+
 def run_etl(spark: SparkSession, root: str, out: str, options: Options = Options()) -> DataFrame:
-    """Cases by quarter, split by time, and the parse log."""
-    found, deleted = R.read_reports(spark, root, options.files, options.mode), R.read_deleted_ids(spark, root)
-    report_id = F.col("report.safetyreportid")
-    cases = flatten_reports(without_withdrawn(found, deleted, report_id))
+    """Cases by quarter, split by time, and the parse log. With a sample, reading stops at the last report that is kept."""
+    deleted, report_id = R.read_deleted_ids(spark, root), F.col("report.safetyreportid")
     if options.sample:
-        cases = first_per_quarter(cases, options.sample, [F.col("source_file"), *S.report_id_keys(F.col("safetyreportid"))])
-    sinks.write_cases(split_by_time(cases, options.valid_fraction), f"{out}/interim/cases")
-    log = audit.parse_log(R.list_quarters(spark, root, options.files).select("quarter", "xml_files"), found, deleted, report_id)
+        found = materialise(R.read_reports_in_order(spark, root, options.files, options.mode), "reports-in-order")
+        found, kept = first_reports(found, deleted, report_id, options.sample)
+    else:
+        found = R.read_reports(spark, root, options.files, options.mode)
+        kept = without_withdrawn(found, deleted, report_id)
+    sinks.write_cases(split_by_time(materialise(flatten_reports(kept), "etl-cases"), options.valid_fraction), f"{out}/interim/cases")
+    cases = R.read_cases(spark, f"{out}/interim/cases")
+    log = audit.parse_log(R.list_quarters(spark, root, options.files).select("quarter", "xml_files"), found, deleted, report_id, cases)
     sinks.write_json(log, f"{out}/interim/parse_log")
-    return R.read_cases(spark, f"{out}/interim/cases")
+    return cases
 
 
 def run_train(spark: SparkSession, out: str, options: Options = Options()) -> DataFrame:
@@ -62,12 +77,12 @@ def run_train(spark: SparkSession, out: str, options: Options = Options()) -> Da
         models.score(model, rows, name).write.mode("overwrite").parquet(f"{out}/scores/{name}")
     rows.unpersist()
     scores = spark.read.parquet(*[f"{out}/scores/{name}" for name in fitted])
-    thresholds = metrics.best_threshold(scores.where("split = 'valid'"), ["model"])
+    thresholds = materialise(metrics.best_threshold(scores.where("split = 'valid'"), ["model"]), "thresholds")
     table = metrics.evaluate(scores, ["model", "split"], thresholds, ["model"])
     sinks.write_json(table, f"{out}/reports/model_metrics")
-    for row in thresholds.collect():
-        own = scores.where((F.col("model") == row["model"]) & F.col("split").isin("valid", "test"))
-        sinks.write_json(metrics.stratum_metrics(own, ["model", "split"], row["threshold"]), f"{out}/reports/strata/{row['model']}")
+    chosen = metrics.with_threshold(scores.where(F.col("split").isin("valid", "test")), thresholds, ["model"])
+    sinks.write_json(metrics.stratum_metrics(chosen, ["model", "split"], F.col("_chosen")), f"{out}/reports/strata")
+    sinks.write_json(models.feature_config(spark, options.n_features), f"{out}/models/feature_config")
     return spark.read.json(f"{out}/reports/model_metrics")
 
 
@@ -91,3 +106,4 @@ def run_full(spark: SparkSession, root: str, out: str, options: Options = Option
     run_etl(spark, root, out, options)
     run_train(spark, out, options)
     run_report(spark, out)
+    sweep(spark)

@@ -286,8 +286,8 @@ ORACLE: dict[str, str] = {
     "fn_age_years": with_parts(f"SELECT k, {age('patientonsetage', 'patientonsetageunit')} AS age_years FROM headers", "headers"),
     "fn_age_bin": with_parts(f"SELECT k, {age_bin('age_years')} AS age_bin FROM cases", "cases"),
     "fn_count_bin": with_parts(f"SELECT k, {count_bin('drug_count')} AS bin, {count_bin('dose_value_mean')} AS mean_bin FROM cases", "cases"),
-    "fn_normalize_text": f"SELECT item_id, {norm(_SHARP)} AS normalized FROM benchmark",
-    "fn_make_token": f"SELECT item_id, coalesce({token('item', _SHARP)}, '') AS token FROM benchmark",
+    "fn_normalize_text": f"SELECT doc_id, {norm(_SHARP)} AS normalized FROM documents",
+    "fn_make_token": f"SELECT doc_id, coalesce({token('item', _SHARP)}, '') AS token FROM documents",
     "fn_canonical_drug": with_parts("SELECT k, name, from_active, count(*) AS n FROM drug_facts GROUP BY ALL", "drug_facts"),
     "fn_quarter_split": with_parts(f"SELECT k, quarter, {SPLIT} AS split FROM headers", "headers"),
     "fn_report_id_sort_key": with_parts(f"SELECT k, {ID_KEY_LIST[0]} AS kind, {ID_KEY_LIST[1]} AS length, {ID_KEY_LIST[2]} AS text FROM (SELECT k, {strip('safetyreportid')} AS safetyreportid FROM headers) AS h", "headers"),
@@ -308,14 +308,24 @@ ORACLE: dict[str, str] = {
         "SELECT token, count(*) AS n FROM (SELECT unnest(string_split(text_tokens, ' ')) AS token FROM cases WHERE text_tokens <> '') AS t GROUP BY token", "cases"
     ),
     "set_threshold_union": with_parts("SELECT model, round(threshold, 9) AS threshold FROM candidates", "scores", candidates=CANDIDATES),
-    "agg_inventory": with_parts("SELECT quarter, source_file, count(*) AS reports FROM headers GROUP BY quarter, source_file", "headers"),
-    "agg_parse_log": with_parts(
-        f"""SELECT quarter, count(DISTINCT source_file) AS xml_files, count(*) AS parsed, count(d.safetyreportid) AS deleted_skipped,
-                   count(*) FILTER ({strip('h.safetyreportid')} = '') AS missing_id, count(*) - count(d.safetyreportid) AS kept
-            FROM headers AS h LEFT JOIN (SELECT quarter AS dq, safetyreportid FROM deleted) AS d ON h.quarter = dq AND {strip('h.safetyreportid')} = d.safetyreportid GROUP BY quarter""",
+    "agg_inventory": with_parts(
+        """SELECT quarter, CAST(sum(files) AS BIGINT) AS xml_files, CAST(sum(reports) AS BIGINT) AS reports, CAST(sum(deleted_ids) AS BIGINT) AS deleted_ids
+           FROM (SELECT h.quarter, count(DISTINCT source_file) AS files, count(*) AS reports, coalesce(max(gone), 0) AS deleted_ids
+                 FROM headers AS h LEFT JOIN (SELECT quarter AS q, count(*) AS gone FROM deleted GROUP BY quarter) AS d ON h.quarter = q GROUP BY h.quarter) AS t
+           GROUP BY ROLLUP (quarter)""",
         "headers",
         "deleted",
     ),
+    "agg_file_reports": with_parts("SELECT quarter, source_file, count(*) AS reports FROM headers GROUP BY quarter, source_file", "headers"),
+    "agg_parse_log": with_parts(
+        f"""SELECT l.*, count(*) FILTER (s.split = 'train') AS train_cases, count(*) FILTER (s.split = 'valid') AS valid_cases, count(*) FILTER (s.split = 'test') AS test_cases
+            FROM (SELECT quarter, count(DISTINCT source_file) AS xml_files, count(*) AS parsed, count(d.safetyreportid) AS deleted_skipped,
+                         count(*) FILTER ({strip('h.safetyreportid')} = '') AS missing_id, count(*) - count(d.safetyreportid) AS kept
+                  FROM headers AS h LEFT JOIN (SELECT quarter AS dq, safetyreportid FROM deleted) AS d ON h.quarter = dq AND {strip('h.safetyreportid')} = d.safetyreportid GROUP BY quarter) AS l
+            LEFT JOIN split_cases AS s ON l.quarter = s.quarter GROUP BY ALL""",
+        "headers",
+        "split_cases",
+    ),
     "agg_label_rates": with_parts(
         """SELECT CASE WHEN grouping(quarter) = 0 THEN 'quarter' WHEN grouping(split) = 0 THEN 'split' ELSE 'all' END AS level,
                   coalesce(quarter, split, 'all') AS value, count(*) AS n, CAST(sum(label_serious) AS BIGINT) AS positives, round(sum(label_serious)::DOUBLE / count(*), 9) AS rate
@@ -381,8 +391,10 @@ ORACLE: dict[str, str] = {
     "met_average_precision": with_parts("SELECT model, split, round(average_precision, 9) AS average_precision FROM areas", "scores", ranked=RANKED, cumulative=CUMULATIVE, areas=AREAS),
     "met_best_threshold": with_parts("SELECT model, round(threshold, 9) AS threshold, round(f1, 9) AS f1 FROM best", "scores", candidates=CANDIDATES, at_threshold=AT_THRESHOLD, curve=CURVE, best=BEST),
     "met_strata": with_parts(
-        f"""SELECT c0.model, c0.split, c0.stratum, c0.value, n, positives, threshold, {rounded('positive_rate', 'precision', 'recall', 'f1')}, round(auroc, 9) AS auroc, round(average_precision, 9) AS average_precision
-            FROM c0 JOIN areas2 USING (model, split, stratum, value) WHERE n >= 20""",
+        f"""SELECT c0.model, c0.split, c0.stratum, c0.value, n, positives, threshold, {rounded('positive_rate', 'precision', 'recall', 'f1')}, round(auroc, 9) AS auroc, round(average_precision, 9) AS average_precision,
+                   {", ".join(f"round(p{p}.{m}, 9) AS {m}_top{p}" for p in (1, 5, 10) for m in ("recall", "hit_rate"))}
+            FROM c0 JOIN areas2 USING (model, split, stratum, value)
+            {" ".join(f"JOIN (SELECT model, split, stratum, value, recall, hit_rate FROM tops2 WHERE percent = {p}) AS p{p} USING (model, split, stratum, value)" for p in (1, 5, 10))} WHERE n >= 20""",
         "scores",
         strata=STRATA,
         wanted="SELECT * FROM strata WHERE split IN ('valid', 'test')",
@@ -390,6 +402,7 @@ ORACLE: dict[str, str] = {
         ranked=RANKED.replace("model, split,", "model, split, stratum, value,").replace("FROM scores", "FROM wanted"),
         cumulative=CUMULATIVE.replace("BY model, split", "BY model, split, stratum, value"),
         areas2=AREAS.replace("model, split", "model, split, stratum, value"),
+        tops2=TOPS.replace("model, split", "model, split, stratum, value").replace("FROM scores,", "FROM wanted,"),
     ),
     "met_split_table": with_parts(
         f"""SELECT model, split, n, positives, threshold, {rounded('positive_rate', 'precision', 'recall', 'f1')}, round(auroc, 9) AS auroc, round(average_precision, 9) AS average_precision,
@@ -408,4 +421,6 @@ ORACLE: dict[str, str] = {
         tops=TOPS,
     ),
     "stm_ingest_cases": with_parts(f"SELECT {CASE_LIST} FROM kept", "kept"),
+    "snk_model": with_parts("SELECT split, label_serious AS label, count(*) AS n, CAST(0 AS BIGINT) AS differing FROM split_cases GROUP BY ALL", "split_cases"),
 }
+ORACLE["snk_reports"] = ORACLE["agg_coverage"]

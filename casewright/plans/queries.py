@@ -96,6 +96,13 @@ def src_file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def agg_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, reports and withdrawn ids by quarter and in all (bytes are left to src_file_inventory)."""
+    return R.inventory(spark, xml_drop(spark, sf_dir), XML_LAYOUT, testbed.deleted(spark, sf_dir).where("safetyreportid <> ''").distinct()).drop("bytes")
+
+
+@query
+def agg_file_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of each source file."""
     counts = R.count_reports(spark, xml_drop(spark, sf_dir), XML_LAYOUT)
     name = F.regexp_extract("path", "file=([^/]+)/", 1)
     return counts.groupBy("quarter", name.alias("source_file")).agg(F.sum("reports").alias("reports"))
@@ -118,8 +125,8 @@ def src_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def snk_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "coverage")
-    sinks.write_json(audit.coverage(table_cases(spark, sf_dir)), path)
-    return spark.read.json(path)
+    sinks.write_json(agg_coverage(spark, sf_dir), path)
+    return spark.read.schema("n long, drug_count long, drug_name_covered_count long, active_substance_count long, reaction_count long, indication_count long, name_coverage double, active_substance_coverage double").json(path)
 
 
 @query
@@ -131,7 +138,7 @@ def flt_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prj_case_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = testbed.headers(spark, sf_dir)
     wanted = ["k", "safetyreportid", *oracle._TEXT, "age_years", "patientweight"]
-    return rows.select("k", *cases.header_columns(F.col)).select(*wanted)
+    return cases.with_header(rows, F.col, "k").select(*wanted)
 
 
 @query
@@ -194,12 +201,12 @@ def fn_count_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fn_normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", S.normalize_text(F.col("text")).alias("normalized"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", S.normalize_text(F.col("text")).alias("normalized"))
 
 
 @query
 def fn_make_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", S.make_token("item", F.col("text")).alias("token"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", S.make_token("item", F.col("text")).alias("token"))
 
 
 @query
@@ -250,7 +257,7 @@ for _name, _columns in oracle.ARRAY_QUERIES.items():
 def arr_misc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code, route and action tokens of each case's drugs."""
     rows = testbed.drugs(spark, sf_dir)
-    facts = rows.select("k", cases.drug_facts(F.col)["tokens"].alias("t"))
+    facts = cases.facts_table(rows, cases.DRUG_STEPS, "k").select("k", F.col("tokens").alias("t"))
     tokens = F.array_distinct(F.filter(F.flatten(F.collect_set(F.array(F.get("t", F.lit(0)), F.get("t", F.lit(3)), F.get("t", F.lit(4))))), lambda t: t.isNotNull()))
     return facts.groupBy("k").agg(F.array_join(F.array_sort(tokens), " ").alias("misc_tokens"))
 
@@ -304,7 +311,7 @@ def set_threshold_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_parse_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = testbed.headers(spark, sf_dir)
     quarters = rows.groupBy("quarter").agg(F.count_distinct("source_file").alias("xml_files"))
-    return audit.parse_log(quarters, rows, testbed.deleted(spark, sf_dir), F.col("safetyreportid"))
+    return audit.parse_log(quarters, rows, testbed.deleted(spark, sf_dir), F.col("safetyreportid"), split_cases(spark, sf_dir))
 
 
 @query
@@ -386,12 +393,11 @@ def ftr_hash_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ftr_hashed_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct hashed tokens and squared length of each case's vector."""
-    from pyspark.ml.functions import vector_to_array
-
-    rows = features.hashed_vectors(features.feature_view(table_cases(spark, sf_dir)).select("k", features.hash_text().alias("hash_text")), 1 << 10)
-    values = F.filter(vector_to_array("features"), lambda v: v != 0)
-    return rows.select("k", F.size(values).cast("long").alias("tokens"), F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v), 6).alias("norm"))
+    """Distinct hashed tokens and squared length of each case's vector, read from its text form (size,[places],[values])."""
+    rows = features.hashed_vectors(features.feature_view(table_cases(spark, sf_dir)).select("k", features.hash_text().alias("hash_text")))
+    values = F.from_json(F.regexp_extract(F.col("features").cast("string"), r"(\[[^\]]*\])\)$", 1), "array<double>")
+    named = rows.select("k", values.alias("v"))
+    return named.select("k", F.size("v").cast("long").alias("tokens"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 
 @query
@@ -418,21 +424,25 @@ def mdl_logistic_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def mdl_gbt_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _model_rows(spark, sf_dir)
-    return _fitted_metrics(models.score(models.fit_trees(rows.where("split = 'train'"), rounds=20, rate=0.2), rows, "trees"))
+    return _fitted_metrics(models.score(models.fit_trees(rows.where("split = 'train'")), rows, "trees"))
 
 
 @query
 def mdl_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _model_rows(spark, sf_dir)
-    return models.score(models.fit_logistic(rows.where("split = 'train'"), max_iter=10), rows, "logistic")
+    return models.score(models.fit_logistic(rows.where("split = 'train'")), rows, "logistic")
 
 
 @query
 def snk_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores by a model that was saved and loaded."""
+    """Rows scored by a model that was saved and loaded, and how many of its scores differ from those of the model before."""
     rows, path = _model_rows(spark, sf_dir), fresh_path(spark, "model")
-    sinks.save_model(models.fit_logistic(rows.where("split = 'train'"), max_iter=5), path)
-    return models.score(sinks.load_model(path), rows, "logistic").groupBy("split", "label").agg(F.count("*").alias("n"))
+    model = models.fit_logistic(rows.where("split = 'train'"))
+    sinks.save_model(model, path)
+    before, after = models.score(model, rows, "logistic"), models.score(sinks.load_model(path), rows, "logistic")
+    both = before.withColumn("side", F.lit(-1)).unionAll(after.withColumn("side", F.lit(1)))
+    alike = both.groupBy(*before.columns).agg(F.count_if(F.col("side") == 1).alias("n"), F.abs(F.sum("side")).alias("off"))
+    return alike.groupBy("split", "label").agg(F.sum("n").alias("n"), F.sum("off").alias("differing"))
 
 
 @query
@@ -458,7 +468,8 @@ def met_best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def met_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = testbed.scores(spark, sf_dir).where(F.col("split").isin("valid", "test"))
-    return nines(metrics.stratum_metrics(scores, ["model", "split"], 0.5), "positive_rate", "precision", "recall", "f1", "auroc", "average_precision")
+    table = metrics.stratum_metrics(scores, ["model", "split"], 0.5)
+    return nines(table, *[c for c in table.columns if c not in ("model", "split", "stratum", "value", "n", "positives", "threshold")])
 
 
 @query

@@ -22,11 +22,11 @@ def quarter_of(path: Column) -> Column:
     return F.upper(F.concat(F.regexp_extract(path, _QUARTER, 1), F.when(F.regexp_extract(path, _QUARTER, 2) != "", F.concat(F.lit("Q"), F.regexp_extract(path, _QUARTER, 2))).otherwise("")))
 
 
-def report_chunks(lines: DataFrame) -> DataFrame:
+def report_chunks(lines: DataFrame, *more: str) -> DataFrame:
     """quarter, source_file, file_path and the XML of one report from text split at END_TAG; other text is dropped."""
     body = F.regexp_extract("value", r"(?s)<safetyreport[\s>].*", 0)
-    chunk = lines.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("source_file")).withColumn("xml", body).where(F.col("xml") != "")
-    return chunk.select(quarter_of(F.col("file_path")).alias("quarter"), "source_file", "file_path", F.concat("xml", F.lit(END_TAG)).alias("xml"))
+    chunk = lines.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("source_file"), *more).withColumn("xml", body).where(F.col("xml") != "")
+    return chunk.select(quarter_of(F.col("file_path")).alias("quarter"), "source_file", "file_path", *more, F.concat("xml", F.lit(END_TAG)).alias("xml"))
 
 
 def parsed_reports(chunks: DataFrame, mode: str = "FAILFAST") -> DataFrame:
@@ -42,6 +42,17 @@ def read_reports(spark: SparkSession, root: str, files: str = XML_FILES, mode: s
     return parsed_reports(report_chunks(spark.read.option("lineSep", END_TAG).text(f"{root}/{files}")), mode)
 
 
+#: Order of the document: files by path, within a file as they come.
+DOCUMENT_ORDER = ("file_path", "block", "place")
+
+
+def read_reports_in_order(spark: SparkSession, root: str, files: str = XML_FILES, mode: str = "FAILFAST") -> DataFrame:
+    """read_reports with DOCUMENT_ORDER: a report's file, where its part of the file begins, and its place there."""
+    lines = spark.read.option("lineSep", END_TAG).text(f"{root}/{files}")
+    placed = lines.select("value", "_metadata", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    return parsed_reports(report_chunks(placed, "block", "place"), mode)
+
+
 def stream_reports(spark: SparkSession, root: str, files: str = XML_FILES, mode: str = "FAILFAST") -> DataFrame:
     """The same rows from files as they land."""
     return parsed_reports(report_chunks(spark.readStream.option("lineSep", END_TAG).text(f"{root}/{files}")), mode)
@@ -56,12 +67,13 @@ def read_whole_reports(spark: SparkSession, root: str, files: str = XML_FILES, m
 
 
 def read_deleted_ids(spark: SparkSession, root: str, files: str = DELETE_FILES) -> DataFrame:
-    """Distinct (quarter, safetyreportid) of the first delete list of each quarter."""
+    """Distinct (quarter, safetyreportid) of the first delete list of each folder; folders of one quarter are united."""
     path = F.col("_metadata.file_path")
-    lines = spark.read.text(f"{root}/{files}").select(path.alias("path"), F.col("_metadata.file_name").alias("name"), S.strip(F.col("value")).alias("safetyreportid"))
-    lines = lines.withColumn("quarter", quarter_of(F.col("path")))
-    first = lines.groupBy("quarter").agg(F.min("name").alias("name"))
-    return lines.where("safetyreportid <> ''").join(F.broadcast(first), ["quarter", "name"], "left_semi").select("quarter", "safetyreportid").distinct()
+    lines = spark.read.text(f"{root}/{files}").select(path.alias("path"), S.strip(F.col("value")).alias("safetyreportid"))
+    lines = lines.withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    first = lines.groupBy("folder").agg(F.min("path").alias("path"))
+    listed = lines.where("safetyreportid <> ''").join(first, ["folder", "path"], "left_semi")
+    return listed.select(quarter_of(F.col("path")).alias("quarter"), "safetyreportid").distinct()
 
 
 def list_files(spark: SparkSession, root: str, files: str = XML_FILES) -> DataFrame:

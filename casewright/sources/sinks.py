@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 def write_cases(cases: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Cases by quarter; quarters in cases replace those stored before, others stay."""
-    writer = cases.write.partitionBy("quarter").mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
+    # one file a quarter where it is small, several where it is large
+    writer = cases.hint("rebalance", "quarter").write.partitionBy("quarter").mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
     (writer.option("header", "true") if fmt == "csv" else writer).save(path)
 
 
@@ -33,4 +34,5 @@ def write_reports_xml(reports: DataFrame, path: str) -> None:
     """(quarter, source_file, report) rows as XML below <path>/drop=<quarter>/file=<source_file>."""
     xml = F.to_xml("report", {"rowTag": "safetyreport"})
     rows = reports.select(F.lower("quarter").alias("drop"), F.col("source_file").alias("file"), xml.alias("value"))
-    rows.write.partitionBy("drop", "file").text(path)
+    # one file each where they are small, several where they are large, however many tasks there were
+    rows.hint("rebalance", "drop", "file").write.partitionBy("drop", "file").text(path)

@@ -92,3 +92,52 @@ def test_capped_sample_is_the_least_hashes(spark):
     small = {r.i for r in splits.capped_sample(df, 50, F.col("i")).collect()}
     plain = {r.i for r in df.orderBy(F.md5(F.concat(F.lit("42:"), "i"))).limit(50).collect()}
     assert small == plain and splits.capped_sample(df, 10_000, F.col("i")).count() == 5000
+
+
+def test_capped_sample_of_repeated_keys(spark):
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 10 < 7 THEN '' ELSE cast(id as string) END AS i", "id")
+    drawn = splits.capped_sample(df, 300, F.col("i"))
+    assert drawn.count() == 300
+    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, splits.capped_sample(df.repartition(5), 300, F.col("i")).collect()))
+
+
+def test_delete_lists_of_every_folder(spark, tmp_path):
+    for folder, lists in (("a_2025q1", {"DELETE2.txt": "11\n", "DELETE1.txt": "12\n"}), ("b_2025q1", {"DELETE9.txt": "22\n"}), ("c_2025Q2", {"DELETE.txt": "22\n"})):
+        (tmp_path / folder / "Deleted").mkdir(parents=True)
+        for name, text in lists.items():
+            (tmp_path / folder / "Deleted" / name).write_text(text)
+    assert {tuple(r) for r in R.read_deleted_ids(spark, f"file://{tmp_path}").collect()} == {("2025Q1", "12"), ("2025Q1", "22"), ("2025Q2", "22")}
+
+
+def test_reports_in_document_order(spark, tmp_path):
+    root = drop(tmp_path)
+    rows = R.read_reports_in_order(spark, root).orderBy(*R.DOCUMENT_ORDER).collect()
+    assert [r.report.safetyreportid for r in rows] == ["007", "123", None]
+
+
+def test_a_shared_folder_is_asked_for_off_local_masters(monkeypatch):
+    import pytest
+
+    from casewright.sources import shared
+
+    class Away:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "x"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Away)
+
+
+def test_sweep_deletes_what_was_written(spark, monkeypatch):
+    from casewright.sources import shared
+
+    monkeypatch.setattr(shared, "_TABLES", {})
+    table = shared.materialise(spark.range(3), "swept")
+    (path,) = shared._TABLES[spark.sparkContext.applicationId]
+    assert table.count() == 3 and shared.sweep(spark) == 1
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))

@@ -12,7 +12,16 @@ from tests.test_cases import drop
 CHECKED = [
     "src_reports_xml",
     "snk_cases",
+    "src_deleted_ids",
+    "prj_case_header",
+    "fn_age_years",
+    "fn_round6",
+    "fn_parse_date",
+    "fn_make_token",
+    "snk_reports",
+    "snk_model",
     "agg_inventory",
+    "agg_file_reports",
     "agg_parse_log",
     "agg_label_rates",
     "agg_missingness",
@@ -45,6 +54,13 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_no_case_query_falls_back_from_compiled_code(spark, sf_dir, capfd):
+    for name in ("prj_case_header", "join_case_children", "agg_label_rates", "agg_token_counts", "win_time_split", "arr_text_tokens"):
+        queries.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    out, err = capfd.readouterr()
+    assert "64 KB" not in out + err and "Failed to compile" not in out + err
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
@@ -53,7 +69,12 @@ def test_jobs(spark, tmp_path):
     root, out = drop(tmp_path), f"file://{tmp_path}/out"
     assert run_inventory(spark, root, out).count() == 2
     cases = run_etl(spark, root, out)
-    assert {(r.safetyreportid, r.split) for r in cases.collect()} == {("007", "test"), ("", "valid")} or cases.count() == 2
+    assert {(r.safetyreportid, r.split) for r in cases.collect()} == {("007", "valid"), ("", "test")}
+    (log,) = spark.read.json(f"{out}/interim/parse_log").collect()
+    assert (log.parsed, log.kept, log.deleted_skipped, log.missing_id, log.train_cases, log.valid_cases, log.test_cases) == (3, 2, 1, 1, 0, 1, 1)
+    run_etl(spark, root, f"{out}2", Options(sample=1))
+    (log,) = spark.read.json(f"{out}2/interim/parse_log").collect()
+    assert (log.parsed, log.kept, log.test_cases) == (1, 1, 1)  # reading stops at the first report that is kept
     tables = run_report(spark, out)
     assert tables["label_rates"].count() == 4
 
@@ -66,3 +87,10 @@ def test_training_job(spark, sf_dir, tmp_path):
     write_cases(split_cases(spark, sf_dir).drop("k"), f"{out}/interim/cases")
     table = run_train(spark, out, Options(n_features=1 << 10, tree_rounds=2))
     assert {(r.model, r.split) for r in table.collect()} == {(m, s) for m in ("logistic", "trees") for s in ("train", "valid", "test")}
+    (config,) = spark.read.json(f"{out}/models/feature_config").collect()
+    assert config.hash_n_features == 1 << 10 and "serious" in config.leakage_fields_left_out and len(config.numeric_features) == 23
+    # without a valid split the threshold is the plain one, and no metrics are lost
+    rest = spark.read.parquet(f"{out}/interim/cases").where("split <> 'valid'")
+    write_cases(rest, f"{out}3/interim/cases")
+    table = run_train(spark, f"{out}3", Options(n_features=1 << 10, tree_rounds=2))
+    assert {(r.model, r.split, r.threshold) for r in table.collect()} == {(m, s, 0.5) for m in ("logistic", "trees") for s in ("train", "test")}
