@@ -392,9 +392,9 @@ ORACLE: dict[str, str] = {
     "met_best_threshold": with_parts("SELECT model, round(threshold, 9) AS threshold, round(f1, 9) AS f1 FROM best", "scores", candidates=CANDIDATES, at_threshold=AT_THRESHOLD, curve=CURVE, best=BEST),
     "met_strata": with_parts(
         f"""SELECT c0.model, c0.split, c0.stratum, c0.value, n, positives, threshold, {rounded('positive_rate', 'precision', 'recall', 'f1')}, round(auroc, 9) AS auroc, round(average_precision, 9) AS average_precision,
-                   {", ".join(f"round(p{p}.{m}, 9) AS {m}_top{p}" for p in (1, 5, 10) for m in ("recall", "hit_rate"))}
+                   {", ".join(f"round(p{p}.{m[0]}, 9) AS {m}_top{p}" for p in (1, 5, 10) for m in ("recall", "hit_rate"))}
             FROM c0 JOIN areas2 USING (model, split, stratum, value)
-            {" ".join(f"JOIN (SELECT model, split, stratum, value, recall, hit_rate FROM tops2 WHERE percent = {p}) AS p{p} USING (model, split, stratum, value)" for p in (1, 5, 10))} WHERE n >= 20""",
+            {" ".join(f"JOIN (SELECT model, split, stratum, value, recall AS r, hit_rate AS h FROM tops2 WHERE percent = {p}) AS p{p} USING (model, split, stratum, value)" for p in (1, 5, 10))} WHERE n >= 20""",
         "scores",
         strata=STRATA,
         wanted="SELECT * FROM strata WHERE split IN ('valid', 'test')",
