@@ -87,6 +87,18 @@ def test_time_split(spark):
         assert got["2022Q4", "1"] == "test" and got["2025Q1", "5"] == "train"
 
 
+def test_time_split_where_most_days_are_missing(spark):
+    """Half of a quarter and more has no date, ids repeat and are null: the same numbers of rows as by ranking all."""
+    ids = F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") % 7 < 4, F.lit("5")).otherwise((F.col("id") * 37 % 900).cast("string"))
+    day = F.when(F.col("id") % 5 == 0, F.lit("20251103")).otherwise(F.lit("bad"))
+    df = spark.range(0, 2001, 1, 6).select("id", F.lit("2025Q4").alias("quarter"), day.alias("receivedate"), ids.alias("safetyreportid"))
+    counts = [{tuple(map(str, r)): r["n"] for r in form(df).groupBy("receivedate", "safetyreportid", "split").agg(F.count("*").alias("n")).collect()} for form in (splits.split_by_rank, splits.split_by_time)]
+    assert counts[0] == counts[1]
+    placed = df.withColumn("position", F.col("id"))
+    plain, dealt = [{r.id: r.split for r in form(placed).collect()} for form in (splits.split_by_rank, splits.split_by_time)]
+    assert plain == dealt and len(plain) == 2001 and sum(v == "valid" for v in plain.values()) == 1000
+
+
 def test_capped_sample_is_the_least_hashes(spark):
     df = spark.range(5000).selectExpr("cast(id as string) as i")
     small = {r.i for r in splits.capped_sample(df, 50, F.col("i")).collect()}
