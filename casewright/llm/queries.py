@@ -16,6 +16,7 @@ from casewright.llm.packing import pack_documents, pack_turns
 from casewright.llm.simhash import simhash_components
 from casewright.llm.tables import materialise, read_table
 from casewright.llm.tokens import document_token_counts
+from casewright.llm.whitening import whiten
 
 
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +115,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 32 leading components, whitened."""
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -128,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality,
         op9_kdtree_topk,
         op10_toxicity,
+        op13_embedding_whitening,
     )
 }
 
