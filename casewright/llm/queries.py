@@ -16,6 +16,7 @@ from casewright.llm.packing import pack_documents, pack_turns
 from casewright.llm.simhash import simhash_components
 from casewright.llm.tables import materialise, read_table
 from casewright.llm.tokens import document_token_counts
+from casewright.llm.trie import conversation_turns, prefix_trie, with_shared_openings
 from casewright.llm.whitening import whiten
 
 
@@ -115,6 +116,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of conversations that share their openings."""
+    return prefix_trie(*with_shared_openings(conversation_turns(read_table(spark, sf_dir, "conversations"))))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the 32 leading components, whitened."""
     return whiten(read_table(spark, sf_dir, "embeddings"))
@@ -134,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality,
         op9_kdtree_topk,
         op10_toxicity,
+        op12_prefix_trie,
         op13_embedding_whitening,
     )
 }
@@ -156,4 +163,50 @@ ORACLE: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op12_prefix_trie": """
+        WITH own AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS r,
+                   coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), bits AS (
+            SELECT i, list_reduce([i] || range(8), lambda a, k: if(a % 2 = 1, xor(a // 2, 3988292384), a // 2)) AS v FROM range(256) t(i)
+        ), crc_table AS (
+            SELECT list(v ORDER BY i) AS t FROM bits
+        ), heads AS (
+            SELECT c, c - c % 20 AS base,
+                   xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+                       lambda a, x: xor(a // 256, t[xor(a, x) % 256 + 1])), 4294967295) % 4 AS h
+            FROM (SELECT DISTINCT c FROM own), crc_table
+        ), taken AS (
+            SELECT heads.c, own.r AS d, role, text FROM heads JOIN own ON own.c = heads.base AND own.r <= h
+        ), n_taken AS (
+            SELECT heads.c, h, (SELECT count(*) FROM taken WHERE taken.c = heads.c) AS n FROM heads
+        ), turns AS (
+            SELECT * FROM taken UNION ALL
+            SELECT own.c, r - h + n, role, text FROM own JOIN n_taken ON own.c = n_taken.c AND r > h
+        ), paths AS (
+            SELECT c, d, sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY c ORDER BY d)) AS k,
+                   len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+                   max(d) OVER (PARTITION BY c) AS n
+            FROM turns
+            UNION ALL SELECT c, 0, '', 0, coalesce((SELECT max(d) FROM turns WHERE turns.c = heads.c), 0) FROM heads
+        ), nodes AS (
+            SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+                   sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256
+            FROM paths GROUP BY d, k
+        ), named AS (
+            SELECT nodes.*, up.conv_id AS parent_conv_id
+            FROM nodes LEFT JOIN paths p ON p.c = nodes.conv_id AND p.d = nodes.d - 1
+            LEFT JOIN nodes up ON up.d = p.d AND up.k = p.k
+        ), kids AS (
+            SELECT conv_id, d, (SELECT count(*) FROM named b WHERE b.parent_conv_id = a.conv_id AND b.d = a.d + 1) AS n_children FROM named a
+        ), below AS (
+            SELECT up.conv_id, up.d, count(*) FILTER (WHERE kids.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.words) AS saved
+            FROM nodes x JOIN kids ON kids.conv_id = x.conv_id AND kids.d = x.d
+            JOIN paths p ON p.c = x.conv_id AND p.d <= x.d JOIN nodes up ON up.d = p.d AND up.k = p.k
+            GROUP BY ALL
+        )
+        SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+        FROM named JOIN kids USING (conv_id, d) JOIN below USING (conv_id, d)
+    """,
 }
