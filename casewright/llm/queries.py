@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm import language, media, quality, toxicity
 from casewright.llm.html import extract_main_text
+from casewright.llm.jaccard import jaccard_components
 from casewright.llm.kdtree import top_similar
 from casewright.llm.language import id_remainder
 from casewright.llm.mixing import mix_report
@@ -116,6 +117,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of shingles and component of similar documents of every document."""
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trie of conversations that share their openings."""
     return prefix_trie(*with_shared_openings(conversation_turns(read_table(spark, sf_dir, "conversations"))))
@@ -140,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality,
         op9_kdtree_topk,
         op10_toxicity,
+        op11_jaccard_join,
         op12_prefix_trie,
         op13_embedding_whitening,
     )
@@ -163,6 +170,25 @@ ORACLE: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_jaccard_join": """
+        WITH RECURSIVE d AS MATERIALIZED (
+            SELECT row_number() OVER () AS i, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS MATERIALIZED (
+            SELECT i, doc_id, if(len(w) = 0, [], list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda k: array_to_string(w[k:k + 4], ' ')))) AS s
+            FROM d
+        ), e AS MATERIALIZED (
+            SELECT i, len(s) AS n, unnest(s) AS x FROM s
+        ), links AS MATERIALIZED (
+            SELECT a.i AS a, b.i AS b FROM e a JOIN e b ON a.x = b.x AND a.i <> b.i
+            GROUP BY a.i, b.i, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reach(i, j) AS (
+            SELECT i, i FROM s UNION SELECT r.i, l.b FROM reach r JOIN links l ON l.a = r.j
+        )
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id
+        FROM s JOIN reach ON reach.i = s.i JOIN s t ON t.i = reach.j GROUP BY s.i, s.doc_id, s.s
+    """,
     "op12_prefix_trie": """
         WITH own AS (
             SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS r,
