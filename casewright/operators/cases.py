@@ -124,8 +124,8 @@ def _count(array: Column, keep: Callable[[Column], Column] | None = None) -> Col
     return F.coalesce(F.size(array if keep is None else F.filter(array, keep)), F.lit(0)).cast("long")
 
 
-def flatten_reports(reports: DataFrame) -> DataFrame:
-    """Case rows of (quarter, source_file, report) rows, report being a struct of REPORT_FIELDS.
+def flatten_reports(reports: DataFrame, *carry: str) -> DataFrame:
+    """Case rows of (quarter, source_file, report) rows, report being a struct of REPORT_FIELDS; columns in carry are handed on.
 
     Work stays inside the row: arrays are prepared once, then counted."""
     r = F.col("report")
@@ -145,7 +145,7 @@ def flatten_reports(reports: DataFrame) -> DataFrame:
 
     none = F.array()
     kept = reports.withColumns({"_drugs": F.transform(patient["drug"], drug), "_reactions": patient["reaction"]})
-    headed = with_header(kept, field, "quarter", "source_file", "_drugs", "_reactions")
+    headed = with_header(kept, field, "quarter", "source_file", *carry, "_drugs", "_reactions")
     prepared = headed.withColumns(
         {
             "_drugs": F.coalesce(facts_array(F.col("_drugs"), DRUG_STEPS), none),
@@ -186,7 +186,7 @@ def flatten_reports(reports: DataFrame) -> DataFrame:
         "duration_days_mean": mean(F.transform(days, lambda v: v.cast("double"))),
         "duration_days_max": F.array_max(days).cast("double"),
     }
-    return S.with_round6(counted, summary).select(*CASE_COLUMNS)
+    return S.with_round6(counted, summary).select(*CASE_COLUMNS, *carry)
 
 
 def cases_from_tables(headers: DataFrame, drugs: DataFrame, reactions: DataFrame, key: str) -> DataFrame:

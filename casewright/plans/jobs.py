@@ -51,13 +51,14 @@ def first_reports(found: DataFrame, deleted: DataFrame, report_id: Column, n: in
 def run_etl(spark: SparkSession, root: str, out: str, options: Options = Options()) -> DataFrame:
     """Cases by quarter, split by time, and the parse log. With a sample, reading stops at the last report that is kept."""
     deleted, report_id = R.read_deleted_ids(spark, root), F.col("report.safetyreportid")
+    found = R.read_reports(spark, root, options.files, options.mode)
     if options.sample:
-        found = materialise(R.read_reports_in_order(spark, root, options.files, options.mode), "reports-in-order")
-        found, kept = first_reports(found, deleted, report_id, options.sample)
+        found, kept = first_reports(materialise(found, "reports-in-order"), deleted, report_id, options.sample)
     else:
-        found = R.read_reports(spark, root, options.files, options.mode)
         kept = without_withdrawn(found, deleted, report_id)
-    sinks.write_cases(split_by_time(materialise(flatten_reports(kept), "etl-cases"), options.valid_fraction), f"{out}/interim/cases")
+    # stored with each case's place in its file, which ties of the split go by
+    placed = materialise(flatten_reports(kept, *R.DOCUMENT_ORDER), "etl-cases")
+    sinks.write_cases(split_by_time(placed, options.valid_fraction).drop(*R.DOCUMENT_ORDER), f"{out}/interim/cases")
     cases = R.read_cases(spark, f"{out}/interim/cases")
     log = audit.parse_log(R.list_quarters(spark, root, options.files).select("quarter", "xml_files"), found, deleted, report_id, cases)
     sinks.write_json(log, f"{out}/interim/parse_log")

@@ -142,7 +142,7 @@ _PARTS = {
     "day_keyed": f"SELECT *, coalesce({day('receivedate')}, DATE '9999-12-31') AS _day FROM kept",
     "split_cases": f"""
         SELECT * REPLACE (CASE WHEN split = 'train' THEN 'train'
-               WHEN row_number() OVER (PARTITION BY quarter ORDER BY _day, {ID_KEYS}, safetyreportversion, source_file) <= floor(count(*) OVER (PARTITION BY quarter) * 0.5::DOUBLE)
+               WHEN row_number() OVER (PARTITION BY quarter ORDER BY _day, {ID_KEYS}, k) <= floor(count(*) OVER (PARTITION BY quarter) * 0.5::DOUBLE)
                THEN 'valid' ELSE 'test' END AS split) FROM day_keyed""",
     "scores": plain(SCORES),
 }
@@ -239,6 +239,23 @@ FROM (SELECT {keys}, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, max
 """
 
 
+_2_32 = "4294967296::UBIGINT"
+#: 32-bit Murmur3 (seed 42) of tokens of ASCII letters, step by step, and the place among 2**18.
+MURMUR3 = {
+    "letters": "SELECT token, len(token)::UBIGINT AS n, list_transform(string_split(token, ''), lambda x: ord(x)::UBIGINT) AS b FROM (SELECT DISTINCT token FROM counted) AS t",
+    "blocks": """SELECT token, n, list_transform(range(0, CAST((n + 3) // 4 AS BIGINT)), lambda i: coalesce(b[4 * i + 1], 0::UBIGINT) + 256::UBIGINT * coalesce(b[4 * i + 2], 0::UBIGINT)
+                        + 65536::UBIGINT * coalesce(b[4 * i + 3], 0::UBIGINT) + 16777216::UBIGINT * coalesce(b[4 * i + 4], 0::UBIGINT)) AS w FROM letters""",
+    "mixed_1": f"SELECT token, n, list_transform(w, lambda k: (k * {0xCC9E2D51}::UBIGINT) % {_2_32}) AS w FROM blocks",
+    "mixed_2": f"SELECT token, n, list_transform(w, lambda k: (k * 32768::UBIGINT) % {_2_32} + k // 131072::UBIGINT) AS w FROM mixed_1",
+    "mixed_3": f"SELECT token, n, list_transform(w, lambda k: (k * {0x1B873593}::UBIGINT) % {_2_32}) AS w FROM mixed_2",
+    "summed": f"""SELECT token, n, if(n % 4 > 0, w[-1], 0::UBIGINT) AS rest,
+                         list_reduce([42::UBIGINT] || w[1:CAST(n // 4 AS BIGINT)], lambda h, k: (((xor(h, k) * 8192::UBIGINT) % {_2_32} + xor(h, k) // 524288::UBIGINT) * 5::UBIGINT + {0xE6546B64}::UBIGINT) % {_2_32}) AS h
+                  FROM mixed_3""",
+    "final_1": "SELECT token, xor(xor(h, rest), n) AS h FROM summed",
+    "final_2": f"SELECT token, (xor(h, h // 65536::UBIGINT) * {0x85EBCA6B}::UBIGINT) % {_2_32} AS h FROM final_1",
+    "final_3": f"SELECT token, (xor(h, h // 8192::UBIGINT) * {0xC2B2AE35}::UBIGINT) % {_2_32} AS h FROM final_2",
+    "placed": "SELECT token, CAST(xor(h, h // 65536::UBIGINT) % 262144::UBIGINT AS BIGINT) AS place FROM final_3",
+}
 GRID = "[" + ", ".join(f"{i / 20.0!r}::DOUBLE" for i in range(1, 20)) + "]"
 CANDIDATES = f"""
 SELECT model, unnest(list_distinct(list_concat({GRID}, quantile_cont(score, [{", ".join(repr(i / 20.0) for i in range(1, 20))}])))) AS threshold
@@ -421,6 +438,15 @@ ORACLE: dict[str, str] = {
         tops=TOPS,
     ),
     "stm_ingest_cases": with_parts(f"SELECT {CASE_LIST} FROM kept", "kept"),
+    "mdl_score_from_table": with_parts("SELECT split, label_serious AS label, count(*) AS n, CAST(0 AS BIGINT) AS differing FROM split_cases GROUP BY ALL", "split_cases"),
+    "ftr_hashed_vector": with_parts(
+        """SELECT k, count(*) AS tokens, CAST(sum(place) AS BIGINT) AS places, round(sum((n / size) * (n / size)), 6) AS norm, round(max(n / size), 9) AS greatest
+           FROM (SELECT k, place, n, sqrt(sum(n * n) OVER (PARTITION BY k)) AS size
+                 FROM (SELECT k, place, CAST(sum(n) AS DOUBLE) AS n FROM counted JOIN placed USING (token) GROUP BY k, place) AS c) AS v GROUP BY k""",
+        "cases",
+        counted=f"SELECT k, token, count(*) AS n FROM (SELECT k, unnest(regexp_extract_all({HASH_TEXT}, '\\b\\S+\\b')) AS token FROM cases) AS t GROUP BY k, token",
+        **MURMUR3,
+    ),
     "snk_model": with_parts("SELECT split, label_serious AS label, count(*) AS n, CAST(0 AS BIGINT) AS differing FROM split_cases GROUP BY ALL", "split_cases"),
 }
 ORACLE["snk_reports"] = ORACLE["agg_coverage"]

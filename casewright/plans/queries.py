@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casewright.functions import scalars as S
 from casewright.functions.schema import CASE_COLUMNS
-from casewright.operators import audit, cases, features, metrics, models, splits
+from casewright.operators import audit, cases, features, metrics, models, scoring, splits
 from casewright.plans import oracle, testbed
 from casewright.sources import reports as R
 from casewright.sources import sinks
@@ -20,7 +21,7 @@ from casewright.streaming.ingest import ingest_cases
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: How the testbed's XML is laid out.
-XML_LAYOUT = "drop=*/file=*/*.txt"
+XML_LAYOUT = "file=*/*.txt"
 
 
 def query(f: Query) -> Query:
@@ -54,7 +55,9 @@ def kept_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.split_by_time(materialise(kept_cases(spark, sf_dir), "kept-cases"))
+    """The testbed's cases split by time; a case stands where its key does."""
+    placed = kept_cases(spark, sf_dir).withColumn("position", F.col("k"))
+    return splits.split_by_time(materialise(placed, "kept-cases")).drop("position")
 
 
 def xml_drop(spark: SparkSession, sf_dir: str) -> str:
@@ -86,7 +89,7 @@ def src_deleted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = fresh_path(spark, "deleted")
     ids = testbed.deleted(spark, sf_dir).select(F.lower("quarter").alias("drop"), F.explode(F.array(F.concat(F.lit(" "), "safetyreportid", F.lit("  ")), F.lit(""), F.col("safetyreportid"))).alias("value"))
     ids.repartition("drop").write.partitionBy("drop").text(root)
-    return R.read_deleted_ids(spark, root, "drop=*/*.txt")
+    return R.read_deleted_ids(spark, root, "*.txt")
 
 
 @query
@@ -393,11 +396,14 @@ def ftr_hash_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ftr_hashed_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct hashed tokens and squared length of each case's vector, read from its text form (size,[places],[values])."""
+    """Of each case's vector, read from its text form (size,[places],[values]): how many places it has, their sum, its squared length and
+    its greatest value."""
     rows = features.hashed_vectors(features.feature_view(table_cases(spark, sf_dir)).select("k", features.hash_text().alias("hash_text")))
-    values = F.from_json(F.regexp_extract(F.col("features").cast("string"), r"(\[[^\]]*\])\)$", 1), "array<double>")
-    named = rows.select("k", values.alias("v"))
-    return named.select("k", F.size("v").cast("long").alias("tokens"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    part = lambda i, kind: F.from_json(F.regexp_extract(F.col("features").cast("string"), r",(\[[^\]]*\]),(\[[^\]]*\])\)$", i), kind)
+    named = rows.select("k", part(1, "array<long>").alias("p"), part(2, "array<double>").alias("v"))
+    places = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x)
+    norm = F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6)
+    return named.select("k", F.size("p").cast("long").alias("tokens"), places.alias("places"), norm.alias("norm"), F.round(F.array_max("v"), 9).alias("greatest"))
 
 
 @query
@@ -433,6 +439,18 @@ def mdl_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.score(models.fit_logistic(rows.where("split = 'train'")), rows, "logistic")
 
 
+@query
+def mdl_score_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows scored from the model's table of coefficients, by columns alone, and how many scores are not the model's own."""
+    rows = materialise(_model_rows(spark, sf_dir).withColumn("row", F.monotonically_increasing_id()), "numbered-rows")
+    model = models.fit_logistic(rows.where("split = 'train'"))
+    vectors = materialise(scoring.hashed_counts(rows, "row"), "hashed-counts")
+    mine = scoring.table_scores(rows.select("row", "split", "label"), vectors, materialise(scoring.coefficient_table(model), "coefficients"), "row")
+    own = model.transform(rows).select("row", vector_to_array("probability")[1].alias("own"))
+    off = F.abs(F.col("score") - F.col("own")) > 1e-9
+    return mine.join(own, "row").groupBy("split", F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"), F.count_if(off).alias("differing"))
+
+
 @query
 def snk_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows scored by a model that was saved and loaded, and how many of its scores differ from those of the model before."""

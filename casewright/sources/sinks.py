@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,9 +30,18 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def _xml() -> Column:
+    return F.to_xml("report", {"rowTag": "safetyreport"})
+
+
+def xml_lengths(reports: DataFrame) -> DataFrame:
+    """quarter, source_file and bytes: what write_reports_xml writes for each source file, a line's end after each report."""
+    size = F.octet_length(_xml()) + 1
+    return reports.groupBy("quarter", "source_file").agg(F.sum(size).alias("bytes"))
+
+
 def write_reports_xml(reports: DataFrame, path: str) -> None:
     """(quarter, source_file, report) rows as XML below <path>/drop=<quarter>/file=<source_file>."""
-    xml = F.to_xml("report", {"rowTag": "safetyreport"})
-    rows = reports.select(F.lower("quarter").alias("drop"), F.col("source_file").alias("file"), xml.alias("value"))
+    rows = reports.select(F.lower("quarter").alias("drop"), F.col("source_file").alias("file"), _xml().alias("value"))
     # one file each where they are small, several where they are large, however many tasks there were
     rows.hint("rebalance", "drop", "file").write.partitionBy("drop", "file").text(path)

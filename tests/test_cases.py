@@ -123,7 +123,7 @@ def test_delete_lists_of_every_folder(spark, tmp_path):
 
 def test_reports_in_document_order(spark, tmp_path):
     root = drop(tmp_path)
-    rows = R.read_reports_in_order(spark, root).orderBy(*R.DOCUMENT_ORDER).collect()
+    rows = R.read_reports(spark, root).orderBy(*R.DOCUMENT_ORDER).collect()
     assert [r.report.safetyreportid for r in rows] == ["007", "123", None]
 
 

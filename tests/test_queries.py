@@ -33,6 +33,10 @@ CHECKED = [
     "fn_canonical_drug",
     "arr_text_tokens",
     "win_time_split",
+    "flt_split",
+    "ftr_hashed_vector",
+    "mdl_score_from_table",
+    "src_quarters",
     "smp_train_cap",
     "top_recall_at_pct",
     "join_threshold_candidates",
