@@ -14,14 +14,16 @@ document. So the rounding of a source depends on its own rows only, few long doc
 a source that holds a third of all rows is spread.
 
 Nulls: a null text has size 0 and takes nothing; null is a source of its own, the last; a null doc_id is an id like any
-other. Rows alike in doc_id, source and size are rounded together and get equal copies. Ids are handed on as they are,
-of whatever type. Texts of any length only count their words. Ties in size go by a hash of the id, then by the id.
+other. Rows alike in doc_id, source and size are one unit: as many of them get one copy more as the words due ask for, so targets are
+met where ids are null or repeat; mix_documents gives it to the rows with the least hashes (rows that differ only in map or variant columns
+count as alike there). Ids are handed on as they are, of whatever type. Texts of any length only count their words. Ties in size go by a hash of the id, then by the id.
 Other columns, whatever their names, are carried along by mix_documents. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casewright.llm.tables import materialise, whole_rows
+from casewright.operators.ranks import edge_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -41,6 +44,8 @@ MAX_STEPS = 60
 PART_ROWS = 200_000
 #: Rows alike that are written out at once.
 REPEAT_ROWS = 10_000
+#: A unit with more than one of so many of all rows is joined by broadcast: there are no more such units than this.
+LARGE_UNITS = 1000
 #: Columns that rounding hands on.
 UNIT = ("doc_id", "source", "size", "n", "source_size", "target")
 
@@ -134,19 +139,22 @@ def tilts(histogram: DataFrame, sources: DataFrame, cap: float = CAP) -> DataFra
 
 
 def round_copies(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """copies of units (.., key, part, words, rate), sorted by key, part and falling size, with error feedback."""
+    """whole and more of units (.., key, part, size, n, rate), sorted by key, part and falling size, with error feedback.
+
+    Every row of a unit is taken whole times, and more of its rows once more."""
     at, due = None, 0.0
     for part in parts:
-        copies = []
-        for key, of, words, rate in zip(*(part.column(c).to_pylist() for c in ("key", "part", "words", "rate"))):
+        wholes, mores = [], []
+        for key, of, size, n, rate in zip(*(part.column(c).to_pylist() for c in ("key", "part", "size", "n", "rate"))):
             if (key, of) != at:
                 at, due = (key, of), 0.0
             whole = math.floor(rate)
-            due += (rate - whole) * words
-            up = rate > whole and words > 0 and due >= words / 2
-            due -= up * words
-            copies.append(whole + up)
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in UNIT), pa.array(copies, pa.int32())], names=[*UNIT, "copies"])
+            due += (rate - whole) * size * n
+            more = min(n, max(0, math.floor(due / size + 0.5))) if rate > whole and size else 0
+            due -= more * size
+            wholes.append(whole)
+            mores.append(more)
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in UNIT), pa.array(wholes, pa.int32()), pa.array(mores, pa.int64())], names=[*UNIT, "whole", "more"])
 
 
 def dealt_sources(histogram: DataFrame, sources: DataFrame) -> DataFrame:
@@ -161,7 +169,8 @@ def dealt_sources(histogram: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def plan_mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
-    """doc_id, source, size, n (rows alike), copies, source_size, target for (doc_id, source, size) rows."""
+    """doc_id, source, size, n (rows alike), whole, more, source_size, target for (doc_id, source, size) rows: each of the n rows is
+    taken whole times, and `more` of them once more."""
     sizes = sizes.withColumn("key", source_key(F.col("source")))
     totals = sizes.groupBy("source", "key").agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.count_if(F.col("size") > 0).alias("filled"))
     sources = materialise(with_targets(materialise(weighted_sources(totals, weights), "mix-weights"), budget, cap), "mix-targets")
@@ -176,14 +185,14 @@ def plan_mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
         .when(spread, 1 + F.pmod(F.xxhash64("doc_id", "size"), "dealt"))
         .otherwise(0)
     )
-    keys = ["doc_id", "source", "key", "size", "source_size", "target", "tilt", "part"]
-    dealt = sizes.join(facts, "key").select(*keys[:-1], part.cast("long").alias("part"))
-    units = dealt.repartition(max(1, rows // PART_ROWS), "key", "part").groupBy(*keys).agg(F.count("*").alias("n"))
+    # summed up where they lie: rows alike may be any share of all
+    alike = sizes.groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("n"))
+    units = alike.join(facts, "key").select(*UNIT, "key", "tilt", part.cast("long").alias("part"))
     rate = F.when(F.col("tilt").isNull(), F.lit(float(cap))).otherwise(F.exp(F.least(F.col("tilt") * F.col("size"), F.lit(math.log(cap)))))
-    rated = units.select(*UNIT, "key", "part", (F.col("size") * F.col("n")).alias("words"), F.least(rate, F.lit(float(cap))).alias("rate"))
-    sorted_ = rated.sortWithinPartitions("key", "part", F.desc("words"), F.xxhash64("doc_id"), "doc_id", "size")
+    rated = units.select(*UNIT, "key", "part", F.least(rate, F.lit(float(cap))).alias("rate")).repartition(max(1, rows // PART_ROWS), "key", "part")
+    sorted_ = rated.sortWithinPartitions("key", "part", F.desc("size"), F.xxhash64("doc_id"), "doc_id")
     id_type = sizes.schema["doc_id"].dataType.simpleString()
-    return sorted_.mapInArrow(round_copies, f"doc_id {id_type}, source string, size long, n long, source_size long, target double, copies int")
+    return sorted_.mapInArrow(round_copies, f"doc_id {id_type}, source string, size long, n long, source_size long, target double, whole int, more long")
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
@@ -205,16 +214,46 @@ def repeated(rows: DataFrame, n: Column) -> DataFrame:
 def mix_report(docs: DataFrame) -> DataFrame:
     """For every document: its words, its source's words and target, copies, and words taken."""
     plan = materialise(plan_mix(document_sizes(docs)), "mix-plan")
-    each = repeated(plan, F.col("n"))
+    once, again = F.struct((F.col("n") - F.col("more")).alias("times"), F.col("whole").alias("copies")), F.struct(F.col("more").alias("times"), (F.col("whole") + 1).alias("copies"))
+    each = plan.select("doc_id", "size", "source_size", "target", F.inline(F.array(once, again)))
+    each = repeated(each, F.col("times"))
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (row, source, size, ..) of units that are taken, with n, whole and more.
+
+    Units that hold a large share of all rows are few, so they go to the rows; the others meet them by a merge join, at every
+    size, as the plan grows with the rows."""
+    (total,) = plan.agg(F.coalesce(F.sum("n"), F.lit(0))).first()
+    named = plan.select(F.col("doc_id").alias("plan_id"), F.col("source").alias("plan_source"), F.col("size").alias("plan_size"), "n", "whole", "more")
+    large = F.col("n") * LARGE_UNITS > total
+    same = F.col("row.doc_id").eqNullSafe(F.col("plan_id")) & F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("size") == F.col("plan_size"))
+    large &= F.col("n") > 1
+    few = named.where(large)
+    if few.isEmpty():
+        return rows.join(named.hint("merge"), same).where((F.col("whole") > 0) | (F.col("more") > 0))
+    marked = rows.join(F.broadcast(few), same, "left")
+    found = marked.where(F.col("n").isNotNull())
+    rest = marked.where(F.col("n").isNull()).select(*rows.columns).join(named.where(~large).hint("merge"), same)
+    return found.unionByName(rest).where((F.col("whole") > 0) | (F.col("more") > 0))
+
+
 def mix_documents(docs: DataFrame) -> DataFrame:
     """docs with every row repeated as often as the mix takes it; rows it does not take are gone."""
+    hashed = [F.col("row")[f.name] for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
     rows = whole_rows(docs, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    taken = plan_mix(document_sizes(docs)).where("copies > 0")
-    plan = materialise(taken.select(F.col("doc_id").alias("plan_id"), F.col("source").alias("plan_source"), F.col("size").alias("plan_size"), "copies"), "mix-plan")
-    alike = F.col("row.doc_id").eqNullSafe(F.col("plan_id")) & F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("size") == F.col("plan_size"))
-    joined = rows.join(plan.hint("merge"), alike)  # at every size: the plan grows with docs
+    joined = with_plan(rows, materialise(plan_mix(document_sizes(docs)), "mix-plan"))
+    mixed = F.col("more").between(1, F.col("n") - 1)
+    even = joined.where(~mixed).withColumn("copies", F.col("whole") + (F.col("more") > 0).cast("int"))
     # a document is taken CAP times at most
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    even = even.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    # units of which some rows are taken once more than others: rows wholly alike first become one
+    unit = ["plan_id", "plan_source", "plan_size"]
+    alike = joined.where(mixed).withColumn("_hash", F.xxhash64(*hashed)).groupBy(*unit, "more", "_hash").agg(F.any_value("row").alias("row"), F.count("*").alias("n"), F.max("whole").alias("whole"))
+    alike = materialise(alike, "mix-alike")
+    edge = edge_rows(repeated(alike.select(*unit, "more", "_hash", "n"), F.col("n")), unit, "more", [F.col("_hash")], {})
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"e.{c}")) for c in unit]
+    placed = alike.alias("a").join(edge.alias("e"), same, "left").select("a.row", "a.n", "a.whole", F.when(F.col("a._hash") < F.col("e._edge.o0"), F.col("a.n")).when(F.col("a._hash") == F.col("e._edge.o0"), F.col("e._left")).otherwise(0).alias("extra"))
+    uneven = repeated(placed.select("row", (F.col("n") * F.col("whole") + F.col("extra")).alias("_times")), F.col("_times")).select("row")
+    return even.select("row").unionByName(uneven).select("row.*")

@@ -70,13 +70,15 @@ def test_newton_meets_bisection(spark):
 
 
 def slow_copies(units):
-    """Error feedback over (size, id) units, all at one rate function, in the order of rounding."""
+    """Error feedback over (size, n, rate) units row by row: a unit's rows go one after another, then those with a copy more are counted."""
     due, out = 0.0, []
-    for words, rate in units:
-        due += (rate - math.floor(rate)) * words
-        up = rate > math.floor(rate) and words > 0 and due >= words / 2
-        due -= up * words
-        out.append(math.floor(rate) + up)
+    for size, n, rate in units:
+        whole, more = math.floor(rate), 0
+        due += (rate - whole) * size * n
+        while rate > whole and size and more < n and due >= size / 2:
+            due -= size
+            more += 1
+        out.append((whole, more))
     return out
 
 
@@ -84,12 +86,46 @@ def test_rounding_equals_a_plain_loop():
     import pyarrow as pa
 
     rng = np.random.default_rng(9)
-    words = sorted(rng.integers(0, 90, 200).tolist(), reverse=True)
+    sizes = sorted(rng.integers(0, 90, 200).tolist(), reverse=True)
+    times = rng.choice([1, 1, 2, 9, 300], 200).tolist()
     rates = rng.random(200).round(3) * 2
-    n = len(words)
-    batch = pa.RecordBatch.from_pydict({c: [0] * n for c in X.UNIT} | {"key": ["a"] * n, "part": [0] * n, "words": words, "rate": rates})
-    found = [b.column("copies").to_pylist() for b in X.round_copies(iter([batch.slice(0, 70), batch.slice(70)]))]
-    assert found[0] + found[1] == slow_copies(zip(words, rates))
+    n = len(sizes)
+    batch = pa.RecordBatch.from_pydict({c: [0] * n for c in X.UNIT} | {"key": ["a"] * n, "part": [0] * n, "size": sizes, "n": times, "rate": rates})
+    found = [(w, m) for b in X.round_copies(iter([batch.slice(0, 70), batch.slice(70)])) for w, m in zip(b.column("whole").to_pylist(), b.column("more").to_pylist())]
+    assert found == slow_copies(zip(sizes, times, rates))
+
+
+ALIKE = {
+    "null ids": [(None, 10, s) for s, n in (("a", 600), ("b", 200), ("c", 200)) for _ in range(n)],
+    "one id repeated": [(1, 10, "a")] * 300 + [(i, 10 + i % 7, "a") for i in range(2, 100)] + [(i, 20, "b") for i in range(500)],
+    "one-id sources": [(1, 7, "a")] * 50 + [(2, 9, "b")] * 40 + [(3, 11, None)] * 30,
+    "mixed": [(None, 3 + i % 5, "a") for i in range(400)] + [(i % 9, 10 * (i % 3), "b") for i in range(300)] + [(i, 1, None) for i in range(50)],
+}
+
+
+@pytest.mark.parametrize(("name", "large_units"), [("null ids", 1000), ("one id repeated", 2), ("one-id sources", 1000), ("mixed", 2)])
+def test_targets_are_met_where_rows_are_alike(spark, monkeypatch, name, large_units):
+    monkeypatch.setattr(X, "LARGE_UNITS", large_units)
+    rows = [(i, "w " * n, s, k % 4 if name == "mixed" else 0) for k, (i, n, s) in enumerate(ALIKE[name])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tag long").repartition(4)
+    found = X.mix_report(docs).collect()
+    assert len(found) == len(rows) and all(r.taken <= 2 * r["size"] for r in found)
+    taken, target = {}, {}
+    for r in found:
+        taken[r.source_size, r.target] = taken.get((r.source_size, r.target), 0) + r.taken
+    longest = max(n for _, n, _ in ALIKE[name])
+    assert all(abs(t - due) <= longest for (_, due), t in taken.items())
+    mixed = X.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    count = lambda x: sorted(map(tuple, x.groupBy(*docs.columns).count().collect()), key=str)
+    first = count(mixed)
+    if name == "mixed":
+        assert first == count(X.mix_documents(docs.repartition(7)))
+    assert sum(len(r[1].split()) * r[4] for r in first) == sum(r.taken for r in found)
+    have = {}
+    for r in rows:
+        have[r] = have.get(r, 0) + 1
+    assert all(r[4] <= 2 * have[r[:4]] for r in first)
 
 
 def test_ids_stay_exact_beside_nulls(spark):
@@ -97,11 +133,11 @@ def test_ids_stay_exact_beside_nulls(spark):
     docs = spark.createDataFrame([(big + 1, "a b c", "s"), (None, "d e", "s"), (big + 3, "f g h i", "t"), (None, "d e", "s")], "doc_id long, text string, source string").coalesce(1)
     rows = X.mix_report(docs).collect()
     assert sorted((r.doc_id or 0, r["size"]) for r in rows) == [(0, 2), (0, 2), (big + 1, 3), (big + 3, 4)]
-    copies = {(r.doc_id, r["size"]): r.copies for r in rows}
+    copies = {}
+    for r in rows:
+        copies[r.doc_id, r["size"]] = copies.get((r.doc_id, r["size"]), 0) + r.copies
     kept = X.mix_documents(docs).groupBy("doc_id", "text").count().collect()
-    assert {(r.doc_id, r.text): r["count"] for r in kept} == {
-        (i, t): copies[i, len(t.split())] * m for i, t, m in ((big + 1, "a b c", 1), (None, "d e", 2), (big + 3, "f g h i", 1)) if copies[i, len(t.split())]
-    }
+    assert {(r.doc_id, len(r.text.split())): r["count"] for r in kept} == {k: n for k, n in copies.items() if n}
 
 
 def test_rows_alike_are_written_in_batches(spark, monkeypatch):
