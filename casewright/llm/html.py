@@ -2,9 +2,10 @@
 
 A page is cut into flat blocks at block-level tags. A block has its words, its link density, those of the
 blocks before and after it, and what the tags round it say: whether it stands in the article or in a header, and how
-strongly they mark a part that is no main text. A decision tree, grown on the small table of labelled pages below, keeps or drops
-each block; nothing else is dropped and nothing is cut. Where tags tell little (no article marked, or a name such as `related`
-that article text may bear), words and links of the block and its neighbours decide.
+strongly the nearest marking tag marks a part that is no main text. An article or main tag ends the marks of tags round it, a name counts
+whole, and a part of a name only hints. A decision tree, grown on the small table of labelled pages below, keeps or drops
+each block; nothing else is dropped and nothing is cut. Where tags tell little (no article marked, the whole page inside a form or a
+part named for a sidebar, a name such as `related` that article text may bear), words and links of the block and its neighbours decide.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones are no
 blocks, and kept blocks are joined in page order by a line feed. Work grows with the length of the page, however its tags are
@@ -19,6 +20,7 @@ import html as entities
 import re
 from dataclasses import dataclass
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -33,18 +35,20 @@ BLOCK_TAGS = frozenset(
 )
 UNSEEN_TAGS = frozenset("head script style template noscript iframe object embed svg math canvas audio video select textarea button datalist title".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
-SIDE_TAGS = frozenset("nav footer aside form menu dialog fieldset search".split())
+SIDE_TAGS = frozenset("nav footer aside menu dialog search".split())
+#: They may hold a whole page, as names may.
+FORM_TAGS = frozenset("form fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_NEXT = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "tr": frozenset({"tr", "td", "th"}), "option": frozenset({"option"})}
-#: Names of classes and ids that mark no main text, alone or as a part of a longer name (site-footer, cookie_bar).
+#: Names of classes and ids that mark no main text.
 SIDE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer "
-    "gdpr masthead menu modal nav navbar navigation newsletter pagination paywall popup sidebar sponsor sponsored subscribe subscription".split()
+    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments comment-list commentlist comments-area consent cookie cookies "
+    "cookie-banner cookie-notice disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification notifications pager pagination "
+    "paywall popup promo promoted promotion rail related-posts replies reply respond share-buttons sidebar signup site-footer site-header site-nav social social-share "
+    "sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-#: Names that mark no main text alone, but hint at it only as a part of a longer name.
-SIDE_ALONE = frozenset("alert banner login notice notices notification notifications pager promo promoted promotion rail reply replies respond signup social toolbar widget widgets".split())
-#: Names that only hint at it, alone or as a part: article text bears them, too.
+#: Names that only hint at it, as a part of a longer name of any kind does: article text bears them, too.
 SIDE_HINTS = frozenset("bottom byline links recommended related search share sharing tags top".split())
 SIDE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: Names and roles that mark the article where no tag does.
@@ -65,10 +69,12 @@ class Block:
     mark: int
     main: bool
     header: bool
+    #: The nearest marking tag, by number; 0 if there is none.
+    holder: int
 
 
 def name_marks(attributes: str) -> tuple[int, bool]:
-    """What class, id and role say: 2 for a part that is no main text, 1 for a hint at it, 0; and whether they mark the article."""
+    """What class, id and role say: 2 (3 from a tag) for a part that is no main text, 1 for a hint at it, 0; and whether they mark the article."""
     mark, main = 0, False
     for m in _NAMES.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -78,9 +84,9 @@ def name_marks(attributes: str) -> tuple[int, bool]:
                 continue
             parts = [p for p in _PART.split(name) if p]
             main = main or name in MAIN_NAMES
-            if name in SIDE_ALONE or any(p in SIDE_NAMES for p in parts):
+            if name in SIDE_NAMES:
                 mark = 2
-            elif any(p in SIDE_ALONE or p in SIDE_HINTS for p in parts):
+            elif any(p in SIDE_NAMES or p in SIDE_HINTS for p in parts):
                 mark = max(mark, 1)
     return mark, main
 
@@ -89,9 +95,11 @@ def flat_blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order, with what stands round them."""
     blocks: list[Block] = []
     held: list[tuple[str, bool]] = []
-    # open tags: name, and whether it adds to what must not be seen, is marked, is hinted at, main parts, headers, links
+    # open tags: name, and whether it adds to what must not be seen, marks, main parts, headers, links
     stack: list[tuple] = []
-    depth = [0] * 6
+    depth = [0] * 5
+    # what the open tags that mark anything say, the nearest last
+    marks, holders, numbers = [0], [0], count(1)
     # where on the stack a name is open, and where block-level tags are
     places: dict[str, list[int]] = {}
     walls: list[int] = []
@@ -99,11 +107,18 @@ def flat_blocks(page: str) -> list[Block]:
     def push(name: str, attributes: str) -> None:
         mark, main = name_marks(attributes) if attributes and name not in ("body", "html") else (0, False)
         if name in SIDE_TAGS:
+            mark = 3
+        elif name in FORM_TAGS:
             mark = 2
-        elif name in MAIN_TAGS:
+        elif name in MAIN_TAGS and (name == "main" or mark < 2):  # a reader's comment may be an article by tag
             mark, main = 0, True
         unseen = name in UNSEEN_TAGS or (bool(attributes) and bool(_HIDDEN.search(attributes)))
-        flags = (unseen, mark == 2, mark == 1, main, name == "header", name == "a")
+        main = main and mark < 2
+        marking = mark > 0 or main
+        if marking:
+            marks.append(0 if main else mark)
+            holders.append(next(numbers))
+        flags = (unseen, marking, main, name == "header", name == "a")
         places.setdefault(name, []).append(len(stack))
         if name in BLOCK_TAGS:
             walls.append(len(stack))
@@ -122,6 +137,9 @@ def flat_blocks(page: str) -> list[Block]:
             places[closed].pop()
             if closed in BLOCK_TAGS:
                 walls.pop()
+            if flags[1]:
+                marks.pop()
+                holders.pop()
             for i, f in enumerate(flags):
                 depth[i] -= f
 
@@ -131,8 +149,7 @@ def flat_blocks(page: str) -> list[Block]:
             if text:
                 linked = sum(len(entities.unescape(t).split()) for t, a in held if a)
                 words = text.count(" ") + 1
-                mark = 2 if depth[1] else 1 if depth[2] else 0
-                blocks.append(Block(text, words, min(linked, words), mark, depth[3] > 0, depth[4] > 0))
+                blocks.append(Block(text, words, min(linked, words), marks[-1], depth[2] > 0, depth[3] > 0, holders[-1]))
             held.clear()
 
     at, size = 0, len(page)
@@ -141,13 +158,13 @@ def flat_blocks(page: str) -> list[Block]:
         if cut < 0:
             cut = size
         if cut > at and not depth[0]:
-            held.append((page[at:cut], depth[5] > 0))
+            held.append((page[at:cut], depth[4] > 0))
         if cut == size:
             break
         m = _TOKEN.match(page, cut)
         if not m:  # a bare <
             if not depth[0]:
-                held.append(("<", depth[5] > 0))
+                held.append(("<", depth[4] > 0))
             at = cut + 1
             continue
         at = m.end()
@@ -158,7 +175,7 @@ def flat_blocks(page: str) -> list[Block]:
         if name in BLOCK_TAGS:
             flush()
         elif name == "br" and not depth[0]:
-            held.append((" ", depth[5] > 0))
+            held.append((" ", depth[4] > 0))
         if closing:
             pop_to(name)
         elif name not in VOID_TAGS and not attributes.endswith("/"):
@@ -175,40 +192,82 @@ def flat_blocks(page: str) -> list[Block]:
     return blocks
 
 
-FEATURE_NAMES = ("mark", "main", "header", "any_main", "link_density", "words", "links_before", "words_before", "links_after", "words_after")
+FEATURE_NAMES = ("mark", "main", "header", "any_main", "clean", "reach", "link_density", "words", "links_before", "words_before", "links_after", "words_after", "words_next")
+#: Of the block's neighbours.
+NEIGHBOURS = ("links_before", "words_before", "links_after", "words_after", "words_next")
 
 
-def feature_rows(words: np.ndarray, linked: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """The features of a page's blocks; marks has the columns mark, main and header."""
+def feature_rows(words: np.ndarray, linked: np.ndarray, marks: np.ndarray, holders: np.ndarray) -> np.ndarray:
+    """The features of a page's blocks; marks has the columns mark, main and header, holders tells marking tags apart."""
     density = linked / words
     before = lambda x: np.concatenate(([0.0], x[:-1]))
     after = lambda x: np.concatenate((x[1:], [0.0]))
     any_main = np.full(len(words), marks[:, 1].max(initial=0.0))
-    return np.column_stack([marks, any_main, density, words, before(density), before(words), after(density), after(words)])
+    # share of the page's words that nothing marks
+    clean = np.full(len(words), words[marks[:, 0] == 0].sum() / max(1.0, words.sum()))
+    # share of the page's words that the nearest marking tag holds itself: a form may hold the page, a sidebar does not
+    _, of = np.unique(holders, return_inverse=True)
+    reach = np.bincount(of, weights=words)[of] / max(1.0, words.sum())
+    return np.column_stack([marks, any_main, clean, reach, density, words, before(density), before(words), after(density), after(words), after(after(words))])
 
 
 def block_features(blocks: list[Block]) -> np.ndarray:
     words, linked = (np.array(x, dtype=np.float64) for x in ([b.words for b in blocks], [b.linked for b in blocks]))
-    return feature_rows(words, linked, np.array([(b.mark, b.main, b.header) for b in blocks], dtype=np.float64).reshape(-1, 3))
+    marks = np.array([(b.mark, b.main, b.header) for b in blocks], dtype=np.float64).reshape(-1, 3)
+    return feature_rows(words, linked, marks, np.array([b.holder for b in blocks], dtype=np.int64))
 
 
 # Pages labelled by hand, after common layouts. A block is words/linked words, then + if it is main text or - if not; before that
-# s where tags or names mark no main text, w where they hint at it, m inside the article, h inside a header.
+# n where a tag marks no main text, s where a name does, w where they hint at it, f and v the same of one tag that holds most of the page, m inside the
+# article, h inside a header.
 LABELLED_PAGES = (
     # an article, a menu of links before it, an unmarked and a marked advert, notices, a footer
-    "s1/1- s1/1- s2/2- s1/1- s8/0- 9/0- m11/0+ m74/0+ m120/2+ m3/0+ m5/0+ m48/0+ m96/9+ m2/0+ s12/3- s22/0- s9/9-",
-    "h2/2- hs1/1- hs1/1- hs2/2- mh12/0+ mh5/0+ m64/0+ m7/0+ m88/1+ m1/0+ ms14/0- ms40/0- m31/0+ ms6/6- s3/3- s2/2- s19/0-",
+    "n1/1- n1/1- n2/2- n1/1- s8/0- 9/0- m11/0+ m74/0+ m120/2+ m3/0+ m5/0+ m48/0+ m96/9+ m2/0+ s12/3- s22/0- n9/9-",
+    "h2/2- hs1/1- hs1/1- hs2/2- mh12/0+ mh5/0+ m64/0+ m7/0+ m88/1+ m1/0+ ms14/0- ms40/0- m31/0+ ms6/6- s3/3- s2/2- n19/0-",
     # lists of links and quotations that belong to the article
-    "s1/1- s2/2- m9/0+ m55/4+ m4/4+ m6/6+ m3/3+ m8/8+ m1/1+ m70/0+ m12/12+ m5/0+ m140/0+ s30/0- s1/1- 25/0- 60/0-",
+    "n1/1- n2/2- m9/0+ m55/4+ m4/4+ m6/6+ m3/3+ m8/8+ m1/1+ m70/0+ m12/12+ m5/0+ m140/0+ s30/0- s1/1- 25/0- 60/0-",
     # readers' comments and a form, below and inside the article
-    "s1/1- m8/0+ m210/6+ m45/0+ ms2/0- ms36/0- ms90/1- ms4/1- ms110/0- s2/0- s75/0- s4/0- s33/0- 3/0- s11/1-",
+    "n1/1- m8/0+ m210/6+ m45/0+ ms2/0- ms36/0- ms90/1- ms4/1- ms110/0- s2/0- s75/0- s4/0- s33/0- 3/0- n11/1-",
     # names that only hint: as links they are lists of tags and related pages, as running text they are article
-    "s2/2- m10/0+ m81/0+ mw24/0+ mw66/1+ mw5/0+ mw130/4+ mw9/0+ m40/0+ mw3/3- mw1/1- mw7/7- mw2/2- mw14/12- w8/8- w20/0- s5/2-",
-    "m7/0+ mw52/0+ m33/2+ mw18/1+ m90/0+ mw6/5- mw1/1- mw12/11- m61/0+ mw4/0+ mw2/0+ w6/0- w40/0- w2/2- s8/0-",
+    "n2/2- m10/0+ m81/0+ mw24/0+ mw66/1+ mw5/0+ mw130/4+ mw9/0+ m40/0+ mw3/3- mw1/1- mw7/7- mw2/2- mw14/12- w8/8- w20/0- n5/2-",
+    "m7/0+ mw52/0+ m33/2+ mw18/1+ m90/0+ mw6/5- mw1/1- mw12/11- m61/0+ mw4/0+ mw2/0+ w6/0- w40/0- w2/2- n8/0-",
     # plain text round a marked article: teasers, notices and imprints that bear no name
     "12/0- 64/0- 110/2- 9/0- m9/0+ m2/0+ m75/0+ m1/0+ m3/0+ m118/0+ m6/0+ 45/0- 120/0- 18/0- 70/5- 7/0- 33/0- 2/0-",
     "h14/0- 40/0- 4/0- m5/0+ m33/0+ m4/0+ m1/0+ m20/3+ m12/0+ m2/0+ m90/0+ m130/0+ m3/0+ 88/0- 3/0- 52/0- s9/0- w30/0-",
     "25/0- m3/0+ m66/0+ 16/0- 58/0- m40/0+ m2/0+ m2/0+ m80/1+ 95/0- 12/1- m14/0+ m7/0+ m55/0+ 5/0- 130/0- mh8/0+ m21/0+ w75/0- w12/0-",
+    # the whole page inside a form, or inside a part that is named for its sidebar or menu; the article is not tagged
+    "f1/1- f2/2- f1/1- f8/0+ f74/0+ f120/2+ f5/0+ f48/0+ f2/0+ f96/9+ f3/3- f9/9- f2/2- n11/0-",
+    "n2/2- n1/1- s9/0- f10/0+ f14/0+ f64/0+ f3/0+ f130/0+ f1/0+ f40/0+ f70/5+ s5/5- s7/7- n12/0-",
+    "n1/1- n1/1- s9/0- f6/0+ f13/0+ f68/0+ f92/0+ f26/0+ f8/0+ f11/0+ f49/0+ f1/0+ f3/0+ n9/0-",
+    "w1/1- w2/2- w1/1- v9/0+ v66/0+ v12/0+ v80/3+ v4/0+ v33/0+ v110/0+ w4/4- w7/7- w2/2- n10/0-",
+    "n2/2- n1/1- s8/0- v11/0+ v13/0+ v90/0+ v6/0+ v21/0+ v75/2+ v2/0+ v140/0+ s9/0- n3/3-",
+    "n1/1- n2/2- v7/0+ v55/0+ v2/0+ v88/1+ v16/0+ s14/0- s60/0- v3/3- v6/5- n8/0-",
+    "mf9/0+ mf70/0+ mf4/0+ mf110/3+ mf36/0+ mf5/0+ ms2/2- ms5/5-",
+    # the article tagged, inside a form or such a part; parts of names that hint inside it
+    "n1/1- s8/0- m9/0+ m11/0+ m74/0+ mw30/0+ m3/0+ mw12/0+ m120/2+ mw64/0+ m5/0+ s40/0- s12/0- n9/9-",
+    # nothing marks the article nor the advert before it
+    "n1/1- n1/1- 8/0- 9/0+ 11/0+ 74/0+ 3/0+ 120/2+ 1/0+ 48/0+ 5/0+ n9/0-",
+    "n2/2- n1/1- 11/0- 12/0+ 15/0+ 5/0+ 66/0+ 2/0+ 88/0+ 3/0+ 130/0+ n12/0-",
+    "1/1- 1/1- 9/0- 8/0+ 10/0+ 1/0+ 33/0+ 140/0+ 4/0+ 75/1+ 16/0+ n10/0-",
+    "n1/1- n2/2- 7/0- 10/0+ 12/0+ 160/0+ 2/0+ 44/0+ 1/0+ 1/0+ 90/0+ n8/0-",
+    "n1/1- n1/1- s8/0- 9/0+ 13/0+ 64/0+ 1/0+ 4/0+ 130/0+ 5/0+ n9/0-",
+    "n1/1- n1/1- s11/0- 10/0+ 14/0+ 3/0+ 99/0+ 2/0+ 30/0+ 3/0+ n12/0-",
+    "n1/1- n2/2- 9/0+ 21/0+ 70/0+ 2/0+ 88/0+ 1/0+ n9/0-",
+    "n1/1- n1/1- 8/0- 8/0+ 14/0+ 35/0+ 17/0+ 49/0+ 140/0+ n11/0-",
+    "n1/1- n1/1- 10/0- 11/0+ 41/0+ 17/0+ 18/0+ 70/0+ 83/0+ n14/0-",
+    "n1/1- n2/2- 12/0- 9/0+ 29/0+ 48/0+ 21/0+ 28/0+ 2/0+ n12/0-",
+    "1/1- s2/2- 9/0- 12/0+ 22/0+ 6/0+ 130/0+ 15/0+ 1/0+ n9/0-",
+    "n1/1- n1/1- 8/0+ 26/0+ 14/0+ 66/0+ 3/0+ n10/0-",
+    "n1/1- n1/1- 11/0+ 36/0+ 90/0+ 5/0+ n12/0-",
+    "n1/1- n1/1- n1/1- n1/1- n1/1- n1/1- s10/0- 7/0+ 10/0+ n14/0-",
+    "n1/1- n1/1- n1/1- n1/1- n1/1- n1/1- s8/0- f7/0+ f7/0+ n11/0-",
+    "n2/2- n1/1- n1/1- n1/1- n1/1- s9/0- v8/0+ v9/0+ n12/0-",
+    "n1/1- n1/1- n1/1- n1/1- n1/1- 8/0- 9/0+ 8/0+ n12/0-",
+    # menus, notes at the side and footers alone
+    "n1/0-",
+    "n30/0- n2/0-",
+    "n4/0- n160/2- n70/0-",
+    "n2/2- n1/1- 11/0+ 64/0+ 3/0+ 120/0+ 10/0+ n8/0-",
     # nothing marks the article: running text between menus and lists of links
     "2/2- 1/1- 1/1- 2/2- 8/0+ 90/0+ 75/0+ 110/2+ 6/0+ 64/0+ 120/0+ 5/5- 7/7- 6/6- 3/0- 1/1- 2/2-",
     "1/1- 2/2- 1/1- 11/0+ 18/0+ 70/0+ 24/0+ 45/2+ 36/0+ 60/0+ 95/19+ 41/0+ 3/3- 12/11- 10/8- 4/4- 2/0- 3/3-",
@@ -216,8 +275,8 @@ LABELLED_PAGES = (
     "5/5- 9/7- 16/11- 14/9- 12/12- 40/24- 30/24- 10/10- 3/0- 2/2- 64/7+ 130/0+ 5/0+ 77/3+ 2/2- 1/1- 4/0-",
     "30/0+",
     "12/0+ 16/0+ 14/1+ 9/0+ 21/0+",
-    "s1/1- s2/2- s30/0- 10/0+ 66/0+ w40/2+ w25/0+ w4/4- w6/5- w1/1- 58/0+ s44/0- s9/0- s3/3-",
-    "hw2/0- h35/0- s12/0- 4/0+ 75/0+ 140/9+ 38/0+ sh9/2- w1/1- w2/2- w3/3- s60/0- s7/1-",
+    "n1/1- n2/2- s30/0- 10/0+ 66/0+ w40/2+ w25/0+ w4/4- w6/5- w1/1- 58/0+ s44/0- s9/0- n3/3-",
+    "hw2/0- h35/0- s12/0- 4/0+ 75/0+ 140/9+ 38/0+ sh9/2- w1/1- w2/2- w3/3- s60/0- n7/1-",
 )
 
 
@@ -225,10 +284,14 @@ def labelled_blocks() -> np.ndarray:
     """The small labelled table: the features of FEATURE_NAMES, then the label."""
     rows = []
     for page in LABELLED_PAGES:
-        found = [re.fullmatch(r"([swmh]*)(\d+)/(\d+)([+-])", block).groups() for block in page.split()]
-        marks = np.array([(2 * ("s" in f) or "w" in f, "m" in f, "h" in f) for f, *_ in found], dtype=np.float64)
+        found = [re.fullmatch(r"([nswfvmh]*)(\d+)/(\d+)([+-])", block).groups() for block in page.split()]
+        flags = [f for f, *_ in found]
+        marks = np.array([(3 * ("n" in f) or 2 * ("s" in f or "f" in f) or "w" in f or "v" in f, "m" in f, "h" in f) for f in flags], dtype=np.float64)
+        # neighbours with the same flags stand in one marking tag; f and v are one tag throughout
+        run = np.cumsum([i > 0 and f != flags[i - 1] for i, f in enumerate(flags)]) + 3
+        holders = np.array([1 if "f" in f else 2 if "v" in f else r if set(f) & set("nsw") else 0 for f, r in zip(flags, run)])
         words, linked = (np.array([float(b[i]) for b in found]) for i in (1, 2))
-        rows.append(np.column_stack([feature_rows(words, linked, marks), [label == "+" for *_, label in found]]))
+        rows.append(np.column_stack([feature_rows(words, linked, marks, holders), [label == "+" for *_, label in found]]))
     return np.concatenate(rows)
 
 
