@@ -65,6 +65,62 @@ class _Adam:
             x[at] -= scale * m[at] / (np.sqrt(v[at]) + 1e-7)
 
 
+def gradients(net: ConvNet, sequences: list[np.ndarray], targets: list[np.ndarray], weights: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Gradients of the mean weighted cross entropy of a batch, in the order of parameters(); the first belongs to the embedding
+    rows that come second.
+
+    Only the place that wins the pooling gets a gradient, so a backward step touches as many embeddings
+    as there are filters."""
+    n_filters, n = net.filters[0].shape[2], len(sequences)
+    grads = [np.zeros_like(p) for p in net.parameters()[1:]]
+    grads.insert(0, None)
+    touched, parts = [], []
+    pooled = np.empty((n, len(net.bias)), net.bias.dtype)
+    wins = np.empty((n, len(net.bias)), np.int64)
+    embedded = []
+    most = max(net.widths)
+    for r, seq in enumerate(sequences):
+        e = np.zeros((max(len(seq), 1) + most - 1, net.embedding.shape[1]), net.embedding.dtype)
+        e[: len(seq)] = net.embedding[seq].sum(axis=1) if len(seq) else 0
+        embedded.append(e)
+        for k, kernel in enumerate(net.filters):
+            places = len(e) - most + 1
+            out = sum(e[j : j + places] @ kernel[j] for j in range(len(kernel)))
+            own = slice(k * n_filters, (k + 1) * n_filters)
+            wins[r, own] = out.argmax(axis=0)
+            pooled[r, own] = out.max(axis=0)
+    features = np.maximum(pooled + net.bias, 0)
+    back = np.zeros_like(features)
+    for h, (w, b) in enumerate(net.heads):
+        p = softmax(features @ w + b)
+        p[np.arange(n), targets[h]] -= 1
+        p *= (weights[h] / n)[:, None]
+        head = 2 + len(net.filters) + 2 * h
+        grads[head] += features.T @ p
+        grads[head + 1] += p.sum(axis=0)
+        back += p @ w.T
+    back *= features > 0
+    grads[1 + len(net.filters)] += back.sum(axis=0)
+    for r, seq in enumerate(sequences):
+        e = embedded[r]
+        for k, kernel in enumerate(net.filters):
+            own = slice(k * n_filters, (k + 1) * n_filters)
+            g, place = back[r, own], wins[r, own]
+            for j in range(len(kernel)):
+                grads[1 + k][j] += e[place + j].T * g
+                if len(seq):
+                    there = place + j < len(seq)
+                    ids = seq[place[there] + j]
+                    if ids.size:
+                        touched.append(ids.ravel())
+                        parts.append(np.repeat((kernel[j][:, there] * g[there]).T, ids.shape[1], axis=0))
+    ids, place = np.unique(np.concatenate(touched), return_inverse=True) if touched else (np.empty(0, np.int64), None)
+    grads[0] = np.zeros((len(ids), net.embedding.shape[1]), net.embedding.dtype)
+    if touched:
+        np.add.at(grads[0], place, np.concatenate(parts))
+    return grads, ids
+
+
 def train(
     net: ConvNet,
     sequences: list[np.ndarray],
@@ -75,66 +131,14 @@ def train(
     rate: float,
     seed: int,
 ) -> None:
-    """Fit net in place. sequences: (items, ids an item) arrays; targets and weights: one array for each head.
-
-    Only the place that wins the pooling gets a gradient, so a backward step touches as many embeddings
-    as there are filters."""
+    """Fit net in place. sequences: (items, ids an item) arrays; targets and weights: one array for each head."""
     rng = np.random.default_rng(seed)
     adam = _Adam(net.parameters(), rate)
-    n_filters = net.filters[0].shape[2]
     for _ in range(epochs):
         order = rng.permutation(len(sequences))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            grads = [np.zeros_like(p) for p in adam.values[1:]]
-            grads.insert(0, None)
-            touched, parts = [], []
-            pooled = np.empty((len(rows), len(net.bias)), np.float32)
-            wins = np.empty((len(rows), len(net.bias)), np.int64)
-            embedded = []
-            most = max(net.widths)
-            for r, i in enumerate(rows):
-                seq = sequences[i]
-                e = np.zeros((max(len(seq), 1) + most - 1, net.embedding.shape[1]), np.float32)
-                e[: len(seq)] = net.embedding[seq].sum(axis=1) if len(seq) else 0
-                embedded.append(e)
-                for k, kernel in enumerate(net.filters):
-                    w = len(kernel)
-                    places = len(e) - most + 1
-                    out = sum(e[j : j + places] @ kernel[j] for j in range(w))
-                    own = slice(k * n_filters, (k + 1) * n_filters)
-                    wins[r, own] = out.argmax(axis=0)
-                    pooled[r, own] = out.max(axis=0)
-            features = np.maximum(pooled + net.bias, 0)
-            back = np.zeros_like(features)
-            for h, (w, b) in enumerate(net.heads):
-                p = softmax(features @ w + b)
-                p[np.arange(len(rows)), targets[h][rows]] -= 1
-                p *= (weights[h][rows] / len(rows))[:, None]
-                head = 2 + len(net.filters) + 2 * h
-                grads[head] += features.T @ p
-                grads[head + 1] += p.sum(axis=0)
-                back += p @ w.T
-            back *= features > 0
-            grads[1 + len(net.filters)] += back.sum(axis=0)
-            for r, i in enumerate(rows):
-                seq, e = sequences[i], embedded[r]
-                for k, kernel in enumerate(net.filters):
-                    own = slice(k * n_filters, (k + 1) * n_filters)
-                    g, place = back[r, own], wins[r, own]
-                    for j in range(len(kernel)):
-                        grads[1 + k][j] += e[place + j].T * g
-                        if len(seq):
-                            there = place + j < len(seq)
-                            ids = seq[place[there] + j]
-                            if ids.size:
-                                touched.append(ids.ravel())
-                                parts.append(np.repeat((kernel[j][:, there] * g[there]).T, ids.shape[1], axis=0))
-            ids, place = np.unique(np.concatenate(touched), return_inverse=True) if touched else (np.empty(0, np.int64), None)
-            grads[0] = np.zeros((len(ids), net.embedding.shape[1]), np.float32)
-            if touched:
-                np.add.at(grads[0], place, np.concatenate(parts))
-            adam.step(grads, ids)
+            adam.step(*gradients(net, [sequences[i] for i in rows], [t[rows] for t in targets], [w[rows] for w in weights]))
             net.embedding[net.pad] = 0
 
 

@@ -35,6 +35,52 @@ def test_training_lowers_the_loss_that_applying_sees():
     assert loss(net) < 0.5 * before  # the pooled path and the training path are the same function
 
 
+def test_gradients_are_those_of_finite_differences():
+    """Both heads, weights, an empty sequence, items of two ids; in double, at points where no maximum ties."""
+    rng = np.random.default_rng(3)
+    seqs = [rng.integers(0, 11, (n, 2)) for n in (4, 7, 1, 0, 12)]
+    targets = [np.array([0, 1, 1, 0, 1]), np.array([2, 0, 1, 1, 2])]
+    weights = [rng.random(5), rng.random(5)]
+    net = convnet.ConvNet.fresh(12, 4, (1, 2, 3), 3, [2, 3], 11, 1)
+    net.embedding, net.filters, net.bias = rng.normal(0, 0.7, (12, 4)), [rng.normal(0, 0.7, k.shape) for k in net.filters], rng.normal(0, 0.3, len(net.bias))
+    net.heads = [(rng.normal(0, 0.7, w.shape), rng.normal(0, 0.3, b.shape)) for w, b in net.heads]
+    net.embedding[11] = 0
+
+    def loss() -> float:
+        tables = np.concatenate([t for parts in net.tables() for t in parts], axis=1)
+        flat = np.concatenate([np.concatenate([s if len(s) else np.full((1, 2), 11), np.full((2, 2), 11)]) for s in seqs])
+        starts = np.cumsum([0, *[max(1, len(s)) + 2 for s in seqs[:-1]]])
+        pooled = []
+        for i, s in enumerate(seqs):  # a place that is all pad still counts where a text has nothing else
+            rows = tables[flat[starts[i] : starts[i] + max(1, len(s)) + 2]].sum(axis=1)
+            at, own = 0, []
+            for k, kernel in enumerate(net.filters):
+                places = [sum(rows[p + j, at + 3 * j : at + 3 * j + 3] for j in range(len(kernel))) for p in range(max(1, len(s)))]
+                own.append(np.max(places, axis=0))
+                at += 3 * len(kernel)
+            pooled.append(np.concatenate(own))
+        f = np.maximum(np.array(pooled) + net.bias, 0)
+        out = 0.0
+        for (w, b), y, v in zip(net.heads, targets, weights):
+            out += (-np.log(convnet.softmax(f @ w + b)[np.arange(5), y]) * v).mean()
+        return out
+
+    grads, ids = convnet.gradients(net, seqs, targets, weights)
+    full = np.zeros_like(net.embedding)
+    full[ids] = grads[0]
+    for value, grad in zip(net.parameters(), [full, *grads[1:]]):
+        for at in np.ndindex(*value.shape):
+            if value is net.embedding and at[0] == 11:
+                continue
+            kept, step = value[at], 1e-6
+            value[at] = kept + step
+            up = loss()
+            value[at] = kept - step
+            down = loss()
+            value[at] = kept
+            assert grad[at] == pytest.approx((up - down) / (2 * step), abs=1e-6)
+
+
 def test_language_held_out(spark, sf_dir):
     rows = queries.op4_language(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
