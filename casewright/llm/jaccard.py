@@ -6,11 +6,12 @@ each set enters one tile for each shingle of its prefix. In the order used, shin
 share come last; Misra-Gries counts over all texts find them, and sets are then seldom in a tile for a common passage.
 
 In a tile of a few sets all pairs that sizes and places allow are candidates. Larger tiles first propose a few pairs for each set; what is
-similar joins classes into groups. Only tiles where several groups are left are compared in full: cut into bands of
-size, so that a set meets its own band and the next, and into chunks where a band is crowded. There a set is a bitmap of hashed shingles, about a bit each;
-a bit that only one of two sets has stands for a shingle that the other lacks, so counts of bits bound the overlap from above. Pairs
-inside a group need no look. Candidates are settled by intersecting the sorted arrays. So copies never expand into all pairs,
-and the groups are those of all pairs.
+similar joins classes into groups. Only tiles where several groups are left are looked at further: cut into bands of
+size, so that a set meets its own band and the next, and into chunks where a band is crowded. There a set is a bitmap of hashed shingles, some four bits each;
+a bit that only one of two sets has stands for a shingle that the other lacks, so counts of bits bound the overlap from above. Sets name the
+sets of other groups that the bound leaves possible; where they are many, each names the most alike first, in rounds, and all when that
+joins no more groups. Pairs inside a group need no look. Candidates are settled by intersecting the sorted
+arrays. So copies never expand into all pairs, and the groups are those of all pairs.
 
 Nulls: a null or wordless text has an empty set, and its component is its own id. A null doc_id takes part; component_id is
 the smallest non-null doc_id (null if there is none). Fewer words than a shingle has make one shingle. Texts of any length are read whole. Repeated
@@ -25,12 +26,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
-from casewright.llm.simhash import joined_words, meeting_chunks, shingle_hashes, star_components, whole_cells
+from casewright.llm.simhash import meeting_chunks, star_components, whole_cells
 from casewright.llm.tables import materialise
 
 SHINGLE_WORDS = 5
@@ -48,15 +50,50 @@ SMALL_TILE = 12
 CHUNK_ROWS = 4096
 #: Ratio of a band's ends, above OF / LEAST: similar sets are in one band or in neighbours.
 BAND_RATIO = 1.26
-BITS = (128, 1 << 15)
+BITS = (256, 1 << 16)
+#: Sets of other groups that a set names at first, and the rounds in which it names the most alike only.
+NAMED, ROUNDS = 4, 2
+#: Words of 64 bits of the table that tells unwanted texts.
+FILTER_WORDS = 1 << 17
 #: Shingles gathered before they are counted.
 GATHERED = 1 << 20
 
 
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+class WordHashes(dict):
+    """Hashes of words met before; no more than MOST are kept."""
+
+    MOST = 1 << 18
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, SHINGLE_WORDS)
+        return found
+
+
+_HASHES = WordHashes()
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text."""
-    joined = joined_words(text)
-    return np.unique(shingle_hashes(joined, SHINGLE_WORDS)) if joined else np.zeros(0, np.uint64)
+    """Sorted hashes of the distinct shingles of a text: its words in lower case (A-Z), hashed, then mixed in order."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    k = min(SHINGLE_WORDS, len(words))
+    out = np.full(len(words) - k + 1, k, np.uint64)
+    for i in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - k + 1 + i]
+    return np.unique(mixed(out))
 
 
 def overlap_needed(a, b):
@@ -123,11 +160,12 @@ def common_shingles(docs: DataFrame, text_col: str) -> Common:
 
 
 def mark_sets(common: Common) -> Callable:
-    """Rows (doc_id, text, ..) to (doc_id, .., n, hi, lo, prefix, rare)."""
+    """Rows (doc_id, text, ..) to (doc_id, .., n, hi, lo, prefix, rare, bits): the set's name, its first shingles and its bitmap, one
+    for the band above its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names, prefixes, rare = [], [], [], []
+            sizes, names, prefixes, rare, maps = [], [], [], [], []
             for text in batch.column(1):
                 found = shingle_set(text.as_py())
                 first, n_rare = common.prefix(found) if len(found) else (found, 0)
@@ -135,12 +173,13 @@ def mark_sets(common: Common) -> Callable:
                 names.append(np.frombuffer(hashlib.md5(found.tobytes()).digest(), "<i8"))
                 prefixes.append(first.view(np.int64))
                 rare.append(n_rare)
+                maps.append(bitmap(found, band_bits(band_of(len(found)) + 1)).tobytes())
             hi, lo = (np.array([x[i] for x in names], np.int64) for i in (0, 1))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(hi), pa.array(lo), lists, pa.array(rare, pa.int32())],
-                names=["doc_id", "text_hash", "n", "hi", "lo", "prefix", "rare"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(hi), pa.array(lo), lists, pa.array(rare, pa.int32()), pa.array(maps, pa.binary())],
+                names=["doc_id", "text_hash", "n", "hi", "lo", "prefix", "rare", "bits"],
             )
 
     return run
@@ -152,7 +191,8 @@ def _possible(n_a, at_a, n_b, at_b):
 
 
 def tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, uid, n, at, common) sorted by token: the pairs (uid, other) of small tiles, and the rows of large tiles as they are.
+    """Rows (token, n, uid, at) sorted by token, at odd for common shingles and twice the place: the pairs (uid, other) of small tiles,
+    and the rows of large tiles.
 
     Sets alone in a tile are left out. No more than SMALL_TILE rows of a tile are held back."""
     names = ["token", "uid", "n", "at", "other"]
@@ -190,19 +230,24 @@ def tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         if batch.num_rows:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            token, n, uid, at = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            cols = [token, uid, n, at >> 1, at & 1 == 1]
             yield from split(cols if held is None else [np.concatenate(p) for p in zip(held, cols)], False)
     if held is not None:
         yield from split(held, True)
 
 
+def band_of(n: int) -> int:
+    return int(np.floor(np.log(max(1, n)) / np.log(BAND_RATIO)))
+
+
 def band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(BAND_RATIO)))).cast("int")
 
 
 def band_bits(band: int) -> int:
-    """Bits of the bitmaps of a band: about as many as its largest sets have shingles."""
-    wide = 1 << int(np.ceil((band + 1) * np.log2(BAND_RATIO)))
+    """Bits of the bitmaps of a band: two to four for each shingle of its largest sets."""
+    wide = 2 << int(np.ceil((band + 1) * np.log2(BAND_RATIO)))
     return min(max(wide, BITS[0]), BITS[1])
 
 
@@ -221,25 +266,25 @@ def folded(maps: np.ndarray, bits: int) -> np.ndarray:
 
 
 def sorted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (uid, text) to (uid, n, bits, members): the bitmap of the next band, and the sorted hashes."""
+    """Rows (uid, text) to (uid, members), the sorted hashes."""
     for batch in batches:
-        sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-        bands = [int(np.floor(np.log(max(1, len(s))) / np.log(BAND_RATIO))) for s in sets]
-        maps = [bitmap(s, band_bits(b + 1)).tobytes() for s, b in zip(sets, bands)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-            names=["uid", "n", "bits", "members"],
-        )
+        sets = [shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["uid", "members"])
 
 
-@pandas_udf(BooleanType())
-def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Whether two sorted arrays have the overlap needed."""
-    out = []
-    for a, b in zip(left, right):
-        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        out.append(len(np.intersect1d(a, b, assume_unique=True)) >= overlap_needed(len(a), len(b)))
-    return pd.Series(out, dtype=bool)
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The hashes in each value of a binary column, where they lie."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = column.buffers()[2]
+    return [np.frombuffer(data, np.uint64, (b - a) // 8, a) if b > a else np.zeros(0, np.uint64) for a, b in zip(offsets, offsets[1:])]
+
+
+def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, left, right) to those (a, b) whose sorted arrays have the overlap needed."""
+    for batch in batches:
+        both = zip(_arrays(batch.column(2)), _arrays(batch.column(3)))
+        hit = [len(np.intersect1d(x, y, assume_unique=True)) >= overlap_needed(len(x), len(y)) for x, y in both]
+        yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
 
 
 @pandas_udf(BooleanType())
@@ -255,15 +300,55 @@ def may_be_similar(n_a: pd.Series, left: pd.Series, n_b: pd.Series, right: pd.Se
     return pd.Series(out, dtype=bool)
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+class Sets:
+    """Sorted sets of classes, read from their first rows' texts when they are first needed.
+
+    light: uid, n, bits of all classes; places: uid, doc_id, text_hash of all rows; texts: doc_id, text."""
+
+    def __init__(self, light: DataFrame, places: DataFrame, texts: DataFrame) -> None:
+        self.light, self.places, self.texts = light, places, texts
+        self.repeated = not places.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
+        self.known: DataFrame | None = None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """Sets of all that stand in pairs, which should be stored, and of more."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+        if self.known is not None:
+            wanted = wanted.join(self.known.select("uid"), "uid", "left_anti")
+        wanted = materialise(self.places.join(wanted, "uid").select("uid", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "jaccard-wanted")
+        if self.known is None or not wanted.isEmpty():
+            found = materialise(self._read(wanted), "jaccard-sets")
+            self.known = found if self.known is None else self.known.unionByName(found)
+        return self.known
+
+    def _read(self, wanted: DataFrame) -> DataFrame:
+        """A table of bits, of fixed size, tells most texts that nobody wants before any is moved; the join decides."""
+        word, bit = F.pmod(F.shiftright("_hash", 6), F.lit(FILTER_WORDS)), F.pmod(F.col("_hash"), F.lit(64))
+        words = np.zeros(FILTER_WORDS, np.uint64)
+        for w, b in wanted.groupBy(word.cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("b")).collect():
+            words[w] = np.int64(b).view(np.uint64)
+
+        @pandas_udf(BooleanType())
+        def asked(hashes: pd.Series) -> pd.Series:
+            h = hashes.to_numpy()
+            return pd.Series((words[(h >> 6) % FILTER_WORDS] >> (h % 64).astype(np.uint64)) & np.uint64(1) == 1)
+
+        source = self.texts.where(F.col("text").isNotNull()).withColumn("text_hash", F.xxhash64("text")).where(asked("text_hash"))
+        read = source.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("uid", "text")
+        if self.repeated:
+            read = read.dropDuplicates(["uid"])  # rows alike in id and text
+        return read.mapInArrow(sorted_sets, "uid long, members binary")
+
+
+def similar_pairs(pairs: DataFrame, sets: Sets) -> DataFrame:
     """Those of pairs (a, b) that are similar: by bit counts, then exactly."""
-    light = sets.select("uid", "n", "bits")
-    left, right = (light.select(*[F.col(c).alias(f"{c}_{side}") for c in light.columns]) for side in "ab")
+    left, right = (sets.light.select(*[F.col(c).alias(f"{c}_{side}") for c in ("uid", "n", "bits")]) for side in "ab")
     near = pairs.join(left, F.col("a") == F.col("uid_a")).join(right, F.col("b") == F.col("uid_b"))
-    near = near.where(may_be_similar("n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
-    both = near.join(sets.select(F.col("uid").alias("a"), F.col("members").alias("left")), "a")
-    both = both.join(sets.select(F.col("uid").alias("b"), F.col("members").alias("right")), "b")
-    return both.where(similar("left", "right")).select("a", "b")
+    near = materialise(near.where(may_be_similar("n_a", "bits_a", "n_b", "bits_b")).select("a", "b"), "jaccard-near")
+    members = sets.of(near)
+    both = near.join(members.select(F.col("uid").alias("a"), F.col("members").alias("left")), "a")
+    both = both.join(members.select(F.col("uid").alias("b"), F.col("members").alias("right")), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(similar, "a long, b long")
 
 
 def best_pairs(pairs: DataFrame) -> DataFrame:
@@ -291,32 +376,46 @@ def proposals(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
-def banded_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (token, band, u, v, guest, uid, n, at, comp, bits), sorted by tile: pairs of different groups that bit counts leave possible.
+def banded_pairs(every: bool) -> Callable:
+    """Rows (token, band, u, v, guest, uid, n, at, comp, bits), sorted by tile: pairs (a, b, met, more) of different groups that bit counts
+    leave possible, or of these the NAMED best for each set, with more where it has others; met is the share in common, at best, in
+    parts of a million.
 
     A guest is of the band below; guests do not meet each other here."""
-    for rows, starts, lengths in whole_cells(parts, ["token", "band", "u", "v"]):
-        for s, k in zip(starts.tolist(), lengths.tolist()):
-            cell = rows.iloc[s : s + k]
-            guest, uid, n, at, comp = (cell[c].to_numpy() for c in ("guest", "uid", "n", "at", "comp"))
-            if k < 2 or guest.all() or (comp == comp[0]).all():
-                continue
-            bits = band_bits(int(cell["band"].iloc[0]))
-            maps = np.stack([folded(np.frombuffer(b, np.uint64)[None], bits)[0] for b in cell["bits"]])
-            pop = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-            own = np.flatnonzero(~guest)
-            step = max(1, (1 << 20) // (k * maps.shape[1]))
-            for x in range(0, len(own), step):
-                i = own[x : x + step]
-                common = np.bitwise_count(maps[i, None] & maps[None]).sum(axis=2, dtype=np.int64)
-                most = np.minimum((n - pop)[i, None], (n - pop)[None]) + common
-                need = overlap_needed(n[i, None], n[None])
-                hit = (most >= need) & (comp[i, None] != comp[None]) & _possible(n[i, None], at[i, None], n[None], at[None])
-                hit &= guest[None] | (uid[None] > uid[i, None])
-                p, q = np.nonzero(hit)
-                if len(p):
-                    a, b = uid[i[p]], uid[q]
-                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, lengths in whole_cells(parts, ["token", "band", "u", "v"]):
+            for s, k in zip(starts.tolist(), lengths.tolist()):
+                cell = rows.iloc[s : s + k]
+                guest, uid, n, at, comp = (cell[c].to_numpy() for c in ("guest", "uid", "n", "at", "comp"))
+                if k < 2 or guest.all() or (comp == comp[0]).all():
+                    continue
+                bits = band_bits(int(cell["band"].iloc[0]))
+                maps = np.stack([folded(np.frombuffer(b, np.uint64)[None], bits)[0] for b in cell["bits"]])
+                pop = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+                own = np.flatnonzero(~guest)
+                step = max(1, (1 << 20) // (k * maps.shape[1]))
+                for x in range(0, len(own), step):
+                    i = own[x : x + step]
+                    common = np.bitwise_count(maps[i, None] & maps[None]).sum(axis=2, dtype=np.int64)
+                    most = np.minimum((n - pop)[i, None], (n - pop)[None]) + common
+                    need = overlap_needed(n[i, None], n[None])
+                    hit = (most >= need) & (comp[i, None] != comp[None]) & _possible(n[i, None], at[i, None], n[None], at[None])
+                    share = 1_000_000 * most // np.maximum(1, n[i, None] + n[None] - most)
+                    more = np.zeros(len(i), bool)
+                    if every:
+                        hit &= guest[None] | (uid[None] > uid[i, None])
+                    else:
+                        more = hit.sum(axis=1) > NAMED
+                        for r in np.flatnonzero(more):
+                            named = np.flatnonzero(hit[r])
+                            hit[r, np.delete(named, np.argpartition(-share[r, named], NAMED)[:NAMED])] = False
+                    p, q = np.nonzero(hit)
+                    if len(p):
+                        a, b = uid[i[p]], uid[q]
+                        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "met": share[p, q], "more": more[p].astype(np.int64)})
+
+    return run
 
 
 class Groups:
@@ -326,11 +425,14 @@ class Groups:
         self.links: DataFrame | None = None
         self.roots = nodes.sparkSession.createDataFrame([], "node long, root long")
 
-    def add(self, links: DataFrame) -> None:
+    def add(self, links: DataFrame) -> bool:
+        """Whether there were any."""
         links = materialise(links, "jaccard-links")
-        if not links.isEmpty():
-            self.links = links if self.links is None else self.links.unionByName(links)
-            self.roots = materialise(star_components(self.links), "jaccard-roots")
+        if links.isEmpty():
+            return False
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.roots = materialise(star_components(self.links), "jaccard-roots")
+        return True
 
     def of(self, rows: DataFrame, node: str, name: str) -> DataFrame:
         """rows with the group of a column of sets."""
@@ -358,13 +460,13 @@ def _several(tiles: DataFrame) -> DataFrame:
     return tiles.join(mixed, "token")
 
 
-def _banded(tiles: DataFrame, sets: DataFrame) -> DataFrame:
+def _banded(tiles: DataFrame, light: DataFrame, every: bool) -> DataFrame:
     own = band(F.col("n"))
     entries = F.array(F.struct(own.alias("band"), F.lit(False).alias("guest")), F.struct((own + 1).alias("band"), F.lit(True).alias("guest")))
-    rows = tiles.join(sets.select("uid", "bits"), "uid").select("token", "uid", "n", "at", "comp", "bits", F.inline(entries))
+    rows = tiles.join(light.select("uid", "bits"), "uid").select("token", "uid", "n", "at", "comp", "bits", F.inline(entries))
     keys = ["token", "band", "u", "v"]
     met = meeting_chunks(rows, ["token", "band"], ["uid"], CHUNK_ROWS)
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(banded_pairs, "a long, b long").distinct()
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(banded_pairs(every), "a long, b long, met long, more long").groupBy("a", "b").agg(F.max("met").alias("met"), F.max("more").alias("more"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,41 +474,38 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     common = common_shingles(texts, "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    marks = texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(mark_sets(common), f"doc_id {kind}, text_hash long, n long, hi long, lo long, prefix array<long>, rare int")
+    marks = texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(mark_sets(common), f"doc_id {kind}, text_hash long, n long, hi long, lo long, prefix array<long>, rare int, bits binary")
     marks = materialise(marks.withColumn("uid", F.monotonically_increasing_id()), "jaccard-marks")
     full = marks.where("n > 0")
     classes = materialise(full.groupBy("hi", "lo").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first")), "jaccard-classes")
     rows = full.join(classes.select("uid"), "uid").select("uid", "n", "rare", F.posexplode("prefix").alias("at", "token"))
-    rows = rows.select("token", "uid", "n", F.col("at").cast("long").alias("at"), (F.col("at") >= F.col("rare")).alias("common"))
-    part = F.when(F.col("common"), F.pmod(F.xxhash64("uid"), F.lit(COMMON_PARTS))).otherwise(F.lit(0))
+    rows = rows.select("token", F.col("n").cast("int").alias("n"), "uid", (2 * F.col("at") + (F.col("at") >= F.col("rare")).cast("int")).alias("at"))
+    part = F.when(F.col("at") % 2 == 1, F.pmod(F.xxhash64("uid"), F.lit(COMMON_PARTS))).otherwise(F.lit(0))
     sorted_rows = rows.repartition(F.col("token"), part).sortWithinPartitions("token", "n", "uid")
     found = materialise(sorted_rows.mapInArrow(tile_rows, "token long, uid long, n long, at long, other long"), "jaccard-tiles")
     pairs = found.where("other IS NOT NULL").groupBy(F.col("uid").alias("a"), F.col("other").alias("b")).agg(F.count("*").alias("met"))
     pairs = materialise(pairs, "jaccard-pairs")
     tiles = found.where("other IS NULL").drop("other")
-    sets = _sets_of(pairs, tiles, marks, texts)
+    sets = Sets(full.select("uid", "n", "bits"), full.select("uid", "doc_id", "text_hash"), texts)
     groups = Groups(marks)
     proposed = _proposed(tiles.withColumn("comp", F.col("uid")))
     groups.add(similar_pairs(best_pairs(pairs.unionByName(proposed)), sets))
-    groups.add(similar_pairs(groups.apart(pairs.select("a", "b")), sets))
-    for full_look in (False, True):
+    rest = materialise(groups.apart(pairs.select("a", "b")), "jaccard-rest")
+    for turn in range(ROUNDS + 1):
         mixed = materialise(_several(groups.of(tiles, "uid", "comp")), "jaccard-mixed")
-        if mixed.isEmpty():
+        named = materialise(_banded(mixed, sets.light, turn == ROUNDS), "jaccard-named")
+        whole = named.where("more = 1").isEmpty()  # these are all pairs
+        chosen = named.select("a", "b") if whole else best_pairs(named)
+        if not turn:  # with what small tiles have left
+            chosen = chosen.unionByName(rest).distinct()
+        joined = groups.add(similar_pairs(chosen, sets))
+        if not whole and not joined:
+            groups.add(similar_pairs(_banded(mixed, sets.light, True).select("a", "b"), sets))
+        if whole or not joined:
             break
-        groups.add(similar_pairs(_banded(mixed, sets) if full_look else best_pairs(_proposed(mixed)), sets))
     rooted = groups.of(classes, "uid", "root")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = materialise(rooted.join(least, "root").select("hi", "lo", "component_id"), "jaccard-labels")
     named = full.join(labels, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return named.unionByName(marks.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
-
-def _sets_of(pairs: DataFrame, tiles: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
-    """Bitmap and sorted set of every class that is in a pair or a large tile, read from its first row's text."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).unionByName(tiles.select("uid")).distinct()
-    rows = marks.select("uid", "doc_id", "text_hash").join(wanted, "uid").select("uid", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    source = texts.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    read = source.join(rows, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("uid", "text")
-    if not marks.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        read = read.dropDuplicates(["uid"])  # rows alike in id and text
-    return materialise(read.mapInArrow(sorted_sets, "uid long, n long, bits binary, members binary"), "jaccard-sets")

@@ -7,6 +7,7 @@ import pytest
 
 from casewright.llm import jaccard as J
 from casewright.llm import queries
+from casewright.llm.simhash import joined_words
 from tests.compare import spark_rows, sql_rows
 from tests.llm.edge import edge, nothing
 
@@ -15,7 +16,7 @@ def brute(rows) -> list[tuple]:
     """(doc_id, n_shingles, component_id) by all pairs of sets of shingles."""
     sets = []
     for _, text in rows:
-        words = J.joined_words(text).split()
+        words = joined_words(text).split()
         sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
     root = list(range(len(rows)))
 
@@ -68,10 +69,12 @@ def test_components_are_those_of_all_pairs(spark, seed, families):
 
 def test_large_tiles_bands_and_common_shingles(spark, monkeypatch):
     rows = varied(3, 300, 12, passage=60)
-    for name, value in (("SMALL_TILE", 3), ("CHUNK_ROWS", 8), ("COMMON_FROM", 10), ("COMMON_KEPT", 50), ("GATHERED", 500)):
+    for name, value in (("SMALL_TILE", 3), ("CHUNK_ROWS", 8), ("COMMON_FROM", 10), ("COMMON_KEPT", 50), ("GATHERED", 500), ("FILTER_WORDS", 4)):
         monkeypatch.setattr(J, name, value)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert len(J.common_shingles(df, "text").shingles) == 50
+    monkeypatch.setattr(J, "NAMED", 1)
+    assert got(J.jaccard_components(df)) == brute(rows)
     # proposals find nothing, so that everything rests on the bands
     monkeypatch.setattr(J, "best_pairs", lambda pairs: pairs.select("a", "b").where("false"))
     assert got(J.jaccard_components(df)) == brute(rows)
