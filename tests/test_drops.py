@@ -28,8 +28,8 @@ def write(folder, name: str, reports: list[str], deleted: str | None = None):
 
 def test_quarter_is_that_of_the_folder_below_the_root(spark, tmp_path):
     root = tmp_path / "2024q1_archive" / "data"
-    write(root / "faers_xml_2025Q2", "2019q3.xml", [report("1"), report("2")], "2\n")
-    write(root / "faers_xml_2025q4" / "2023q1", "inner.xml", [report("9")])
+    write(root / "reports_xml_2025Q2", "2019q3.xml", [report("1"), report("2")], "2\n")
+    write(root / "reports_xml_2025q4" / "2023q1", "inner.xml", [report("9")])
     write(root / "notes", "a.xml", [report("3")], "3\n")
     (root / "empty_2025q3").mkdir()
     (root / "2025q1.txt").write_text("no folder")
