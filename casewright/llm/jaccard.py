@@ -55,26 +55,17 @@ BITS = (256, 1 << 16)
 NAMED, ROUNDS = 4, 2
 #: Words of 64 bits of the table that tells unwanted texts.
 FILTER_WORDS = 1 << 17
+#: Bytes from which a word is hashed on its own.
+LONG_WORD = 64
 #: Shingles gathered before they are counted.
 GATHERED = 1 << 20
 
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-
-
-class WordHashes(dict):
-    """Hashes of words met before; no more than MOST are kept."""
-
-    MOST = 1 << 18
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word, SHINGLE_WORDS)
-        return found
-
-
-_HASHES = WordHashes()
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Masks that keep the first 0 to 8 bytes of eight.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -83,17 +74,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of a text's words, A-Z as a-z: all words at once, eight bytes further at each step; long words on their own."""
+    padded = b" " + text.translate(_LOWER) + b" " * 8
+    gap = _IS_SPACE[np.frombuffer(padded, np.uint8)]
+    edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(padded) - 7, "<u8", padded, 0, 1)
+    out = mixed(lengths.astype(np.uint64) * _SPREAD + (eights[starts] & _FIRST_BYTES[np.minimum(lengths, 8)]))
+    at = np.flatnonzero(lengths > 8)
+    for step in range(8, LONG_WORD, 8):
+        at = at[lengths[at] > step]
+        if not len(at):
+            break
+        out[at] = mixed(out[at] * _SPREAD + (eights[starts[at] + step] & _FIRST_BYTES[np.minimum(lengths[at] - step, 8)]))
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(padded[starts[i] : starts[i] + lengths[i]], SHINGLE_WORDS)
+    return out
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted hashes of the distinct shingles of a text: its words in lower case (A-Z), hashed, then mixed in order."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    k = min(SHINGLE_WORDS, len(words))
-    out = np.full(len(words) - k + 1, k, np.uint64)
+    hashes = word_hashes((text or "").encode("utf-8", "surrogatepass"))
+    if not len(hashes):
+        return hashes
+    k = min(SHINGLE_WORDS, len(hashes))
+    out = np.full(len(hashes) - k + 1, k, np.uint64)
     for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - k + 1 + i]
-    return np.unique(mixed(out))
+        out = out * _SPREAD + hashes[i : len(hashes) - k + 1 + i]
+    out = np.sort(mixed(out))
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def overlap_needed(a, b):
@@ -107,11 +117,20 @@ def prefix_length(n: int) -> int:
 
 def _fold(values: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Misra-Gries step: counts of at most COMMON_KEPT values, each too low by what was taken off all."""
-    seen, at = np.unique(np.concatenate([values, *more]), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([counts, np.ones(len(at) - len(counts))])).astype(np.int64)
+    new = np.sort(np.concatenate([values[:0], *more]))
+    if not len(new):
+        return values, counts
+    first = np.flatnonzero(np.append(True, new[1:] != new[:-1]))
+    seen, total = new[first], np.diff(np.append(first, len(new)))
+    at = np.minimum(np.searchsorted(seen, values), len(seen) - 1)
+    known = seen[at] == values
+    total[at[known]] += counts[known]
+    seen, total = np.concatenate([seen, values[~known]]), np.concatenate([total, counts[~known]])
     if len(seen) > COMMON_KEPT:
         total -= np.partition(total, -COMMON_KEPT - 1)[-COMMON_KEPT - 1]
-    return seen[total > 0], total[total > 0]
+    kept = np.flatnonzero(total > 0)
+    kept = kept[np.argsort(seen[kept])]
+    return seen[kept], total[kept]
 
 
 def count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

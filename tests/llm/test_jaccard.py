@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -37,6 +38,18 @@ def brute(rows) -> list[tuple]:
     return sorted(((doc, len(s), least.get(find(i)) if s else doc) for i, ((doc, _), s) in enumerate(zip(rows, sets))), key=str)
 
 
+def test_words_hash_as_a_pattern_cuts_them():
+    """Words of all lengths, by steps of eight bytes, against words cut by the contract's pattern."""
+    rng, seen = random.Random(3), {}
+    for _ in range(1000):
+        text = "".join(rng.choice("aAbBzZé\x0b\x0c\x1c\x85  \t\n\rx") * rng.choice([1, 1, 1, 9, 70]) for _ in range(rng.randrange(60)))
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        hashes = J.word_hashes(text.encode()).tolist()
+        assert len(words) == len(hashes)
+        assert all(seen.setdefault(w, h) == h for w, h in zip(words, hashes))
+    assert len(set(seen.values())) == len(seen) and max(map(len, seen)) > J.LONG_WORD
+
+
 def got(df) -> list[tuple]:
     return sorted((tuple(r) for r in df.select("doc_id", "n_shingles", "component_id").collect()), key=str)
 
