@@ -396,9 +396,9 @@ def proposals(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def banded_pairs(every: bool) -> Callable:
-    """Rows (token, band, u, v, guest, uid, n, at, comp, bits), sorted by tile: pairs (a, b, met, more) of different groups that bit counts
-    leave possible, or of these the NAMED best for each set, with more where it has others; met is the share in common, at best, in
-    parts of a million.
+    """Rows (token, band, u, v, guest, uid, n, at, comp, bits), sorted by tile: pairs (a, b, met, by) of different groups that bit counts
+    leave possible, or of these the NAMED best for each set, with the set that named them as by where it has others; met is the share in
+    common, at best, in parts of a million.
 
     A guest is of the band below; guests do not meet each other here."""
 
@@ -432,7 +432,7 @@ def banded_pairs(every: bool) -> Callable:
                     p, q = np.nonzero(hit)
                     if len(p):
                         a, b = uid[i[p]], uid[q]
-                        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "met": share[p, q], "more": more[p].astype(np.int64)})
+                        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "met": share[p, q], "by": pd.Series(a, dtype="Int64").where(more[p])})
 
     return run
 
@@ -479,13 +479,23 @@ def _several(tiles: DataFrame) -> DataFrame:
     return tiles.join(mixed, "token")
 
 
-def _banded(tiles: DataFrame, light: DataFrame, every: bool) -> DataFrame:
+def _banded(tiles: DataFrame, light: DataFrame, every: bool, open_: DataFrame | None) -> DataFrame:
+    """(a, b, met, first, last, whole): pairs of mixed tiles, the sets that named them and have others, and whether one named them that has not.
+
+    open_: the sets (uid) that have pairs not yet named; only they, and the band below where they are, meet again."""
     own = band(F.col("n"))
-    entries = F.array(F.struct(own.alias("band"), F.lit(False).alias("guest")), F.struct((own + 1).alias("band"), F.lit(True).alias("guest")))
-    rows = tiles.join(light.select("uid", "bits"), "uid").select("token", "uid", "n", "at", "comp", "bits", F.inline(entries))
+    if open_ is None:
+        hosts, guests = tiles.withColumn("band", own), tiles.withColumn("band", own + 1)
+    else:
+        hosts = tiles.join(open_, "uid", "left_semi").withColumn("band", own)
+        guests = tiles.withColumn("band", own + 1).join(hosts.select("token", "band").distinct(), ["token", "band"], "left_semi")
+    named = ["token", "uid", "n", "at", "comp", "band"]
+    rows = hosts.select(*named, F.lit(False).alias("guest")).unionAll(guests.select(*named, F.lit(True).alias("guest")))
+    rows = rows.join(light.select("uid", "bits"), "uid")
     keys = ["token", "band", "u", "v"]
     met = meeting_chunks(rows, ["token", "band"], ["uid"], CHUNK_ROWS)
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(banded_pairs(every), "a long, b long, met long, more long").groupBy("a", "b").agg(F.max("met").alias("met"), F.max("more").alias("more"))
+    found = met.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(banded_pairs(every), "a long, b long, met long, by long")
+    return found.groupBy("a", "b").agg(F.max("met").alias("met"), F.min("by").alias("first"), F.max("by").alias("last"), F.max(F.col("by").isNull()).alias("whole"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -510,17 +520,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     proposed = _proposed(tiles.withColumn("comp", F.col("uid")))
     groups.add(similar_pairs(best_pairs(pairs.unionByName(proposed)), sets))
     rest = materialise(groups.apart(pairs.select("a", "b")), "jaccard-rest")
+    open_ = None
     for turn in range(ROUNDS + 1):
         mixed = materialise(_several(groups.of(tiles, "uid", "comp")), "jaccard-mixed")
-        named = materialise(_banded(mixed, sets.light, turn == ROUNDS), "jaccard-named")
-        whole = named.where("more = 1").isEmpty()  # these are all pairs
-        chosen = named.select("a", "b") if whole else best_pairs(named)
-        if not turn:  # with what small tiles have left
-            chosen = chosen.unionByName(rest).distinct()
+        named = materialise(_banded(mixed, sets.light, turn == ROUNDS, open_), "jaccard-named")
+        left = materialise(named.select(F.explode(F.array_compact(F.array("first", "last"))).alias("uid")).distinct(), "jaccard-open")
+        ended = left.isEmpty()  # then these are all pairs
+        chosen = named.select("a", "b") if ended else best_pairs(named)
+        if not turn or ended:  # with what small tiles and earlier rounds have left
+            chosen = chosen.unionByName(groups.apart(rest)).distinct()
         joined = groups.add(similar_pairs(chosen, sets))
-        if not whole and not joined:
-            groups.add(similar_pairs(_banded(mixed, sets.light, True).select("a", "b"), sets))
-        if whole or not joined:
+        if ended:
+            break
+        kept = named.where("whole").select("a", "b")
+        rest = materialise(groups.apart(kept if not turn else rest.unionByName(kept)), "jaccard-rest")
+        open_ = left
+        if not joined:
+            others = _banded(mixed, sets.light, True, open_).select("a", "b")
+            groups.add(similar_pairs(others.unionByName(rest).distinct(), sets))
             break
     rooted = groups.of(classes, "uid", "root")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
