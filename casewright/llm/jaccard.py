@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
-from casewright.llm.simhash import meeting_chunks, star_components, whole_cells
+from casewright.llm.simhash import majority, meeting_chunks, star_components, whole_cells
 from casewright.llm.tables import materialise
 
 SHINGLE_WORDS = 5
@@ -178,13 +178,16 @@ def common_shingles(docs: DataFrame, text_col: str) -> Common:
     return Common(np.array([r.shingle for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64))
 
 
-def mark_sets(common: Common) -> Callable:
+MARKS = "text_hash long, n long, hi long, lo long, prefix array<long>, rare int, bits binary"
+
+
+def mark_sets(common: Common, prints: bool = False) -> Callable:
     """Rows (doc_id, text, ..) to (doc_id, .., n, hi, lo, prefix, rare, bits): the set's name, its first shingles and its bitmap, one
-    for the band above its own."""
+    for the band above its own; with prints also the set's SimHash (print; 0 if it is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names, prefixes, rare, maps = [], [], [], [], []
+            sizes, names, prefixes, rare, maps, marked = [], [], [], [], [], []
             for text in batch.column(1):
                 found = shingle_set(text.as_py())
                 first, n_rare = common.prefix(found) if len(found) else (found, 0)
@@ -193,12 +196,15 @@ def mark_sets(common: Common) -> Callable:
                 prefixes.append(first.view(np.int64))
                 rare.append(n_rare)
                 maps.append(bitmap(found, band_bits(band_of(len(found)) + 1)).tobytes())
+                if prints:
+                    marked.append(majority(found) if len(found) else 0)
             hi, lo = (np.array([x[i] for x in names], np.int64) for i in (0, 1))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
+            more = [pa.array(marked, pa.int64())] if prints else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(hi), pa.array(lo), lists, pa.array(rare, pa.int32()), pa.array(maps, pa.binary())],
-                names=["doc_id", "text_hash", "n", "hi", "lo", "prefix", "rare", "bits"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(hi), pa.array(lo), lists, pa.array(rare, pa.int32()), pa.array(maps, pa.binary()), *more],
+                names=["doc_id", "text_hash", "n", "hi", "lo", "prefix", "rare", "bits", "print"][: 8 + len(more)],
             )
 
     return run
@@ -498,15 +504,18 @@ def _banded(tiles: DataFrame, light: DataFrame, every: bool, open_: DataFrame |
     return found.groupBy("a", "b").agg(F.max("met").alias("met"), F.min("by").alias("first"), F.max("by").alias("last"), F.max(F.col("by").isNull()).alias("whole"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nearest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs.
+
+    nearest takes the classes (uid, print: the set's SimHash) to pairs (a, b) that are settled before all others; it changes no result."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     common = common_shingles(texts, "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    marks = texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(mark_sets(common), f"doc_id {kind}, text_hash long, n long, hi long, lo long, prefix array<long>, rare int, bits binary")
+    marks = texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(mark_sets(common, nearest is not None), f"doc_id {kind}, {MARKS}" + ", print long" * (nearest is not None))
     marks = materialise(marks.withColumn("uid", F.monotonically_increasing_id()), "jaccard-marks")
     full = marks.where("n > 0")
-    classes = materialise(full.groupBy("hi", "lo").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first")), "jaccard-classes")
+    prints = [F.any_value("print").alias("print")] if nearest else []
+    classes = materialise(full.groupBy("hi", "lo").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first"), *prints), "jaccard-classes")
     rows = full.join(classes.select("uid"), "uid").select("uid", "n", "rare", F.posexplode("prefix").alias("at", "token"))
     rows = rows.select("token", F.col("n").cast("int").alias("n"), "uid", (2 * F.col("at") + (F.col("at") >= F.col("rare")).cast("int")).alias("at"))
     part = F.when(F.col("at") % 2 == 1, F.pmod(F.xxhash64("uid"), F.lit(COMMON_PARTS))).otherwise(F.lit(0))
@@ -517,7 +526,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tiles = found.where("other IS NULL").drop("other")
     sets = Sets(full.select("uid", "n", "bits"), full.select("uid", "doc_id", "text_hash"), texts)
     groups = Groups(marks)
-    proposed = _proposed(tiles.withColumn("comp", F.col("uid")))
+    if nearest:
+        groups.add(similar_pairs(materialise(nearest(classes.select("uid", "print")), "jaccard-nearest"), sets))
+        pairs = materialise(groups.apart(pairs), "jaccard-pairs")
+    proposed = _proposed(groups.of(tiles, "uid", "comp") if nearest else tiles.withColumn("comp", F.col("uid")))
     groups.add(similar_pairs(best_pairs(pairs.unionByName(proposed)), sets))
     rest = materialise(groups.apart(pairs.select("a", "b")), "jaccard-rest")
     open_ = None

@@ -10,9 +10,12 @@ exactly. Cells are dealt over the cluster; a crowded cell is cut into chunks tha
 A cell hands on a spanning forest of its links, so copies never expand into all pairs, and the
 classes are found by alternating star contractions on tables.
 
-keep_one_per_group works by the general rule for near copies: word sets of five, similarity 0.8 or more. At that similarity
-fingerprints differ in 15 % of their bits, beyond what counts of segments can select, so it takes wider fingerprints, of
-`WIDE_BITS`, whose grid cells are samples of single bits (segments of one bit), and verifies each link on the whole texts.
+keep_one_per_group works by the general rule for near copies: word sets of five, similarity 0.8 or more. The same fingerprints, taken of
+these sets, the same popcounts and the same grid join propose the nearest pairs, and each is settled on the whole sets. Pairs at that similarity
+may differ in more bits than any grid of counts selects (some ten): those between the groups so found are left to jaccard.py's
+tiles, which miss none.
+
+similar_links is another way, with a probability, by wider fingerprints (`WIDE_BITS`) whose cells are samples of single bits. Nothing here takes it.
 
 Nulls: a null or blank text has fingerprint 0, which links like any other. A null doc_id takes
 part in linking; component_id is the smallest non-null doc_id (null if a class has none).
@@ -45,7 +48,7 @@ RUNS = 6
 CELL_ROWS = 4096
 #: Up to this many members a cell is compared by offsets over the whole batch.
 SMALL_CELL = 12
-#: keep_one_per_group: words of a shingle, and the share of common shingles from which two texts are near copies.
+#: similar_links: words of a shingle, and the share of common shingles from which two texts are near copies.
 NEAR_WORDS = 5
 NEAR_SIMILARITY = 0.8
 #: Its fingerprints, the bits that make a cell, and the cells of each text. Two texts at the similarity share a given cell
@@ -90,13 +93,17 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return counts
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of 64-bit hashes: the bits set in over half of them."""
+    return int(np.packbits(2 * bit_counts(hashes[:, None]) > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def simhash(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     """Signed 64-bit SimHash over word shingles; 0 without words."""
     joined = joined_words(text)
     if not joined:
         return 0
-    hashes = shingle_hashes(joined, shingle_words)
-    return int(np.packbits(2 * bit_counts(hashes[:, None]) > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(shingle_hashes(joined, shingle_words))
 
 
 @pandas_udf(LongType())
@@ -407,30 +414,40 @@ def similar_links(sketches: DataFrame, texts: DataFrame, cell_rows: int = CELL_R
     return both.where(near_copies("left", "right")).select("a", "b")
 
 
+def class_links(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of uid from classes (uid, print): those that the grid join links by their prints, and of one print each with the first."""
+    firsts = materialise(classes.groupBy("print").agg(F.min("uid").alias("first")), "near-firsts")
+    alike = classes.join(firsts, "print").where("uid > first").select(F.col("first").alias("a"), F.col("uid").alias("b"))
+    links = near_links(firsts.select("print"))
+    for side in "ab":
+        links = links.join(firsts.select(F.col("print").alias(side), F.col("first").alias(f"first_{side}")), side)
+    return alike.unionAll(links.select(F.least("first_a", "first_b"), F.greatest("first_a", "first_b")))
+
+
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """One document of every group of near copies, all its columns: the one with the smallest doc_id.
 
-    Texts are one class if their words (in lower case) are the same, and linked if NEAR_SIMILARITY or more of their sets of
-    NEAR_WORDS words are common; a group is what links join. Texts without words are one class. The choice is made by group, never by
+    Texts are linked if 0.8 or more of their sets of five words (in lower case) are common; a group is what links join, and no
+    link is lost. Texts without words are one group. The choice is made by group, never by
     doc_id alone: nulls come last, rows that share the smallest id are ordered by a hash of the text, then of the row. Of rows
     alike in all columns, one stays. An empty table stays empty."""
+    from casewright.llm.jaccard import jaccard_components  # which takes this module's tables of links
+
     # maps and variants have no hash; rows that differ in them only count as alike
     hashed = [F.col("row")[f.name] for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
-    rows = whole_rows(docs, F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"), F.col("text").alias("_text"))
-    rows = rows.select("row", "text_hash", F.xxhash64(*hashed).alias("row_hash"), "_text")
-    marked = rows.select(F.col("row.doc_id").alias("doc_id"), "text_hash", "row_hash", wide_sketch_udf("_text").alias("s"))
-    prints = materialise(marked.select("doc_id", "text_hash", "row_hash", "s.*"), "near-prints")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_hash")
-    classes = prints.groupBy("hi", "lo").agg(F.min(order).alias("first"), *[F.any_value(c).alias(c) for c in ("p0", "p1", "cells")])
-    classes = materialise(classes.withColumn("text_hash", F.col("first.text_hash")), "near-classes")
-    links = similar_links(classes, rows.select("text_hash", F.col("_text").alias("text")))
-    name = F.struct("hi", "lo")
-    roots = star_components(links)
-    rooted = classes.select(name.alias("node"), "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-    keep = materialise(rooted.agg(F.min("first").alias("first")).select(*[F.col(f"first.{c}").alias(f"keep_{c}") for c in ("doc_id", "text_hash", "row_hash")]), "near-keep")
+    order = [F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), F.xxhash64("_text").alias("text_hash"), F.xxhash64(*hashed).alias("row_hash")]
+    rows = whole_rows(docs, F.col("text").alias("_text"))
+    rows = rows.select("row", "_text", F.struct(*order).alias("key"))
+    groups = jaccard_components(rows, "key", "_text", class_links)
+    first = groups.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
+    wordless = groups.where("n_shingles = 0").groupBy("doc_id").count().orderBy("doc_id").limit(1)
+    names = [f"keep_{c}" for c in ("doc_id", "text_hash", "row_hash")]
+    keep = first.unionAll(wordless).select(*[F.col(f"doc_id.{c[5:]}").alias(c) for c in names], "count")
+    keep = materialise(keep, "near-keep")
     # a merge join at every size: the list of rows kept grows with docs
-    same = F.col("row.doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("text_hash") == F.col("keep_text_hash")) & (F.col("row_hash") == F.col("keep_row_hash"))
-    kept = rows.drop("_text").join(keep.hint("merge"), same, "left_semi")
-    if prints.groupBy("doc_id", "text_hash", "row_hash").count().where("count > 1").limit(1).count():
-        kept = kept.withColumn("doc_id", F.col("row.doc_id")).dropDuplicates(["doc_id", "text_hash", "row_hash"])
+    keyed = rows.select("row", *[F.col(f"key.{c[5:]}").alias(c[5:]) for c in names])
+    same = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("text_hash") == F.col("keep_text_hash")) & (F.col("row_hash") == F.col("keep_row_hash"))
+    kept = keyed.join(keep.select(*names).hint("merge"), same, "left_semi")
+    if not keep.where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text_hash", "row_hash"])
     return kept.select("row.*")

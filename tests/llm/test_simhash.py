@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -8,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from casewright.llm import jaccard as J
 from casewright.llm import simhash as S
 from tests.llm.edge import edge, nothing
 
@@ -213,3 +215,37 @@ def test_the_kept_row_is_chosen_by_class_not_by_id(spark):
         runs.append(sorted(map(tuple, S.keep_one_per_group(docs).collect()), key=str))
     assert sorted((r[:2] for r in runs[0]), key=str) == sorted(want, key=str)
     assert runs[0] == runs[1]
+
+
+def scattered_rows(pairs, words, edits):
+    """Pairs of near copies, so many words changed far apart; unlike all other texts."""
+    rows = []
+    for g in range(pairs):
+        base = [f"g{g}w{i}" for i in range(words)]
+        other = list(base)
+        for e in range(edits):
+            other[(e + 1) * words // (edits + 1)] = f"x{g}e{e}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    return rows
+
+
+def test_no_link_is_lost_at_the_least_similarity(spark):
+    """300 words, 296 shingles, six edits: 266 common of 326, 0.816. Fingerprints differ in some ten bits, so the grid alone finds hardly any."""
+    rows = scattered_rows(300, 300, 6)
+    want = least_of_groups(rows[:20])
+    assert want == set(range(0, 20, 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in S.keep_one_per_group(docs).collect()) == list(range(0, 600, 2))
+
+
+def test_the_stage_takes_the_grid_join(spark, monkeypatch):
+    """Pairs within RADIUS bits are settled first, by the grid join over segment counts of the sets' fingerprints."""
+    seen = []
+    real = S.near_links
+    monkeypatch.setattr(S, "near_links", lambda classes, **a: seen.append(real(classes, **a).collect()) or real(classes, **a))
+    rows = near_rows(np.random.default_rng(9), 40, 2, 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in S.keep_one_per_group(docs).collect()} == least_of_groups(rows)
+    prints = [S.majority(J.shingle_set(t)) for _, t in rows]
+    near = {(min(a, b), max(a, b)) for a, b in itertools.combinations(prints, 2) if ((a ^ b) % (1 << 64)).bit_count() <= S.RADIUS and a != b}
+    assert len(seen) == 1 and {tuple(r) for r in seen[0]} == near and near
