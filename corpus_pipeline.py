@@ -2,7 +2,7 @@
 
 Each stage works on all rows its predecessor kept; all but the last return the columns of documents. Ids are handed on as they are:
 null and repeated ids are ids like any other. Rows are never told apart by their id alone. Other columns, whatever their names, are
-carried along; an empty table stays empty.
+carried along; an empty table stays empty. Stages bound the rows of a batch that the session sends to Python, as texts may be long.
 """
 
 from __future__ import annotations
@@ -15,17 +15,19 @@ from casewright.llm.mixing import mix_documents
 from casewright.llm.packing import pack_documents
 from casewright.llm.queries import quality_model, toxicity_model
 from casewright.llm.simhash import keep_one_per_group
-from casewright.llm.tables import materialise, read_table, whole_rows
+from casewright.llm.tables import materialise, read_table, small_batches, whole_rows
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier takes for good. A null text is judged as an empty one; copies are judged alike."""
+    small_batches(spark)
     scored = quality.score_quality(whole_rows(docs, "text"), quality_model(spark, sf_dir))
     return scored.where(F.col("score") >= quality.CUT).select("row.*")
 
 
 def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier passes. Null, empty and wordless texts score 0 and pass; copies are judged alike."""
+    small_batches(spark)
     scored = toxicity.score_toxicity(whole_rows(docs, "text"), toxicity_model(spark, sf_dir))
     return scored.where(F.col("score") < toxicity.CUT).select("row.*")
 
@@ -35,6 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     nearest, exact tiles what fingerprints cannot tell; every link is settled on whole sets and none is lost.
 
     The smallest id of a group stays, a null one last; all texts without words, null ones among them, are one group."""
+    small_batches(spark)
     return keep_one_per_group(docs)
 
 
@@ -42,12 +45,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources meet their target words.
 
     Texts without words take none and stay once (twice in a source at its cap); a null source is a source of its own."""
+    small_batches(spark)
     return mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, with their token ids, in training sequences. A null or empty text is its separator alone; copies are
     packed each on their own."""
+    small_batches(spark)
     return pack_documents(docs)
 
 

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import pyarrow as pa
+
 import corpus_pipeline
 from casewright.llm import quality, queries, toxicity
 from casewright.llm.mixing import mix_report
-from casewright.llm.tables import materialise, read_table
+from casewright.llm.tables import BATCH_ROWS, materialise, read_table
 from tests.llm.edge import edge, nothing
 from tests.llm.test_simhash import least_of_groups
 
@@ -40,3 +42,21 @@ def test_stages_take_odd_rows(spark, sf_dir):
             out = stage(spark, docs, sf_dir)
             out.collect()
             assert name == "packing" or out.columns == docs.columns
+
+
+def test_stages_send_small_batches_to_python(spark):
+    """Each stage bounds the rows of a batch, also where the session allows more; a smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in ((10_000, BATCH_ROWS), (0, BATCH_ROWS), (100, 100)):
+            spark.conf.set(key, given)
+            corpus_pipeline.pack(spark, nothing(spark), "")
+            assert int(spark.conf.get(key)) == want
+        spark.conf.set(key, 10_000)
+        rows = spark.range(BATCH_ROWS + 1, numPartitions=1).selectExpr("id doc_id", "'a b' text", "'en' lang", "'s' source", "3 n_chars")
+        corpus_pipeline.mix_sources(spark, rows, "")
+        sizes = rows.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert sorted(r.n for r in sizes.collect()) == [1, BATCH_ROWS]
+    finally:
+        spark.conf.set(key, before)
