@@ -13,8 +13,11 @@ give a row. Columns of docs are handed on, but for those named like the results,
 from __future__ import annotations
 
 import math
+import pickle
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -56,6 +59,19 @@ def bounded_sample(rows: DataFrame, key: list[Column], most: int, seed: int, siz
     return rows.withColumn("_drawn", drawn).where(F.col("_drawn") <= int(margin * (1 << 40))).orderBy("_drawn").limit(due).drop("_drawn")
 
 
+def fitted_in_a_task(sample: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:
+    """What fit makes of a bounded sample, worked out in one task: the driver gets the result alone, and neither rows nor what
+    learning needs."""
+    names = sample.columns
+
+    def apply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = list(parts)
+        yield pd.DataFrame({"made": [pickle.dumps(fit(pd.concat(rows) if rows else pd.DataFrame(columns=names)))]})
+
+    made = sample.coalesce(1).mapInPandas(apply, "made binary").first()
+    return fit(pd.DataFrame(columns=names)) if made is None else pickle.loads(made[0])  # no partition, no task
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]

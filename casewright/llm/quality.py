@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from casewright.llm.language import bounded_sample
+from casewright.llm.language import bounded_sample, fitted_in_a_task
 
 CUT = 0.3
 LEVEL = 3
@@ -124,17 +124,20 @@ def fit_quality_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str
     The curve is fitted on the rows as they were drawn: kinds drawn at different rates are set right
     by the logarithm of the rates."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("text is not null and y in (0, 1)")
-    kinds, rates = [], []
+    kinds, sizes = [], []
     for kind in (0, 1):
         own = rows.where(F.col("y") == kind)
-        drawn = bounded_sample(own, [F.col("id"), F.col("text")], train_rows, seed, F.octet_length("text"), train_bytes).toPandas()
-        n = own.count()
-        kinds.append(drawn)
-        rates.append(len(drawn) / n if n else 1.0)
-    sample = pd.concat(kinds).sort_values(["text", "y"])
-    model = fit(sample["text"].tolist(), sample["y"].to_numpy())
-    model.curve[0] += float(np.log(rates[0] / rates[1]))
-    return model
+        kinds.append(bounded_sample(own, [F.col("id"), F.col("text")], train_rows, seed, F.octet_length("text"), train_bytes).select("text", "y"))
+        sizes.append(own.count())
+
+    def learn(drawn: pd.DataFrame) -> QualityModel:
+        drawn = drawn.sort_values(["text", "y"])
+        model = fit(drawn["text"].tolist(), drawn["y"].to_numpy())
+        rates = [(drawn["y"] == kind).sum() / n if n else 1.0 for kind, n in enumerate(sizes)]
+        model.curve[0] += float(np.log(rates[0] / rates[1]))
+        return model
+
+    return fitted_in_a_task(kinds[0].unionAll(kinds[1]), learn)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score") -> DataFrame:

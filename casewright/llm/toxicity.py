@@ -26,7 +26,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from casewright.llm.convnet import ConvNet, pool_segments, softmax, train
-from casewright.llm.language import bounded_sample
+from casewright.llm.language import bounded_sample, fitted_in_a_task
 
 #: Buckets that words and stems share; with the pad they fit 16 bits.
 BUCKETS = (1 << 16) - 1
@@ -73,16 +73,32 @@ def word_ids(words: list[str], seen: dict[str, bytes]) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    tables: np.ndarray
-    bias: np.ndarray
-    head: tuple[np.ndarray, np.ndarray]
-    language_head: tuple[np.ndarray, np.ndarray]
+    net: ConvNet | None  # None: nothing was learned
     thresholds: np.ndarray  # for each language
-    empty: bool = False
+    _tables: np.ndarray | None = field(default=None, repr=False)
     _seen: dict[str, bytes] = field(default_factory=dict, repr=False)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_tables": None, "_seen": {}}  # a sixth is sent, and folded where it is used
+
+    @property
+    def empty(self) -> bool:
+        return self.net is None
+
+    @property
+    def tables(self) -> np.ndarray:
+        if self._tables is None:
+            self._tables = np.concatenate([t for parts in self.net.tables() for t in parts], axis=1)
+        return self._tables
+
+    def chances(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, the chance of being toxic and the place of the language that each text seems to be in."""
+        features = self.features(texts)
+        (w, b), (language_w, language_b) = self.net.heads
+        return features, softmax((features @ w + b).astype(np.float64))[:, 1], (features @ language_w + language_b).argmax(axis=1)
+
     def features(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.bias)), np.float32)
+        out = np.zeros((len(texts), len(self.net.bias)), np.float32)
         held, starts, owner, size = [], [], [], 0
         gap = np.full((max(WIDTHS) - 1, 1 + len(STEMS)), _PAD, np.uint16)
 
@@ -91,7 +107,7 @@ class ToxicityModel:
             if held:
                 ids = np.concatenate(held)
                 pooled = pool_segments(self.tables, list(WIDTHS), FILTERS, list(ids.T), np.array(starts), _PAD)
-                out[owner] = np.maximum(pooled + self.bias, 0)
+                out[owner] = np.maximum(pooled + self.net.bias, 0)
                 held.clear()
                 starts.clear()
                 owner.clear()
@@ -112,9 +128,8 @@ class ToxicityModel:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.empty:
             return np.zeros(len(texts))
-        features = self.features(texts)
-        p = softmax((features @ self.head[0] + self.head[1]).astype(np.float64))[:, 1]
-        at = self.thresholds[(features @ self.language_head[0] + self.language_head[1]).argmax(axis=1)]
+        features, p, seems = self.chances(texts)
+        at = self.thresholds[seems]
         bent = np.where(p >= at, CUT + (1 - CUT) * (p - at) / (1 - at), CUT * p / at)
         bent = np.where(p < at, np.minimum(bent, np.nextafter(CUT, 0)), np.maximum(bent, CUT))
         bent[~features.any(axis=1)] = 0.0
@@ -153,8 +168,7 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], seed:
     told = np.array([names.index(x) if x is not None else 0 for x in languages])
     known = np.array([x is not None for x in languages], dtype=np.float32)
     if not len(y) or y.min() == y.max():
-        blank = np.zeros(0, np.float32)
-        return ToxicityModel(blank, blank, (blank, blank), (blank, blank), blank, empty=True)
+        return ToxicityModel(None, np.zeros(0))
     held_back = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) / 2**32 < CALIBRATION_SHARE for t in texts])
     if y[~held_back].min() == y[~held_back].max() or not held_back.any():
         held_back[:] = False
@@ -165,32 +179,33 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], seed:
     weight = np.where(y == 1, 0.5 / max(y[learn].mean(), 1e-6), 0.5 / max(1 - y[learn].mean(), 1e-6)).astype(np.float32)
     epochs = int(np.clip(TRAIN_VISITS / len(learn), *EPOCHS))
     train(net, [rows[i] for i in learn], [y[learn], told[learn]], [np.sqrt(weight[learn]), 0.3 * known[learn]], epochs=epochs, batch=16, rate=0.004, seed=seed)
-    tables = np.concatenate([t for parts in net.tables() for t in parts], axis=1)
-    model = ToxicityModel(tables, net.bias, net.heads[0], net.heads[1], np.full(len(names), 0.5))
+    model = ToxicityModel(net, np.full(len(names), 0.5))
     judge = np.flatnonzero(held_back) if held_back.any() and y[held_back].any() else learn
-    features = model.features([texts[i] for i in judge])
-    p = softmax((features @ model.head[0] + model.head[1]).astype(np.float64))[:, 1]
-    seems = (features @ model.language_head[0] + model.language_head[1]).argmax(axis=1)
+    _, p, seems = model.chances([texts[i] for i in judge])
     model.thresholds[:] = best_threshold(p, y[judge])
     for k in range(len(names)):
         own = seems == k
         if y[judge][own].sum() >= LEAST_TOXIC:
             model.thresholds[k] = best_threshold(p[own], y[judge][own])
-    model._seen = {}
     return model
 
 
 def fit_toxicity_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, seed: int = 11) -> ToxicityModel:
     """A model from a bounded sample of rows with a text and a 0/1 label."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("y"), F.col(lang_col).alias("lang")).where("text is not null and y in (0, 1)")
-    sample = bounded_sample(rows, [F.col("id"), F.col("text")], train_rows, seed, F.octet_length("text"), train_bytes).toPandas().sort_values(["text", "y"])
-    languages = [None if pd.isna(x) else x for x in sample["lang"]]
-    return fit(sample["text"].tolist(), sample["y"].to_numpy(), languages, seed)
+    sample = bounded_sample(rows, [F.col("id"), F.col("text")], train_rows, seed, F.octet_length("text"), train_bytes).select("text", "y", "lang")
+
+    def learn(drawn: pd.DataFrame) -> ToxicityModel:
+        drawn = drawn.sort_values(["text", "y", "lang"])
+        languages = [None if pd.isna(x) else x for x in drawn["lang"]]
+        return fit(drawn["text"].tolist(), drawn["y"].to_numpy(), languages, seed)
+
+    return fitted_in_a_task(sample, learn)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a score, in place of a column of that name; at CUT and above a text counts as toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 19 MB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 3 MB, whatever the input; each worker folds its own tables of 19 MB
 
     def apply(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(texts.tolist()), dtype="float64")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -158,5 +159,32 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(nothing(spark), model).count() == 0
 
 
+def test_models_are_fitted_away_from_the_driver(spark, monkeypatch):
+    """No rows come to the driver, only counts and the model, which is the one that its rows give; also of a drawn sample."""
+    data = labelled()
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, quality int, toxic int").repartition(5)
+    texts = [t for _, t, *_ in sorted(data, key=lambda r: r[1])]
+    told = {t: (q, x) for _, t, _, q, x in data}
+    toxic = toxicity.fit(texts, np.array([told[t][1] for t in texts]), ["en"] * len(texts))
+    good = quality.fit(texts, np.array([told[t][0] for t in texts]))
+    came, frame = [], type(df)
+
+    def collect(self, real=frame.collect):
+        came.append(real(self))
+        return came[-1]
+
+    def whole(self):
+        raise AssertionError("rows came to the driver")
+
+    monkeypatch.setattr(frame, "collect", collect)
+    monkeypatch.setattr(frame, "toPandas", whole)
+    assert np.allclose(toxicity.fit_toxicity_model(df).score(texts), toxic.score(texts), atol=1e-4)
+    assert np.allclose(quality.fit_quality_model(df).score(texts), good.score(texts), atol=1e-9)
+    assert not toxicity.fit_toxicity_model(df, train_rows=100).empty and quality.fit_quality_model(df, train_rows=30).good
+    assert max(len(rows) for rows in came) == 1
+    sent = pickle.dumps(toxic)
+    assert len(sent) < 4_000_000 and np.array_equal(pickle.loads(sent).score(texts), toxic.score(texts))
+
+
 def test_threshold_lies_in_the_gap():
     assert toxicity.best_threshold(np.array([0.9, 0.8, 0.3, 0.2]), np.array([1, 1, 0, 0])) == pytest.approx(0.55)
