@@ -347,7 +347,9 @@ class Sets:
         return self.known
 
     def _read(self, wanted: DataFrame) -> DataFrame:
-        """A table of bits, of fixed size, tells most texts that nobody wants before any is moved; the join decides."""
+        """A table of bits, of fixed size, tells most texts that nobody wants before any is moved; the join decides.
+
+        What is read is stored before it is hashed: a task with one step in Python has one worker, and workers keep their memory."""
         word, bit = F.pmod(F.shiftright("_hash", 6), F.lit(FILTER_WORDS)), F.pmod(F.col("_hash"), F.lit(64))
         words = np.zeros(FILTER_WORDS, np.uint64)
         for w, b in wanted.groupBy(word.cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("b")).collect():
@@ -362,7 +364,7 @@ class Sets:
         read = source.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("uid", "text")
         if self.repeated:
             read = read.dropDuplicates(["uid"])  # rows alike in id and text
-        return read.mapInArrow(sorted_sets, "uid long, members binary")
+        return materialise(read, "jaccard-texts").mapInArrow(sorted_sets, "uid long, members binary")
 
 
 def similar_pairs(pairs: DataFrame, sets: Sets) -> DataFrame:

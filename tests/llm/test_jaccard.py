@@ -149,3 +149,19 @@ def test_query_against_sql(spark, sf_dir):
     df = queries.op11_jaccard_join(spark, sf_dir)
     assert sorted(df.columns) == names and spark_rows(df) == expected
     assert len({r[0] for r in expected}) < len(expected)
+
+
+def test_a_task_has_one_python_step(spark, monkeypatch):
+    """No table is written by a task that holds two Python workers at once: each keeps its memory while the executor lives."""
+    rows = [(i, " ".join(f"w{k + i // 3}" for k in range(60 + i % 3))) for i in range(30)]
+    steps = {}
+
+    def noted(df, label, real=J.materialise):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        steps.setdefault(label, []).extend(len(re.findall("ArrowEvalPython|MapInArrow|MapInPandas", part)) for part in plan.split("Exchange hashpartitioning"))
+        return real(df, label)
+
+    monkeypatch.setattr(J, "materialise", noted)
+    J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # of the texts, the join's other side takes the second step, in a task of its own
+    assert max(steps["jaccard-sets"]) == 1 and {label for label, found in steps.items() if max(found) > 1} <= {"jaccard-texts"}
