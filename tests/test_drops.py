@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from casewright.functions.schema import CASE_COLUMNS
@@ -130,3 +132,23 @@ def test_all_metrics_equal_those_one_by_one(spark):
         assert all(both[r.model][c] == pytest.approx(r[c]) for c in ("auroc", "average_precision"))
     for r in metrics.top_metrics(df, ["model"]).collect():
         assert both[r.model][f"recall_top{r.percent}"] == pytest.approx(r.recall) and both[r.model][f"hit_rate_top{r.percent}"] == pytest.approx(r.hit_rate)
+
+
+def test_reports_are_not_shuffled_as_text(spark, sf_dir, monkeypatch):
+    plans = []
+    monkeypatch.setattr(DataFrameWriter, "text", lambda writer, *_, **__: plans.append(writer._df._jdf.queryExecution().executedPlan().toString()))
+    for where_they_lie in (False, True):
+        sinks.write_reports_xml(queries.nested(spark, sf_dir), "unused", "gzip", where_they_lie)
+        (plan,), plans = [plans.pop()], plans
+        # the text is made above the last exchange, and the last exchange of rows that stay is that of the given tables
+        assert "to_xml" in plan[: plan.index("Exchange")]
+        assert where_they_lie is ("REBALANCE_PARTITIONS" not in plan)
+        assert all("to_xml" not in line and "medicinalproduct" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_tags_at_odd_places(spark, tmp_path):
+    inner = "<safetyreportid>{}</safetyreportid></safetyreport>"
+    text = f"<root><safetyreport>{inner.format(1)}\n \t<safetyreport>{inner.format(2)}x<safetyreport a='1'>{inner.format(3)}<safetyreport\n>{inner.format(4)}<safetyreports>{inner.format(5)}</root>"
+    (tmp_path / "2025q1" / "XML").mkdir(parents=True)
+    (tmp_path / "2025q1" / "XML" / "a.xml").write_text(text)
+    assert [r.report.safetyreportid for r in R.read_reports(spark, f"file://{tmp_path}").collect()] == ["1", "2", "3", "4"]
