@@ -134,6 +134,14 @@ def test_all_metrics_equal_those_one_by_one(spark):
         assert both[r.model][f"recall_top{r.percent}"] == pytest.approx(r.recall) and both[r.model][f"hit_rate_top{r.percent}"] == pytest.approx(r.hit_rate)
 
 
+def test_packed_reports_take_little_room(spark, sf_dir):
+    given = sum((Path(sf_dir) / f"{t}.parquet").stat().st_size for t in ("orders", "lineitem", "customer", "part", "nation"))
+    stored = queries.src_file_inventory(spark, sf_dir)
+    assert stored.agg(F.sum("bytes")).first()[0] < 4 * given
+    names = queries.agg_file_reports(spark, sf_dir).select("quarter", "source_file").distinct().count()
+    assert stored.count() == names  # small ones are one file each
+
+
 def test_reports_are_not_shuffled_as_text(spark, sf_dir, monkeypatch):
     plans = []
     monkeypatch.setattr(DataFrameWriter, "text", lambda writer, *_, **__: plans.append(writer._df._jdf.queryExecution().executedPlan().toString()))
