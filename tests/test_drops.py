@@ -139,7 +139,19 @@ def test_packed_reports_take_little_room(spark, sf_dir):
     stored = queries.src_file_inventory(spark, sf_dir)
     assert stored.agg(F.sum("bytes")).first()[0] < 4 * given
     names = queries.agg_file_reports(spark, sf_dir).select("quarter", "source_file").distinct().count()
-    assert stored.count() == names  # small ones are one file each
+    assert stored.count() == names
+
+
+def test_parts_of_a_file_are_one_file(spark, sf_dir):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = R.list_files(spark, queries.packed_drop(spark, sf_dir), queries.XML_LAYOUT).count()
+        files, counted = queries.src_file_inventory(spark, sf_dir).collect(), queries.agg_inventory(spark, sf_dir).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert parts > len(files) == len({(r.quarter, r.source_file) for r in files})
+    assert {r.quarter: r.xml_files for r in counted} == {None: len(files)} | {q: sum(r.quarter == q for r in files) for q in {r.quarter for r in files}}
 
 
 def test_reports_are_not_shuffled_as_text(spark, sf_dir, monkeypatch):
